@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii
+from . import pii, secrets
 from .common import read, span_list
 
 
@@ -20,5 +20,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_pii": op10_pii}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.secrets(docs)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    rank = lambda s: F.element_at(F.create_map(*(F.lit(x) for kv in secrets.ORDER.items() for x in kv)), s["kind"])
+    by_start = F.array_sort(
+        F.concat("base", "more"),
+        lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(rank(a) < rank(b), -1).when(rank(a) > rank(b), 1).otherwise(0),
+    )
+    return found.select("doc_id", *(count(k) for k in ("assign", "access", "hex")), F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(by_start).alias("spans"))
+
+
+QUERIES = {"op2_secrets": op2_secrets, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {}
