@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, secrets
+from . import licenses, pii, secrets
 from .common import read, span_list
 
 
@@ -32,5 +32,23 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in ("assign", "access", "hex")), F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(by_start).alias("spans"))
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op10_pii": op10_pii}
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.licenses(docs)
+    base = F.filter("places", lambda s: s["base"])
+    labels = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda s: s["label"]))), ",")
+    start = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(start).alias("first_word"),
+        F.array_max(start).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+QUERIES = {"op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {}
