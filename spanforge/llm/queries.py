@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, pii, secrets
+from . import fingerprints, licenses, pii, quality, secrets
 from .common import read, span_list
 
 
@@ -54,5 +54,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {}
