@@ -141,7 +141,7 @@ class Layout:
             return " | ".join(w)
         if style == "repeat":
             return " ".join(w[:1] * len(w))
-        return " ".join(w).capitalize() + "."
+        return " ".join(w).capitalize() + ("" if least < 3 and self.r.random() < 0.7 else ".")  # labels and titles seldom end with a stop
 
     def text(self, sentences: int, style: str = "plain") -> str:
         return self.r.choice((" ", " ", "\n")).join(self.sentence(style=style) for _ in range(sentences))
