@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, page_text, pii, quality, secrets
+from . import fingerprints, licenses, mixing, page_text, pii, quality, secrets
 from .common import read, span_list
 
 
@@ -63,5 +63,11 @@ def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op9_page_text": op9_page_text, "op1_quality": op1_quality, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget: the tokens there are; entropy 0.97 of the largest, no source more than 4 times."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "source", "copies", "weight", "block", "block_order")
+
+
+QUERIES = {"op7_mixing": op7_mixing, "op9_page_text": op9_page_text, "op1_quality": op1_quality, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {}
