@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, page_text, pii, quality, secrets
+from . import decontaminate, fingerprints, licenses, mixing, page_text, pii, quality, secrets
 from .common import read, span_list
 
 
@@ -69,5 +69,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "source", "copies", "weight", "block", "block_order")
 
 
-QUERIES = {"op7_mixing": op7_mixing, "op9_page_text": op9_page_text, "op1_quality": op1_quality, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op7_mixing": op7_mixing, "op9_page_text": op9_page_text, "op1_quality": op1_quality, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {}
