@@ -42,7 +42,6 @@ TAG_OF = {t: i for i, ts in enumerate(TAGS) for t in ts}
 MARKS = re.compile(r"[.,;:!?]")
 
 
-@cache
 def _words(attributes: str) -> tuple[float, ...]:
     return tuple(float(bool(p.search(attributes))) for p in PATTERNS)
 
