@@ -1,4 +1,464 @@
-"""Queries over the driver tables, with their SQL."""
+"""Queries over the driver tables, each with the DuckDB SQL of the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanforge.functions import text as T
+from spanforge.operators import evidence, ledger, packing, reading, retrieval, review, structure, units
+from spanforge.sources.html import html_blocks as parse_pages
+from spanforge.streaming import replay as streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+LIMIT = 1600
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def chunks_of(spark: SparkSession, d: str) -> DataFrame:
+    return structure.paragraph_chunks(read(spark, d, "documents").select("doc_id", "text"), limit=LIMIT)
+
+
+def passages_of(spark: SparkSession, d: str) -> DataFrame:
+    return chunks_of(spark, d).withColumnRenamed("doc_id", "source_id")
+
+
+CHUNKS = f"""chunks AS (SELECT doc_id, i AS chunk_no, 'c' || i AS chunk_id, i * {LIMIT} AS start_at, least((i + 1) * {LIMIT}, length(text)) AS end_at,
+ substr(text, CAST(i * {LIMIT} + 1 AS BIGINT), {LIMIT}) AS chunk_text FROM documents, unnest(range(0, (length(text) + {LIMIT - 1}) // {LIMIT})) t(i))"""
+WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+'))"
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, chunk_no, chunk_id, start_at, end_at, chunk_text FROM chunks")
+def chunk_paragraph(spark, d):
+    return chunks_of(spark, d)
+
+
+TABLE_LIMIT = 60
+
+
+@query(f"""WITH lines AS (SELECT l_orderkey, l_linenumber, l_linenumber || ' | ' || strftime(l_shipdate, '%Y-%m-%d') || ' | ' || l_returnflag || l_linestatus || ' | ' || l_partkey || ' | ' || l_suppkey || ' | ' || l_orderkey || ' of the order table' AS line FROM lineitem),
+head AS (SELECT 'Line | Date | Flags | Part | Supplier | Order' AS h),
+pieces AS (SELECT l_orderkey, l_linenumber, line, k, substr(line, CAST(k * ({TABLE_LIMIT} - length(h) - 1) + 1 AS BIGINT), CAST({TABLE_LIMIT} - length(h) - 1 AS BIGINT)) AS piece, h FROM lines, head, unnest(range(0, CAST(ceil(length(line) / ({TABLE_LIMIT} - length(h) - 1)) AS BIGINT))) t(k))
+SELECT l_orderkey, 'c' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line, k) - 1) AS chunk_id, h || chr(10) || piece AS chunk_text FROM pieces""")
+def chunk_table_header_repeat(spark, d):
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" | ", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd"), F.concat("l_returnflag", "l_linestatus"), "l_partkey", "l_suppkey", F.concat(F.col("l_orderkey").cast("string"), F.lit(" of the order table"))).alias("line"))
+    rows = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]).alias("rows"))
+    tables = rows.select("l_orderkey", F.concat(F.lit("Line | Date | Flags | Part | Supplier | Order\n"), F.array_join("rows", "\n")).alias("text"))
+    return structure.table_chunks(tables, "l_orderkey", "text", TABLE_LIMIT).select("l_orderkey", "chunk_id", "chunk_text")
+
+
+@query("""SELECT conv_id, turn, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at,
+(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text))::BIGINT AS end_at FROM conversations""")
+def canonical_offsets(spark, d):
+    return structure.with_offsets(read(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "start_at", "end_at")
+
+
+@query("""SELECT conv_id, turn, 'b' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS block_id,
+coalesce(last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM conversations""")
+def section_carry(spark, d):
+    c = structure.with_section(read(spark, d, "conversations"), "conv_id", "turn", "text", F.col("role") == "system")
+    return structure.numbered(c, "conv_id", "turn").select("conv_id", "turn", "block_id", "section")
+
+
+@query(f"SELECT doc_id, CAST(len({WORDS.format('text')}) AS BIGINT) AS n_tokens FROM documents")
+def tokens_stats(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(T.tokens("text")).cast("long").alias("n_tokens"))
+
+
+def lexical_sql(scope: str = "") -> str:
+    return f"""WITH {CHUNKS}, p AS (SELECT doc_id, chunk_id, start_at, {WORDS.format('chunk_text')} AS tk FROM chunks),
+e AS (SELECT doc_id, chunk_id, start_at, len(tk) AS size, unnest(tk) AS token FROM p),
+q AS (SELECT DISTINCT item_id, unnest({WORDS.format('text')}) AS token FROM benchmark),
+s AS (SELECT item_id AS query_id, doc_id AS source_id, chunk_id, start_at, count(*) / sqrt(greatest(1, size)) AS score FROM e JOIN q USING (token) {scope} GROUP BY ALL, size)
+SELECT query_id, source_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id, start_at, chunk_id) AS rank FROM s) WHERE rank <= 64""".replace("GROUP BY ALL, size", "GROUP BY item_id, doc_id, chunk_id, start_at, size")
+
+
+@query(lexical_sql())
+def lexical_topk(spark, d):
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.lexical(passages_of(spark, d), q)
+
+
+@query(lexical_sql("WHERE doc_id = item_id"))
+def lexical_scoped_topk(spark, d):
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("item_id").alias("scope"))
+    return retrieval.lexical(passages_of(spark, d), q, scope="scope")
+
+
+def dense_inputs(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), "embedding", F.col("label").alias("scope"))
+    q = v.where("unit_id % 100 = 0").select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("scope").alias("query_scope"))
+    return v, q
+
+
+def dense_sql(scope: str = "") -> str:
+    return f"""WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT query_id, vec_id AS unit_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 9) AS distance FROM embeddings, q {scope}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit_id) AS rank FROM c) SELECT query_id, unit_id, abs(distance) AS distance, rank FROM r WHERE rank <= 64"""
+
+
+@query(dense_sql())
+def dense_topk(spark, d):
+    return retrieval.dense(*dense_inputs(spark, d)).withColumn("distance", F.abs("distance"))
+
+
+@query(dense_sql("WHERE label = ql"))
+def dense_scoped_topk(spark, d):
+    return retrieval.dense(*dense_inputs(spark, d), scoped=True).withColumn("distance", F.abs("distance"))
+
+
+def branches_of(spark, d):
+    """Two rankings of the documents for each item: by tokens of their chunks, and by tokens of their first chunk."""
+    lex = lexical_topk(spark, d).select("query_id", "source_id", "rank")
+    first = passages_of(spark, d).where("chunk_no = 0")
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return {"chunks": lex, "heads": retrieval.lexical(first, q).select("query_id", "source_id", "rank")}
+
+
+FUSED = f"""lex AS ({lexical_sql().replace('WITH ', 'WITH ', 1)}),
+heads AS ({lexical_sql().replace('FROM chunks)', 'FROM chunks WHERE chunk_no = 0)', 1)}),
+b AS (SELECT query_id, source_id, min(rank) AS rank_chunks, NULL::BIGINT AS rank_heads FROM lex GROUP BY 1, 2 UNION ALL SELECT query_id, source_id, NULL, min(rank) FROM heads GROUP BY 1, 2),
+f AS (SELECT query_id, source_id, min(rank_chunks) AS rank_chunks, min(rank_heads) AS rank_heads FROM b GROUP BY 1, 2),
+s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + rank_chunks), 0) + coalesce(1.0::DOUBLE / (60 + rank_heads), 0) AS rrf FROM f),
+fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, source_id) AS rank FROM s) WHERE rank <= 64)"""
+
+
+@query(f"WITH {FUSED} SELECT query_id, source_id, rank_chunks, rank_heads, rrf, rank FROM fused")
+def rrf_fusion(spark, d):
+    return retrieval.fuse(branches_of(spark, d), ["source_id"])
+
+
+@query(f"""WITH {CHUNKS}, u AS (SELECT doc_id, k AS unit_no, k * 700 AS unit_start, least((k + 1) * 700, length(text)) AS unit_end FROM documents, unnest(range(0, (length(text) + 699) // 700)) t(k))
+SELECT doc_id, chunk_id, unit_no FROM chunks JOIN u USING (doc_id) WHERE start_at < unit_end AND end_at > unit_start""")
+def interval_bindings(spark, d):
+    u = units_of(spark, d)
+    out = evidence.overlaps(chunks_of(spark, d), u.withColumnsRenamed({"unit_start": "block_start", "unit_end": "block_end"}), "doc_id")
+    return out.select("doc_id", "chunk_id", "unit_no")
+
+
+def units_of(spark, d, size: int = 700):
+    u = structure.paragraph_chunks(read(spark, d, "documents").select("doc_id", "text"), limit=size)
+    return u.select("doc_id", F.col("chunk_no").alias("unit_no"), F.col("start_at").alias("unit_start"), F.col("end_at").alias("unit_end"))
+
+
+@query(f"""WITH {CHUNKS}, u AS (SELECT doc_id, k AS unit_no, k * 700 AS unit_start, least((k + 1) * 700, length(text)) AS unit_end FROM documents, unnest(range(0, (length(text) + 699) // 700)) t(k))
+SELECT doc_id, unit_no, unit_start, unit_end FROM u WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id = u.doc_id AND unit_start >= start_at AND unit_end <= end_at)""")
+def span_containment_anti(spark, d):
+    return evidence.uncovered(units_of(spark, d), chunks_of(spark, d), "doc_id")
+
+
+@query(f"""WITH {CHUNKS}, b AS (SELECT doc_id, length(text) // 2 AS point FROM documents WHERE length(text) > 0)
+SELECT doc_id, point, chunk_id FROM b JOIN chunks USING (doc_id) WHERE start_at <= point AND point < end_at""")
+def point_in_interval(spark, d):
+    p = read(spark, d, "documents").select("doc_id", F.floor(F.length("text") / 2).alias("point"))
+    u = chunks_of(spark, d).withColumnsRenamed({"start_at": "unit_start", "end_at": "unit_end"})
+    return evidence.containing(p, u, "doc_id").select("doc_id", "point", "chunk_id")
+
+
+GROUPS = """g0 AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role OR lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) < 200 THEN 0 ELSE 1 END AS fresh FROM conversations),
+g AS (SELECT conv_id, turn, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS group_no FROM g0)"""
+
+
+def groups_of(spark, d):
+    joins = (F.col("previous.role") == F.col("this.role")) | (F.length("previous.text") < 200)
+    return structure.with_groups(read(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn", joins)
+
+
+@query(f"WITH {GROUPS} SELECT conv_id, turn, group_no::BIGINT AS group_no FROM g")
+def reading_groups(spark, d):
+    return groups_of(spark, d).select("conv_id", "turn", F.col("group_no").cast("long").alias("group_no"))
+
+
+@query(f"WITH {GROUPS} SELECT f.conv_id, f.turn AS focus_turn, g.turn, g.group_no::BIGINT AS group_no FROM g f JOIN g ON f.conv_id = g.conv_id AND g.group_no BETWEEN f.group_no - 1 AND f.group_no + 1")
+def surrounding_window(spark, d):
+    g = groups_of(spark, d).select("conv_id", "turn", F.col("group_no").cast("long").alias("group_no"))
+    return structure.surrounding(g, "conv_id", "group_no", 1).select("conv_id", "focus_turn", "turn", "group_no")
+
+
+@query()
+def reading_window_greedy(spark, d):
+    """Around the middle sentence of every document, within 800 characters."""
+    s = read(spark, d, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("unit_no", "s"))
+    u = s.select("doc_id", "unit_no", F.col("unit_no").alias("group_no"), F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
+    f = u.groupBy("doc_id").agg(F.floor(F.max("unit_no") / 2).cast("int").alias("focus_no")).select(F.col("doc_id").alias("focus_id"), "doc_id", "focus_no")
+    return reading.windows(u, f, "doc_id", 800, reach=2)
+
+
+@query()
+def embedding_units(spark, d):
+    b = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", "heading").otherwise("paragraph").alias("kind"), F.lit("").alias("section"), F.lit(None).cast("int").alias("page"), "text")
+    placed = structure.with_offsets(b, "conv_id", "turn", "text")
+    return units.embedding_units(placed, "conv_id", "turn", 512)
+
+
+def evidence_rows(spark, d):
+    c = chunks_of(spark, d)
+    spans = F.array(F.struct(F.col("start_at").alias("start"), F.col("end_at").alias("end"), F.lit(None).cast("int").alias("page")))
+    source = F.sha2(F.col("doc_id").cast("string"), 256)
+    return c.select("doc_id", source.alias("source_id"), F.lit("v1").alias("version"), (F.col("doc_id") * 1000 + F.col("chunk_no")).alias("seq"), "chunk_id", T.reference(source, F.lit("v1"), spans).alias("ref"), F.col("chunk_text").alias("text"), spans.alias("spans"))
+
+
+REFS = f"""{CHUNKS}, ev AS (SELECT doc_id, sha256(doc_id::VARCHAR) AS source_id, doc_id * 1000 + chunk_no AS seq, chunk_id, chunk_text AS text,
+sha256('{{"source_id": "' || sha256(doc_id::VARCHAR) || '", "spans": [{{"end": ' || end_at || ', "page": null, "start": ' || start_at || '}}], "version": {{"hash": "v1"}}}}') AS ref FROM chunks)"""
+
+
+@query(f"WITH {REFS} SELECT doc_id, chunk_id, ref FROM ev")
+def evidence_reference(spark, d):
+    return evidence_rows(spark, d).select("doc_id", "chunk_id", "ref")
+
+
+@query(f"WITH {REFS} SELECT source_id, 'v1' AS version, min(seq) AS first_seen, count(*) AS n, sha256(string_agg(ref, ',' ORDER BY seq)) AS refs_sha256 FROM ev GROUP BY source_id")
+def evidence_group(spark, d):
+    g = evidence.group_passages(evidence_rows(spark, d).select("source_id", "version", "seq", "ref"))
+    refs = F.array_join(F.transform("passages", lambda p: p["ref"]), ",")
+    return g.select("source_id", "version", "first_seen", F.size("passages").cast("long").alias("n"), F.sha2(refs, 256).alias("refs_sha256"))
+
+
+@query(f"WITH {REFS}, two AS (SELECT ref, seq, text, 'a' AS origin FROM ev UNION ALL SELECT ref, seq + 1000000000, text, 'b' FROM ev WHERE seq % 3 = 0) SELECT ref, min(seq) AS seq, arg_max(origin, seq) AS origin, any_value(text) AS text FROM two GROUP BY ref")
+def evidence_union_by_ref(spark, d):
+    e = evidence_rows(spark, d).select("ref", "seq", "text")
+    again = e.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1_000_000_000)
+    return evidence.union_by_ref(e.withColumn("origin", F.lit("a")), again.withColumn("origin", F.lit("b"))).select("ref", "seq", "origin", "text")
+
+
+@query(f"WITH {REFS} SELECT sha256(text) AS ref, max(seq) AS seq, arg_max(chunk_id, seq) AS chunk_id FROM ev GROUP BY 1")
+def returned_dedup(spark, d):
+    e = evidence_rows(spark, d).select(F.sha2("text", 256).alias("ref"), "seq", "chunk_id")
+    return evidence.returned_once(e).select("ref", "seq", "chunk_id")
+
+
+@query(f"""WITH {CHUNKS}, s AS (SELECT DISTINCT doc_id, start_at, end_at FROM chunks), t AS (SELECT doc_id, start_at, end_at, row_number() OVER (PARTITION BY doc_id ORDER BY start_at, end_at) - 1 AS span_no FROM s)
+SELECT doc_id, span_no, start_at, end_at FROM t""")
+def span_dictionary(spark, d):
+    e = evidence_rows(spark, d).select(F.col("doc_id").alias("source_id"), "chunk_id", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    table, _ = evidence.span_dictionary(e)
+    return table.select(F.col("source_id").alias("doc_id"), F.col("span_no").cast("long").alias("span_no"), F.col("span.start").alias("start_at"), F.col("span.end").alias("end_at"))
+
+
+@query()
+def compact_round_trip(spark, d):
+    """Rows of evidence before and after columnar transport; the counts of both and of their difference."""
+    e = evidence_rows(spark, d).select("source_id", "version", "seq", "chunk_id", "ref")
+    back = evidence.expand(evidence.compact(e)).select(*e.columns)
+    return e.agg(F.count("*").alias("n")).join(back.agg(F.count("*").alias("n_back"))).join(e.exceptAll(back).agg(F.count("*").alias("n_lost")))
+
+
+@query()
+def selection_cover_dedup(spark, d):
+    fused = rrf_fusion(spark, d)
+    refs = fused.join(chunks_of(spark, d).groupBy(F.col("doc_id").alias("source_id")).agg(F.array_sort(F.collect_set(F.sha2("chunk_text", 256))).alias("refs")), "source_id")
+    return retrieval.select_uncovered(refs, 6)
+
+
+@query()
+def rerank_blocks(spark, d):
+    fused = rrf_fusion(spark, d).where("rank <= 20")
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    views = chunks_of(spark, d).groupBy(F.col("doc_id").alias("source_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_text"))), lambda x: x["chunk_text"]).alias("views"))
+    c = fused.join(q, "query_id").join(views, "source_id").select("query_id", F.col("rank").alias("place"), "query", "views")
+    return retrieval.rerank(c, retrieval.overlap_score)
+
+
+def bundles_of(spark, d):
+    lab = read(spark, d, "labels")
+    e = evidence_rows(spark, d).join(lab, "doc_id")
+    b = e.groupBy(F.col("doc_id").alias("bundle_id")).agg(F.array_sort(F.collect_list("ref")).alias("refs"), F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return b.select(
+        "bundle_id", (F.col("bundle_id") % 40).alias("question_id"), "refs", F.when(F.col("quality") == 1, "adequate").otherwise("unassessed").alias("adequacy"),
+        F.when(F.col("bundle_id") % 4 == 3, "partial_parent").otherwise("complete_window").alias("structure"), F.when(F.col("toxic") == 1, "conflicts").otherwise("supports").alias("relation"),
+    )
+
+
+def questions_of(spark, d):
+    state = F.element_at(F.array(*(F.lit(s) for s in ("supported", "conflicting", "partial", "unresolved"))), (F.col("item_id") % 4 + 1).cast("int"))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), state.alias("state"))
+
+
+@query(f"""WITH {REFS}, b AS (SELECT doc_id AS bundle_id, doc_id % 40 AS question_id, list(ref) AS refs, max(quality) AS quality, max(toxic) AS toxic, doc_id % 4 <> 3 AS complete, bool_and(seq % 5 <> 0) AS available FROM ev JOIN labels USING (doc_id) GROUP BY doc_id),
+a AS (SELECT question_id, bool_or(quality = 1 AND complete) AS adequate, bool_or(toxic = 1 AND len(refs) > 1) AS conflict FROM b WHERE available GROUP BY 1),
+q AS (SELECT item_id AS question_id, ['supported', 'conflicting', 'partial', 'unresolved'][item_id % 4 + 1] AS state FROM benchmark)
+SELECT question_id, state, CASE WHEN state = 'supported' AND NOT coalesce(adequate, false) OR state = 'conflicting' AND NOT coalesce(conflict, false) THEN CASE WHEN a.question_id IS NULL THEN 'unresolved' ELSE 'partial' END ELSE state END AS delivered_state FROM q LEFT JOIN a USING (question_id)""")
+def coverage_rollup(spark, d):
+    selected = evidence_rows(spark, d).where("seq % 5 <> 0").select("ref")
+    return evidence.coverage(questions_of(spark, d), bundles_of(spark, d), selected)
+
+
+@query()
+def evidence_packing(spark, d):
+    """One stage per question: its bundles' originals under 24,000 serialized bytes."""
+    e = evidence_rows(spark, d).select("ref", F.col("text").alias("body")).dropDuplicates(["ref"])
+    b = bundles_of(spark, d).select("*", F.explode("refs").alias("ref")).join(e, "ref")
+    priority = F.element_at(F.array(*(F.lit(p) for p in ("essential", "important", "optional"))), (F.col("bundle_id") % 3 + 1).cast("int"))
+    rows = b.select(F.col("question_id").alias("stage_id"), "ref", "body", F.col("bundle_id").cast("string").alias("bundle_id"), (F.col("bundle_id") % 7).cast("string").alias("question_id"), priority.alias("priority"), F.lit("partial").alias("state"), "adequacy", "relation", F.lit(False).alias("required"))
+    return packing.pack(rows, 24_000)
+
+
+def claims_of(spark, d):
+    hits = lexical_topk(spark, d).where("rank = 1 and score > 1")
+    return hits.select(F.col("query_id").alias("item_id"), F.lit("supported").alias("status"), F.concat(F.lit("source "), F.col("source_id").cast("string")).alias("explanation"))
+
+
+SCOPE = f"""lex AS ({lexical_sql()}), sc AS (SELECT b.item_id, coalesce(CASE WHEN l.source_id IS NOT NULL THEN 'supported' END, 'unresolved') AS status, coalesce('source ' || l.source_id, 'unexamined') AS explanation
+FROM benchmark b LEFT JOIN (SELECT * FROM lex WHERE rank = 1 AND score > 1) l ON b.item_id = l.query_id)"""
+
+
+@query(f"WITH {SCOPE} SELECT item_id, status, explanation FROM sc")
+def scope_status(spark, d):
+    return evidence.scope_status(read(spark, d, "benchmark").select("item_id"), claims_of(spark, d))
+
+
+@query(f"WITH {SCOPE} SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'supported' ELSE status END AS status, CASE WHEN item_id % 3 = 0 THEN 'recovered' ELSE explanation END AS explanation FROM sc")
+def merge_scope(spark, d):
+    again = read(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, "supported").otherwise("unresolved").alias("status"), F.lit("recovered").alias("explanation"))
+    return evidence.merge_scope(scope_status(spark, d), again)
+
+
+CRITERIA = ("coverage", "accuracy", "clarity")
+
+
+def rubric_of(spark, d):
+    lab = read(spark, d, "labels")
+    each = lab.select(F.col("doc_id").alias("review_id"), "quality", "toxic", F.explode(F.array(*map(F.lit, CRITERIA))).alias("criterion"))
+    rating = F.when((F.col("criterion") == "coverage") & (F.col("quality") == 0), "Partly meets").when((F.col("criterion") == "accuracy") & (F.col("review_id") % 11 == 0), "Does not meet").otherwise("Meets")
+    explained = F.when((F.col("review_id") % 13 == 0) & (F.col("criterion") == "clarity"), "  ").otherwise("because")
+    return each.select("review_id", "criterion", rating.alias("rating"), explained.alias("explanation"))
+
+
+@query("""SELECT doc_id AS review_id, CASE WHEN doc_id % 13 = 0 THEN 'partial' ELSE 'complete' END AS status,
+CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 OR toxic = 1 THEN 'needs revision' WHEN quality = 0 THEN 'ready with disclosed limitations' ELSE 'ready' END AS decision FROM labels""")
+def rubric_decision(spark, d):
+    lab = read(spark, d, "labels")
+    reviews = lab.select(F.col("doc_id").alias("review_id"), F.lit("ready").alias("decision"), F.lit("all").alias("review_scope"))
+    issues = lab.select(F.col("doc_id").alias("review_id"), F.when(F.col("toxic") == 1, "material").otherwise("minor").alias("severity"))
+    return review.assess(rubric_of(spark, d), reviews, issues, CRITERIA)
+
+
+def issues_of(spark, d):
+    e = read(spark, d, "events")
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("missing_evidence", "conflict", "source_limitation", "explanation"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.select((F.col("user_id") % 50).alias("report_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "minor").otherwise("material").alias("severity"), kind.alias("kind"), F.concat("event_type", F.lit(" at "), (F.col("event_id") % 20).cast("string")).alias("location"), F.array(F.col("event_type")).alias("origins"))
+
+
+ISSUES = """i AS (SELECT user_id % 50 AS report_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'minor' ELSE 'material' END AS severity, ['missing_evidence', 'conflict', 'source_limitation', 'explanation'][event_id % 4 + 1] AS kind, event_type || ' at ' || event_id % 20 AS location FROM events),
+f AS (SELECT report_id, severity, kind, location, min(seq) AS seq FROM i GROUP BY ALL), n AS (SELECT *, 'finding-' || (row_number() OVER (PARTITION BY report_id ORDER BY seq) - 1) AS finding_id FROM f),
+r AS (SELECT report_id, finding_id, seq, kind, location, CASE WHEN kind IN ('missing_evidence', 'conflict') THEN 'research' WHEN kind = 'source_limitation' THEN 'qualify' ELSE 'revise' END AS action FROM n WHERE severity = 'material')"""
+
+
+@query(f"WITH {ISSUES} SELECT report_id, finding_id, action, kind, location FROM r")
+def issue_route(spark, d):
+    return review.route(issues_of(spark, d), ["severity", "kind", "location"], "report_id").select("report_id", "finding_id", "action", "kind", "location")
+
+
+@query(f"WITH {ISSUES} SELECT report_id || ':' || finding_id AS finding_id, action FROM r WHERE NOT (action = 'revise' OR seq % 7 = 0)")
+def unresolved_findings(spark, d):
+    routed = review.route(issues_of(spark, d), ["severity", "kind", "location"], "report_id")
+    routed = routed.select(F.concat_ws(":", F.col("report_id").cast("string"), "finding_id").alias("finding_id"), "action", "seq")
+    records = routed.where("action = 'revise' or seq % 7 = 0").select("finding_id", F.lit("resolved").alias("status"), F.lit("done").alias("explanation"))
+    return review.unresolved(routed, records).select("finding_id", "action")
+
+
+def invocations_of(spark, d):
+    e = read(spark, d, "events")
+    return e.select("user_id", "event_id", "event_type", F.col("value").alias("wanted"), F.when(F.col("event_type") == "error", F.lit(None).cast("double")).otherwise(F.col("value") / 2).alias("seconds"), F.least(F.col("value"), F.lit(900.0)).alias("reserved"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id, coalesce(CASE WHEN event_type <> 'error' THEN value / 2 END, least(value, 900.0)) AS charged FROM events)
+SELECT user_id, event_id, round(coalesce(sum(charged) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS used_before, round(sum(charged) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS used_after FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def ledger_usage(spark, d):
+    return ledger.usage(invocations_of(spark, d), "user_id", ["event_id"]).select("user_id", "event_id", F.round("used_before", 4).alias("used_before"), F.round("used_after", 4).alias("used_after"))
+
+
+@query()
+def ledger_admission(spark, d):
+    return ledger.admissions(invocations_of(spark, d), "user_id", ["event_id"], 400.0, 60.0, 10)
+
+
+@query("""WITH l AS (SELECT event_id, value AS allowance, 'requested_allowance' AS limit_name, 0 AS position FROM events UNION ALL SELECT event_id, 50.0, 'campaign_elapsed', 1 FROM events UNION ALL SELECT event_id, (event_id % 90)::DOUBLE, 'attempt_elapsed', 2 FROM events)
+SELECT event_id, min(allowance) AS cap, arg_min(limit_name, (allowance, position)) AS limiting_resource FROM l GROUP BY event_id""")
+def limiting_resource(spark, d):
+    e = read(spark, d, "events").select("event_id", "value")
+    limit = lambda a, n, i: F.struct(a.alias("allowance"), F.lit(n).alias("limit_name"), F.lit(i).alias("position"))
+    limits = F.array(limit(F.col("value"), "requested_allowance", 0), limit(F.lit(50.0), "campaign_elapsed", 1), limit((F.col("event_id") % 90).cast("double"), "attempt_elapsed", 2))
+    return ledger.limiting(e.select("event_id", F.inline(limits)), ["event_id"])
+
+
+@query("SELECT user_id, event_id, event_type, back FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events) WHERE back <= 8")
+def event_last8(spark, d):
+    return ledger.last_outcomes(read(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"]).select("user_id", "event_id", "event_type", F.col("back").cast("long").alias("back"))
+
+
+@query("SELECT user_id, query, last_id AS event_id FROM (SELECT user_id, sha256(event_type || event_id % 7) AS query, max(event_id) AS last_id, arg_max(value < 20, event_id) AS failed FROM events GROUP BY ALL) WHERE failed")
+def failed_queries_latest(spark, d):
+    e = read(spark, d, "events").select("user_id", F.sha2(F.concat("event_type", (F.col("event_id") % 7).cast("string")), 256).alias("query"), "event_id", (F.col("value") < 20).alias("failed"))
+    return ledger.standing_failures(e, ["user_id", "query"], ["event_id"])
+
+
+@query()
+def html_blocks(spark, d):
+    return parse_pages(read(spark, d, "pages"))
+
+
+@query(f"WITH {CHUNKS} SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def quote_places(spark, d):
+    """Documents that hold a benchmark text word for word; the quotes are the small side by a check of their number."""
+    q = retrieval.small(read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), 20_000)
+    return read(spark, d, "documents").join(q, F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+
+
+@query(f"""WITH {CHUNKS}, q AS (SELECT item_id, item_id AS doc_id, 'c' || item_id % 2 AS chunk_id, text AS quote FROM benchmark) SELECT item_id, q.doc_id, q.chunk_id FROM q LEFT JOIN chunks c ON q.doc_id = c.doc_id AND q.chunk_id = c.chunk_id WHERE NOT coalesce(length(quote) > 0 AND contains(chunk_text, quote), false)""")
+def quote_violations(spark, d):
+    q = read(spark, d, "benchmark").select("item_id", F.col("item_id").alias("doc_id"), F.concat(F.lit("c"), (F.col("item_id") % 2).cast("string")).alias("chunk_id"), F.col("text").alias("quote"))
+    return evidence.misquoted(q, chunks_of(spark, d), ["doc_id", "chunk_id"]).select("item_id", "doc_id", "chunk_id")
+
+
+@query("""WITH t AS (SELECT event_type AS name, user_id::VARCHAR AS arguments, min(event_id) AS seq, arg_min(value::VARCHAR, event_id) AS result FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2)
+SELECT e.event_id, t.seq IS NOT NULL AS found FROM events e LEFT JOIN t ON t.name = e.event_type AND t.arguments = e.user_id::VARCHAR""")
+def replay_lookup(spark, d):
+    e = read(spark, d, "events").select("event_id", F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("arguments"), F.lit("s").alias("sources"), F.col("value").cast("string").alias("result"))
+    trace = e.where("event_id % 2 = 0").withColumnRenamed("event_id", "seq")
+    return evidence.replay(e.drop("result"), trace).select("event_id", "found")
+
+
+@query("SELECT source, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+def manifest_digest(spark, d):
+    """A digest of digests per source (AG16, SC11)."""
+    e = read(spark, d, "documents").select("source", "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
+    return e.groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, ","), 256).alias("digest"))
+
+
+@query(f"""WITH {FUSED}, l AS (SELECT query_id, count(DISTINCT source_id) AS n_lexical FROM lex GROUP BY 1), h AS (SELECT query_id, count(*) AS n_fused, count(*) FILTER (rank <= 6) AS n_returned FROM fused GROUP BY 1),
+x AS (SELECT query_id, count(*) AS n_new FROM fused f WHERE NOT EXISTS (SELECT 1 FROM lex l WHERE l.query_id = f.query_id AND l.source_id = f.source_id) GROUP BY 1)
+SELECT query_id, n_lexical, n_fused, n_returned, coalesce(n_new, 0) AS n_new FROM l JOIN h USING (query_id) LEFT JOIN x USING (query_id)""")
+def eval_paired(spark, d):
+    """Lexical against fused pools of each item (AG15)."""
+    b = branches_of(spark, d)
+    lex = b["chunks"].select("query_id", "source_id").distinct()
+    fused = retrieval.fuse(b, ["source_id"])
+    both = fused.join(lex.withColumn("in_lexical", F.lit(True)), ["query_id", "source_id"], "left")
+    f = both.groupBy("query_id").agg(F.count("*").alias("n_fused"), F.count_if(F.col("rank") <= 6).alias("n_returned"), F.count_if(F.col("in_lexical").isNull()).alias("n_new"))
+    return lex.groupBy("query_id").agg(F.count("*").alias("n_lexical")).join(f, "query_id").select("query_id", "n_lexical", "n_fused", "n_returned", "n_new")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY event_type")
+def stream_event_dedup(spark, d):
+    return streams.deduplicated_totals(spark, f"{d}/events.parquet")
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS used, max(event_id) AS last_event FROM events GROUP BY user_id")
+def stream_ledger(spark, d):
+    return streams.ledger_totals(spark, f"{d}/events.parquet")
