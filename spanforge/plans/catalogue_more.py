@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import coverage_state, evidence, report, retrieval, structure
+from spanforge.operators import coverage_state, evidence, report, retrieval, structure, workflow
 from spanforge.plans import search as api
 from spanforge.plans.catalogue import CHUNKS, LIMIT, REFS, bundles_of, chunks_of, evidence_rows, passages_of, query, read
 from spanforge.sources import ingest
@@ -163,3 +163,74 @@ def coverage_machine(spark, d):
     questions = stages.select("stage_id", n.alias("n")).select("stage_id", F.concat(F.lit("q"), F.col("n").cast("string")).alias("question_id"))
     bundles = questions.select("stage_id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("k"), "question_id").select("stage_id", F.concat(F.lit("b"), F.substr("question_id", F.lit(2)), "k").alias("bundle_id"), "question_id", F.when(F.col("k") == "x", "adequate").otherwise("unassessed").alias("adequacy"))
     return coverage_state.coverage_states(updates, bundles, questions)
+
+
+@query("SELECT item_id AS brief_id, 'q-' || substr(sha256(text), 1, 12) AS question_id, text AS question, CASE WHEN item_id % 2 = 0 THEN 'important' ELSE 'essential' END AS priority, 'unresolved' AS state FROM benchmark")
+def question_seeding(spark, d):
+    b = read(spark, d, "benchmark")
+    one = F.array(F.struct(F.col("text").alias("question"), F.lit("important").alias("priority")))
+    none = F.expr("cast(array() as array<struct<question:string,priority:string>>)")
+    return workflow.seed_questions(b.select(F.col("item_id").alias("brief_id"), F.col("text").alias("brief"), F.when(F.col("item_id") % 2 == 0, one).otherwise(none).alias("questions")))
+
+
+@query("SELECT doc_id::VARCHAR AS source_id, 'k' AS cache_key, 'about ' || source AS generated FROM documents")
+def context_insert(spark, d):
+    """Half is stored, all is inserted: each key once."""
+    docs = read(spark, d, "documents")
+    new = docs.select(F.col("doc_id").cast("string").alias("source_id"), F.lit("k").alias("cache_key"), F.concat(F.lit("about "), "source").alias("generated"), F.array(F.lit("b0")).alias("block_ids"))
+    stored = new.where(F.col("source_id").cast("long") % 2 == 0)
+    blocks = new.select("source_id", F.lit("b0").alias("block_id"))
+    return workflow.add_context(stored, new, blocks).select("source_id", "cache_key", "generated")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tool not allowed' WHEN 1 THEN 'empty content' WHEN 2 THEN 'material issue without a quote' ELSE '' END AS problems FROM events""")
+def output_validation(spark, d):
+    e = read(spark, d, "events")
+    raw = F.element_at(F.array(*map(F.lit, ('{"tool": "rm"}', '{"content": " "}', '{"content": "x", "issues": [{"severity": "material", "kind": "k", "location": "l"}]}', '{"content": "x", "figures": [{"kind": "bar", "title": "t", "values": [1.0, null]}]}'))), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.select("event_id", F.array_join(workflow.output_problems(raw), ",").alias("problems"))
+
+
+@query("SELECT source AS path FROM documents GROUP BY source HAVING bool_or(doc_id % 97 = 5)")
+def corpus_signature(spark, d):
+    """Sources whose digest changes when some of their texts do."""
+    e = read(spark, d, "documents")
+    lines = lambda text: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("doc_id"), F.sha2(text, 256).alias("h")))), lambda x: x["h"]), ","), 256).alias("digest")
+    now = e.groupBy(F.col("source").alias("path")).agg(lines(F.col("text")))
+    was = e.groupBy(F.col("source").alias("path")).agg(lines(F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    return workflow.manifest_mismatch(now, was).select("path")
+
+
+@query("""WITH o AS (SELECT user_id, event_id, row_number() OVER w AS n, ['A', 'B', 'C'][event_id % 3 + 1] AS kind, lag(value > 20) OVER w AS adequate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, n <= 3 AND kind = ['A', 'B', 'C'][least(n, 3)] AND (n = 1 OR coalesce(adequate, false)) AS allowed FROM o""")
+def diagnostic_sequence(spark, d):
+    e = read(spark, d, "events")
+    kind = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("event_id") % 3 + 1).cast("int"))
+    a = e.select("user_id", "event_id", kind.alias("kind"), F.when(F.col("value") > 20, "adequate").otherwise("short").alias("outcome"))
+    return workflow.diagnostics(a, "user_id", "event_id").select("user_id", "event_id", "allowed")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, text, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 4 THEN 0 ELSE 1 END AS part FROM conversations)
+SELECT conv_id, turn, part, floor((sum(strlen(text)) OVER (PARTITION BY conv_id, part ORDER BY turn) - strlen(text)) / 4000)::BIGINT AS batch FROM p""")
+def judge_batches(spark, d):
+    return workflow.judge_batches(read(spark, d, "conversations"), "conv_id", "turn", "text", 4000).select("conv_id", "turn", "part", "batch")
+
+
+@query("SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id % 3, embedding[2]::DOUBLE, embedding[1]::DOUBLE, vec_id) - 1 AS place FROM embeddings")
+def reading_order(spark, d):
+    """Vectors as boxes: page, top edge, left edge, offset."""
+    box = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    b = read(spark, d, "embeddings").select("label", "vec_id", (F.col("vec_id") % 3).cast("int").alias("page"), box.alias("bbox"), F.col("vec_id").alias("start_at"))
+    return structure.reading_order(b, "label").select("vec_id", F.col("place").cast("long").alias("place"))
+
+
+@query(r"SELECT event_id, regexp_matches(v, '^[(+−-]?[0-9,.]+%?\)?$') AS numeric FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '(' || event_id || '.5)' WHEN 1 THEN event_id || '%' ELSE event_type END AS v FROM events)")
+def numeric_cells(spark, d):
+    v = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("("), F.col("event_id").cast("string"), F.lit(".5)"))).when(F.col("event_id") % 3 == 1, F.concat(F.col("event_id").cast("string"), F.lit("%"))).otherwise(F.col("event_type"))
+    return read(spark, d, "events").select("event_id", T.numeric_cell(v).alias("numeric"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || k) AS value, k AS name FROM events, (SELECT unnest(json_keys(props)) AS k, event_id AS id FROM events) WHERE id = event_id")
+def event_payload(spark, d):
+    """Free-form payloads of the log as rows."""
+    e = read(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("p"))
+    return e.select("event_id", F.explode("p").alias("name", "value"))
