@@ -32,12 +32,14 @@ def add_context(stored: DataFrame, new: DataFrame, blocks: DataFrame) -> DataFra
     """
     known = blocks.groupBy("source_id").agg(F.collect_set("block_id").alias("known"))
     n = new.join(known, "source_id", "left").join(stored.select("source_id", "cache_key", F.col("generated").alias("was")), ["source_id", "cache_key"], "left")
-    text = (
-        F.when(F.size(F.array_except("block_ids", F.coalesce("known", F.expr("cast(array() as array<string>)")))) > 0, F.raise_error(F.lit("unknown block")))
-        .when(F.col("was") != F.col("generated"), F.raise_error(F.lit("context of this key exists with other content")))
-        .otherwise(F.col("generated"))
+    unknown = F.size(F.array_except("block_ids", F.coalesce("known", F.expr("cast(array() as array<string>)")))) > 0
+    # the errors are in the predicate, which every row has to pass
+    fresh = (
+        F.when(unknown, F.raise_error(F.lit("unknown block")).cast("boolean"))
+        .when(F.col("was") != F.col("generated"), F.raise_error(F.lit("context of this key exists with other content")).cast("boolean"))
+        .otherwise(F.col("was").isNull())
     )
-    return stored.unionByName(n.withColumn("generated", text).where("was is null").select(*stored.columns))
+    return stored.unionByName(n.where(fresh).select(*stored.columns))
 
 
 def output_problems(raw: Column, tools: tuple[str, ...] = TOOLS) -> Column:
