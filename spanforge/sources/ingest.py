@@ -14,6 +14,7 @@ from spanforge.functions import text as T
 from spanforge.operators import structure
 from spanforge.sources.html import blocks as html_blocks
 
+#: Versions that are part of a source's identity.
 PARSER, CHUNKER = "structural-4-html-layout-tables", "spans-1"
 TYPES = {"html": "html", "htm": "html", "txt": "text", "md": "text", "markdown": "text"}
 
@@ -25,7 +26,7 @@ def canonical(value: object) -> str:
 def source_id(content_hash: str | Column, origin: str | Column, limit: int) -> Column:
     """Digest of content, origin, parser, chunker and chunk limit (SC1, H23)."""
     h, o = T.col(content_hash), T.col(origin)
-    return T.digest(F.concat(F.lit(f'{{"chunk_limit": {limit}, "chunker": "{CHUNKER}", "hash": "'), h, F.lit('", "origin": '), T.json_string(o), F.lit(f', "parser": "{PARSER}"}}')))
+    return T.digest(F.concat(F.lit(f'{{"chunker": "{CHUNKER}", "hash": "'), h, F.lit(f'", "limit": {limit}, "origin": '), T.json_string(o), F.lit(f', "parser": "{PARSER}"}}')))
 
 
 def files(spark: SparkSession, path: str, limit: int = 1600) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden values and invariants of the evidence operators."""
 
+import hashlib
 import json
 import random
 
@@ -169,6 +170,8 @@ def test_ingest_publish_and_mutation(spark, tmp_path):
     o = ingest.files(spark, str(tmp_path / "in"))
     rows = ingest.parsed(o)
     assert rows.where("error is not null").count() == 1
+    same = {"hash": hashlib.sha256((tmp_path / "in/a.md").read_bytes()).hexdigest(), "origin": "a.md", "parser": ingest.PARSER, "chunker": ingest.CHUNKER, "limit": 1600}
+    assert o.where("origin = 'a.md'").first().source_id == hashlib.sha256(ingest.canonical(same).encode()).hexdigest()
     b = ingest.structured(rows).join(o.select("source_id", "origin"), "source_id")
     md = b.where("origin = 'a.md'").orderBy("block_no").collect()
     assert [(r.kind, r.start_at, r.section, r.block_id) for r in md] == [("heading", 0, "# Head", "b0"), ("paragraph", 8, "# Head", "b1"), ("table", 25, "# Head", "b2")]
