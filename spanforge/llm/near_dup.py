@@ -13,7 +13,6 @@ A pair of likeness 0.75 shares none of 48 bands of 4 with a chance of about 1e-8
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +27,7 @@ ROWS, BANDS = 4, 48
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
 TINY = 11
-SIGMAS = 6.0
+SIGMAS = 5.0
 #: Members that a task compares with each other at most: a block against a block.
 BLOCK = 512
 
@@ -95,23 +94,35 @@ def collision(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """True where the collision-corrected estimate does not rule the threshold out."""
+    """True where the registers do not rule the threshold out.
+
+    An element of one set alone changes one register at most, and at J >= 3/4 there are at most
+    (na + nb) / 7 of them: that is exact, and decides for small sets. For large ones the
+    collision-corrected estimate does, with a margin of SIGMAS deviations.
+    """
     used = ((ra > 0) | (rb > 0)).sum(-1)
     same = ((ra == rb) & (ra > 0)).sum(-1)
+    alone = (1 - THRESHOLD / 100) / (1 + THRESHOLD / 100)
+    few = used - same <= (na + nb) * alone + 1e-9
     c = collision(na, nb)
     estimate = (same / np.maximum(used, 1) - c) / (1 - c)
     t = THRESHOLD / 100
-    return estimate >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(used, 1)) - 1e-9
+    return few & (estimate >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(used, 1)) - 1e-9)
+
+
+BAND_SALT = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def bands(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each band (last axis), and whether there is a register in it."""
+    packed = np.ascontiguousarray(regs).reshape(*regs.shape[:-1], BANDS, ROWS).view(np.uint64)[..., 0]
+    return _mix(packed + BAND_SALT), packed > 0
 
 
 def keys(regs: np.ndarray, s: np.ndarray) -> list[int]:
     """Bucket keys: one per band with a register in it, and for a tiny set one per shingle."""
-    out = []
-    band = regs.reshape(BANDS, ROWS)
-    packed = np.ascontiguousarray(band).view(np.uint64).ravel()
-    full = packed > 0
-    mixed = _mix(packed[full] + _mix(np.arange(1, BANDS + 1, dtype=np.uint64))[full])
-    out += mixed.view(np.int64).tolist()
+    key, full = bands(regs)
+    out = key[full].view(np.int64).tolist()
     if len(s) <= TINY:
         out += _mix(s + np.uint64(0x51ED270B)).view(np.int64).tolist()
     return out
@@ -173,25 +184,60 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     return materialize(near.join(of("a"), "a").join(of("b"), "b").where(_linked("fa", "fb")).select("a", "b"), "confirmed")
 
 
-def _across(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block and a block of one bucket, of different components, that the registers allow."""
-    _, i, j = group
-    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    if i == j:
-        left = right = rows.drop_duplicates("id")
-    a, b = [], []
-    if len(left) and len(right):
-        rb = np.frombuffer(b"".join(right["regs"]), np.uint16).reshape(-1, REGISTERS)
-        nb, cb, ib = (right[c].to_numpy() for c in ("n", "component", "id"))
-        for r, n, c, k in zip(left["regs"], left["n"], left["component"], left["id"], strict=True):
-            ra = np.frombuffer(r, np.uint16)
-            ok = (cb != c) & (100 * np.minimum(nb, n) >= THRESHOLD * np.maximum(nb, n))
-            ok &= (ib > k) if i == j else True
-            at = np.flatnonzero(ok)
-            at = at[likely(ra[None], rb[at], np.full(len(at), float(n)), nb[at].astype(float))]
-            a += [max(k, x) for x in ib[at].tolist()]
-            b += [min(k, x) for x in ib[at].tolist()]
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+def _pairs(first: np.ndarray, last: np.ndarray, whole: np.ndarray, side: np.ndarray, component: np.ndarray):
+    """Index pairs of different components in each group of sorted rows, in portions of bounded size."""
+    left, right, size = [], [], 0
+    for s, e, one in zip(first.tolist(), last.tolist(), whole.tolist(), strict=True):
+        if one:
+            x, y = np.triu_indices(e - s, 1)
+        else:
+            cut = s + int(np.count_nonzero(side[s:e] == 0))
+            x, y = (v.ravel() for v in np.meshgrid(np.arange(cut - s), np.arange(cut - s, e - s), indexing="ij"))
+        other = component[s + x] != component[s + y]
+        left.append(s + x[other])
+        right.append(s + y[other])
+        size += len(left[-1])
+        if size > 20_000:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, size = [], [], 0
+    if size:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _across(batches):
+    """Pairs of a block and a block of one bucket, of different components, that the registers allow.
+
+    Rows come sorted by (key, i, j, side); a group that a batch cuts off waits for the next.
+    """
+    names = ["key", "i", "j", "side", "id", "n", "component", "regs"]
+    waiting = None
+    every = (b for part in (batches, [None]) for b in part)
+    for batch in every:
+        table = pa.Table.from_batches([x for x in (waiting, batch) if x is not None]).combine_chunks() if waiting is not None or batch is not None else None
+        if table is None or not table.num_rows:
+            continue
+        key, i, j, side, ids, n, component = (table.column(c).to_numpy() for c in names[:-1])
+        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        ends = np.append(cuts[1:], len(key))
+        if batch is not None:  # the last group may go on
+            waiting = table.slice(cuts[-1]).to_batches()[0] if len(cuts) else None
+            cuts, ends = cuts[:-1], ends[:-1]
+        if not len(cuts):
+            continue
+        regs = np.frombuffer(b"".join(table.column("regs").slice(0, int(ends[-1])).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        for x, y in _pairs(cuts, ends, i[cuts] == j[cuts], side, component):
+            a, b = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
+            ok = (a != b) & (100 * np.minimum(n[x], n[y]) >= THRESHOLD * np.maximum(n[x], n[y]))
+            x, y, a, b = x[ok], y[ok], a[ok], b[ok]
+            for k in range(0, len(x), 20_000):
+                p, q = x[k : k + 20_000], y[k : k + 20_000]
+                kp, full = bands(regs[p])
+                shared = full & (kp == bands(regs[q])[0])
+                # a pair comes from its first common band alone; if that bucket has two members, it is their star
+                mine = np.take_along_axis(kp, shared.argmax(1)[:, None], 1)[:, 0].view(np.int64) == key[p]
+                at = slice(k, k + 20_000)
+                good = (mine | ~shared.any(1)) & likely(regs[p], regs[q], n[p].astype(float), n[q].astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array(a[at][good]), pa.array(b[at][good])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,7 +273,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rest = rest.select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     rest = rest.join(nodes.select("id", "n", "regs"), "id")
-    pairs = rest.groupBy("key", "i", "j").applyInPandas(_across, "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
+    dealt = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").select("key", "i", "j", "side", "id", "n", "component", "regs")
+    pairs = dealt.mapInArrow(_across, "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
     pairs = materialize(pairs, "across")
     if not pairs.isEmpty():
         more = _confirmed(pairs, nodes, texts)
