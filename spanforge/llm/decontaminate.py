@@ -23,44 +23,63 @@ LEAST_TOKENS = 5
 LITERAL, COVERED = 0.5, 0.7
 BROADCAST_ROWS = 200_000
 
-TOKEN = r"[0-9]+(?:[.,][0-9]+)*+|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*+|[%$€£¥°]|[.!?\n]"
+#: Stands for a name in a canonical text: a private-use character, a token of its own.
+NAME_MARK = "\ue000"
+_IN = r"\p{L}\p{M}0-9%$€£¥°\ue000"
+TOKEN = r"[0-9]+(?:[.,][0-9]+)*+|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*+|[%$€£¥°\ue000]"
+#: A capitalised word that follows a token of the same sentence, at most 4 signs away.
+NAME = rf"(?=\p{{Lu}})(?<=[{_IN}][^{_IN}.!?\n'’]{{1,4}})\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?:['’][\p{{Ll}}\p{{M}}]+)*+(?![\p{{L}}\p{{M}}'’])"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "% $ € £ ¥ ° km cm mm m mi ft kg g mg lb lbs oz l ml s ms min h hr hrs kmh mph meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees".split()
-ENDS = [".", "!", "?", "\n"]
-PLACEHOLDERS = {"num": "<num>", "name": "<name>", "unit": "<unit>"}
 
 
-def tokens(raw: Column) -> Column:
-    """Array of ``(t, c)``: a token and its canonical form; sentence ends are left out."""
+PLACEHOLDERS = ("<num>", "<name>", "<unit>")
 
-    def canonical(t: Column, i: Column) -> Column:
-        low = F.lower(t)
-        first = (i == 0) | F.get(raw, i - 1).isin(ENDS)
-        is_name = (F.substr(t, F.lit(1), F.lit(1)) != F.substr(low, F.lit(1), F.lit(1))) & (F.substr(t, F.lit(2)) == F.substr(low, F.lit(2))) & (F.length(t) > 1)
-        c = F.when((t >= "0") & (t < ":") | low.isin(NUMBERS), "<num>").when(low.isin(UNITS), "<unit>").when((low != t) & is_name & ~first, "<name>").when(t.isin(ENDS), "").otherwise(low)
-        return F.struct(t.alias("t"), c.alias("c"))
 
-    return F.filter(F.transform(raw, canonical), lambda s: s["c"] != "")
+def _whole(words: list[str]) -> str:
+    """Pattern of one of some tokens among blanks."""
+    return "(?<![^ ])(?:" + "|".join(w.replace("$", r"\$") for w in sorted(words, key=len, reverse=True)) + ")(?![^ ])"
 
 
-def with_windows(df: DataFrame, kept: list[str], text: str, widths: list[int], tok: str = "tok") -> DataFrame:
-    """A row per window: ``kept``, ``h``, ``at``, ``width``, the number ``n`` of tokens, and all tokens ``tok``."""
-    raw = df.select(*kept, F.regexp_extract_all(text_of(text), F.lit(TOKEN), F.lit(0)).alias("raw"))
-    tokened = raw.select(*kept, tokens(F.col("raw")).alias(tok))
-    hashed = tokened.select(*kept, tok, F.size(tok).alias("n"), F.transform(tok, lambda s: F.xxhash64(s["c"])).alias("hs"))
+def canonical(text: Column) -> Column:
+    """The text as blank-separated tokens, numbers, names and units as placeholders; one token for each of ``raw_tokens``."""
+    marked = F.lower(F.regexp_replace(text, NAME, NAME_MARK))
+    plain = F.array_join(F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0)), " ")
+    numbered = F.regexp_replace(plain, rf"(?<![^ ])[0-9][0-9.,]*+(?![^ ])|{_whole(NUMBERS)}", "<num>")
+    return F.replace(F.regexp_replace(numbered, _whole(UNITS), "<unit>"), F.lit(NAME_MARK), F.lit("<name>"))
 
-    def windows(width: int) -> Column:
-        places = F.when(F.col("n") >= width, F.sequence(F.lit(0), F.col("n") - width)).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(width), *(F.get("hs", i + k) for k in range(width))).alias("h"), i.alias("at"), F.lit(width).alias("width")))
 
-    every = [windows(w) for w in widths]
-    return hashed.select(*kept, tok, "n", F.explode(F.concat(*every) if len(every) > 1 else every[0]).alias("w")).select(*kept, tok, "n", "w.*")
+def raw_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def slots(tok: str) -> Column:
-    """Values of a window's placeholders, with their places in the window."""
-    here = F.transform(F.slice(tok, F.col("at") + 1, F.col("width")), lambda s, k: F.struct(k.alias("k"), F.lower(s["t"]).alias("v"), s["c"].alias("c")))
-    return F.filter(here, lambda s: s["c"].startswith("<"))
+def count(canon: Column | str) -> Column:
+    c = F.col(canon) if isinstance(canon, str) else canon
+    return F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))
+
+
+def with_windows(df: DataFrame, kept: list[str], text: str, widths: list[int]) -> DataFrame:
+    """A row per window: ``kept``, ``canon`` (the canonical text), ``at``, ``width`` and the hash ``h`` of its tokens.
+
+    One regular expression yields all windows of a width, so that no token costs an interpreted step.
+    The outer form keeps the planner from evaluating the windows a second time as a filter; a text
+    without one leaves a row with a null place.
+    """
+    df = df.select(*kept, canonical(text_of(text)).alias("canon"))
+    parts = []
+    for w in widths:
+        every = F.regexp_extract_all("canon", F.lit(rf"(?<![^ ])(?=((?:[^ ]++ ){{{w - 1}}}[^ ]++))"), F.lit(1))
+        parts.append(df.select(*kept, "canon", F.posexplode_outer(every).alias("at", "window")).select(*kept, "canon", "at", F.lit(w).alias("width"), F.xxhash64("window", F.lit(w)).alias("h")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def slots(canon: str | Column, raw: str | Column) -> Column:
+    """Values of a window's placeholders, with their types."""
+    here = F.arrays_zip(F.slice(F.split(canon, " "), F.col("at") + 1, F.col("width")).alias("c"), F.slice(raw, F.col("at") + 1, F.col("width")).alias("t"))
+    return F.transform(F.filter(here, lambda s: s["c"].isin(*PLACEHOLDERS)), lambda s: F.struct(s["c"].alias("c"), F.lower(s["t"]).alias("v")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", covered: float = COVERED) -> DataFrame:
@@ -70,20 +89,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     an empty table of either kind gives no rows; other columns are not read.
     """
     items = benchmark.select(F.col(item).alias("item__"), F.col(text).alias("text"))
-    counted = items.select("item__", F.size(tokens(F.regexp_extract_all(text_of("text"), F.lit(TOKEN), F.lit(0)))).alias("n"))
-    widths = sorted({min(r[0], WIDTH) for r in counted.select("n").where(F.col("n") >= LEAST_TOKENS).select(F.least("n", F.lit(WIDTH))).distinct().collect()})
-    if not widths:
-        widths = [WIDTH]
-    asked = with_windows(items, ["item__"], "text", widths).where((F.col("n") >= LEAST_TOKENS) & (F.col("width") == F.least("n", F.lit(WIDTH))))
-    literal = F.size(F.filter(F.slice("tok", F.col("at") + 1, F.col("width")), lambda s: ~s["c"].startswith("<")))
-    asked = asked.where(literal >= F.col("width") * LITERAL).select("item__", "h", F.col("at").alias("item_at"), F.col("n").alias("item_n"), slots("tok").alias("item_slots"))
-
-    found = with_windows(docs.select(F.col(key).alias("key__"), F.col(text).alias("text")), ["key__"], "text", widths)
+    sized = items.withColumn("n", count(canonical(text_of("text")))).where(F.col("n") >= LEAST_TOKENS)
+    widths = sorted(r[0] for r in sized.select(F.least("n", F.lit(WIDTH))).distinct().collect()) or [WIDTH]
+    raw = raw_tokens(text_of("text"))
+    asked = with_windows(sized, ["item__", "text", "n"], "text", widths).where((F.col("width") == F.least("n", F.lit(WIDTH))) & F.col("at").isNotNull())
+    asked = asked.withColumn("item_slots", slots("canon", raw)).where(F.col("width") - F.size("item_slots") >= F.col("width") * LITERAL)
+    asked = asked.select("item__", "h", F.col("at").alias("item_at"), F.col("n").alias("item_n"), "item_slots")
+
+    own = docs.select(F.col(key).alias("key__"), F.col(text).alias("text"))
     if asked.count() <= BROADCAST_ROWS:
-        # the token array is a reference until a window has matched, so it may ride along
-        hit = found.join(F.broadcast(asked), "h").select("key__", "item__", "item_at", "item_n", "width", "at", "item_slots", slots("tok").alias("slots"))
+        # both texts ride along by reference until a window has matched
+        hit = with_windows(own, ["key__", "text"], "text", widths).join(F.broadcast(asked), "h").withColumn("slots", slots("canon", raw))
     else:
-        hit = found.select("key__", "h", "at", "width", slots("tok").alias("slots")).join(asked, "h")
+        found = with_windows(own.withColumn("raw", raw), ["key__", "raw"], "text", widths)
+        hit = found.select("key__", "h", "at", "width", slots("canon", "raw").alias("slots")).join(asked, "h")
+    hit = hit.select("key__", "item__", "item_at", "item_n", "width", "at", "item_slots", "slots")
 
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.transform("item_slots", lambda s: F.concat(s["c"], s["v"])).alias("b"), F.transform("slots", lambda s: F.concat(s["c"], s["v"])).alias("d")))))
     line = hit.groupBy("key__", "item__", "item_n", "width", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("at"), pairs.alias("pairs"))
