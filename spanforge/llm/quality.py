@@ -10,6 +10,7 @@ positives found in the unlabelled sample.
 """
 
 import operator
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,11 +55,8 @@ def statistics(text: str) -> list[float]:
     letters = max(1.0, kinds["lower"] + kinds["upper"] + kinds["high"])
     total = float(len(raw))
     lines = text.split("\n")
-    distinct = set(words)
-    counts: dict[str, int] = {}
-    if n < 2000 or len(distinct) < n / 2:
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
+    counts = Counter(words)
+    distinct = counts.keys()
     return [
         np.log1p(n),
         len(text) / n,
@@ -79,7 +77,7 @@ def statistics(text: str) -> list[float]:
         kinds["high"] / total,
         np.log1p(max(map(len, distinct))),
         sum(map(str.istitle, distinct)) / len(distinct),
-        (max(counts.values()) if counts else 1) / n,
+        max(counts.values()) / n,
     ]
 
 

@@ -61,3 +61,10 @@ def test_shapes(spark):
     assert len(rows) == 6 and len({r.score for r in rows if r.doc_id == 1003}) == 1 and all(0 <= r.score <= 1 for r in rows)
     assert ql.quality(d.limit(0), lab).count() == 0
     assert {r.score for r in ql.quality(d, lab.limit(0)).collect()} == {0.5}
+
+
+def test_top_word_of_long_texts():
+    for n in (10, 1999, 2000, 2001, 30_000):
+        words = [f"w{i}" for i in range(n)]
+        words[: n // 20 + 1] = ["the"] * (n // 20 + 1)
+        assert ql.statistics(" ".join(words))[ql.NAMES.index("top_word")] == (n // 20 + 1) / n
