@@ -24,8 +24,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark, word for word or with other values."""
-    bad = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    # rows that share an id, or have none, are told apart by their texts
+    digest = F.md5(text_of().cast("binary"))
+    rows = docs.select(F.struct("doc_id", digest.alias("digest")).alias("__row"), "text")
+    bad = decontaminate.contaminated(rows, read(spark, sf_dir, "benchmark"), key="__row").select(F.col("__row.doc_id").alias("__bad"), F.col("__row.digest").alias("__digest")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")) & (digest == F.col("__digest")), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

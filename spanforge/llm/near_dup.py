@@ -2,7 +2,8 @@
 
 A document's hashed shingle set is split into buckets of the hash range; a bucket's register keeps
 the leading-zero count of its smallest hash and the mantissa bits after it. Documents of one set
-are one node from then on. Bands of ``ROWS`` registers are hashed to keys; documents that share a
+are one node from then on, with a key of its own in a written table, so that rows which share an
+id or have none are told apart by their sets. Bands of ``ROWS`` registers are hashed to keys; documents that share a
 key are a bucket. A bucket is not paired out: each member is compared with the bucket's smallest
 only, confirmed links are contracted, and members of buckets that still hold several components
 are compared across components, in blocks. Candidates pass a Jaccard estimate of the registers,
@@ -15,7 +16,7 @@ A pair of likeness 0.75 shares none of 48 bands of 4 with a chance of about 1e-8
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -128,30 +129,40 @@ def keys(regs: np.ndarray, s: np.ndarray) -> list[int]:
     return out
 
 
-SIGNATURE = "id bigint, n int, set string, regs binary, keys array<bigint>"
+SIGNATURE = "id bigint, digest string, n int, set string, regs binary, keys array<bigint>"
+
+
+def _name(s: np.ndarray) -> str:
+    return xxhash.xxh128_hexdigest(s.tobytes())
 
 
 def _signatures(batches):
     shingler = Shingler()
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            ids, ns, sets, regs, ks = [], [], [], [], []
-            for key, text in zip(batch.column(0)[i : i + 256], batch.column(1)[i : i + 256], strict=True):
+            ns, sets, regs, ks = [], [], [], []
+            for text in batch.column(2)[i : i + 256]:
                 s = shingler.hashes(text.as_py())
                 r = registers(s) if len(s) else None
-                ids.append(key.as_py())
                 ns.append(len(s))
-                sets.append(xxhash.xxh128_hexdigest(s.tobytes()) if len(s) else None)
+                sets.append(_name(s) if len(s) else None)
                 regs.append(r.tobytes() if len(s) else None)
                 ks.append(keys(r, s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(sets, pa.string()), pa.array(regs, pa.binary()), pa.array(ks, pa.list_(pa.int64()))], ["id", "n", "set", "regs", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 256], batch.column(1)[i : i + 256], pa.array(ns, pa.int32()), pa.array(sets, pa.string()), pa.array(regs, pa.binary()), pa.array(ks, pa.list_(pa.int64()))], ["id", "digest", "n", "set", "regs", "keys"])
 
 
 def _sets(batches):
+    """Full sets of nodes from rows ``node``, ``set``, ``text``."""
     shingler = Shingler()
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 256], pa.array([shingler.hashes(t.as_py()).tobytes() for t in batch.column(1)[i : i + 256]], pa.binary())], ["id", "full"])
+            nodes, full = [], []
+            for node, name, text in zip(*(batch.column(c)[i : i + 256] for c in range(3)), strict=True):
+                s = shingler.hashes(text.as_py())
+                if _name(s) == name.as_py():
+                    nodes.append(node.as_py())
+                    full.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(full, pa.binary())], ["node", "full"])
 
 
 @F.arrow_udf(BooleanType())
@@ -174,13 +185,14 @@ def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) that the registers allow and the full sets confirm."""
-    regs = lambda x: nodes.select(F.col("id").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    regs = lambda x: nodes.select(F.col("node").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
     # sizes alone rule out pairs of very unlike sets
     near = pairs.join(regs("a"), "a").join(regs("b"), "b").where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
     near = materialize(near.where(_likely("ra", "rb", "na", "nb")).select("a", "b"), "near")
-    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    full = materialize(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id bigint, full binary").dropDuplicates(["id"]), "sets")
-    of = lambda x: full.select(F.col("id").alias(x), F.col("full").alias(f"f{x}"))
+    asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    asked = nodes.select("node", "set", "id", "digest").join(asked, "node", "left_semi")
+    full = materialize(texts.join(asked, ["id", "digest"]).select("node", "set", "text").mapInArrow(_sets, "node bigint, full binary").dropDuplicates(["node"]), "sets")
+    of = lambda x: full.select(F.col("node").alias(x), F.col("full").alias(f"f{x}"))
     return materialize(near.join(of("a"), "a").join(of("b"), "b").where(_linked("fa", "fb")).select("a", "b"), "confirmed")
 
 
@@ -209,7 +221,7 @@ def _across(batches):
 
     Rows come sorted by (key, i, j, side); a group that a batch cuts off waits for the next.
     """
-    names = ["key", "i", "j", "side", "id", "n", "component", "regs"]
+    names = ["key", "i", "j", "side", "node", "n", "component", "regs"]
     waiting = None
     every = (b for part in (batches, [None]) for b in part)
     for batch in every:
@@ -240,55 +252,72 @@ def _across(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(a[at][good]), pa.array(b[at][good])], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id``, ``kept`` of each row.
-
-    Texts without words have no shingles and are linked with nothing. Rows of one id are one node
-    with each of their sets; a null id is larger than any id, and a component of nothing but null
-    ids has the component id null and is kept. An empty table gives no rows.
-    """
-    texts = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("id"), text_of(text).alias("text"))
+def _decided(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id`` (``NO_ID`` if null), ``digest`` of the text, ``n``, ``component`` (smallest id in it) and ``kept`` of each row."""
+    texts = docs.select(_id(key).alias("id"), _digest(text).alias("digest"), text_of(text).alias("text"))
     signed = materialize(texts.mapInArrow(_signatures, SIGNATURE), "signatures")
 
-    # one node for each distinct set: its smallest id. Copies are counted away before the shuffle.
-    same = signed.where("n > 0").groupBy("set").agg(F.min("id").alias("node"))
-    nodes = signed.where("n > 0").join(same.withColumnRenamed("node", "id"), ["set", "id"]).select("id", "n", "regs", "keys").dropDuplicates(["id", "n"])
-    nodes = materialize(nodes, "nodes")
+    # one node for each distinct set, with its smallest id. Copies are counted away before the shuffle.
+    same = signed.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
+    nodes = signed.where("n > 0").join(same, ["set", "id"]).select("set", "id", "digest", "n", "regs", "keys").dropDuplicates(["set"])
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    members = nodes.select("id", F.explode("keys").alias("key"))
-    buckets = materialize(members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    inside = materialize(members.join(buckets, "key").select("key", "id", "first", "size"), "inside")
-    star = inside.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = materialize(members.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    inside = materialize(members.join(buckets, "key").select("key", "node", "first", "size"), "inside")
+    star = inside.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     links = _confirmed(star, nodes, texts)
-    found = materialize(components(links), "components")
+    found = materialize(components(links).withColumnRenamed("id", "node"), "components")
 
     # buckets of three and more that still hold several components: across components, block by block
-    many = inside.where("size > 2").select("key", "id")
-    labelled = many.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    many = inside.where("size > 2").select("key", "node")
+    labelled = many.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
     rest = labelled.join(mixed.select("key", "size"), "key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("own", own)
     rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rest = rest.join(nodes.select("id", "n", "regs"), "id")
-    dealt = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").select("key", "i", "j", "side", "id", "n", "component", "regs")
+    rest = rest.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rest = rest.join(nodes.select("node", "n", "regs"), "node")
+    dealt = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").select("key", "i", "j", "side", "node", "n", "component", "regs")
     pairs = dealt.mapInArrow(_across, "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
     pairs = materialize(pairs, "across")
     if not pairs.isEmpty():
         more = _confirmed(pairs, nodes, texts)
         if not more.isEmpty():
-            found = materialize(components(links.unionByName(more)), "components")
+            found = materialize(components(links.unionByName(more)).withColumnRenamed("id", "node"), "components")
 
-    of_set = same.join(found.withColumnRenamed("id", "node"), "node", "left").select("set", F.coalesce("component", "node").alias("component"))
-    out = signed.select("id", "n", "set").join(of_set, "set", "left")
-    known = lambda c: F.when(c != NO_ID, c)
+    # a component goes by the smallest id of its nodes
+    linked = nodes.select("node", "set", "id").join(found, "node", "left")
+    least = linked.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    of_set = linked.join(least, "component", "left").select("set", F.coalesce("least", "id").alias("component"))
+    out = signed.select("id", "digest", "n", "set").join(of_set, "set", "left")
     component = F.coalesce("component", "id")
-    return out.select(known(F.col("id")).alias(key), F.col("n").cast("bigint").alias("n_shingles"), known(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select("id", "digest", "n", component.alias("component"), (F.col("id") == component).alias("kept"))
+
+
+def _id(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID))
+
+
+def _digest(text: str) -> Column:
+    """With the id it names a row; rows alike in both are treated alike."""
+    return F.md5(text_of(text).cast("binary"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``n_shingles``, ``component_id``, ``kept`` of each row.
+
+    Texts without words have no shingles and are linked with nothing. Rows that share an id, or
+    have none, are linked each by its own set; a null id is larger than any id, and a component of
+    nothing but null ids has the component id null and is kept. An empty table gives no rows.
+    """
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return _decided(docs, key, text).select(known("id").alias(key), F.col("n").cast("bigint").alias("n_shingles"), known("component").alias("component_id"), "kept")
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; columns as they were."""
-    gone = near_duplicates(docs, key, text).where(~F.col("kept")).select(F.coalesce(key, F.lit(NO_ID)).alias("__gone")).distinct()
-    return docs.join(gone, F.coalesce(F.col(key), F.lit(NO_ID)) == F.col("__gone"), "left_anti")
+    gone = _decided(docs, key, text).where(~F.col("kept")).select(F.col("id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
+    return docs.join(gone, (_id(key) == F.col("__gone")) & (_digest(text) == F.col("__digest")), "left_anti")

@@ -87,3 +87,14 @@ def test_registers_estimate_jaccard():
         a, b = (nd.registers(np.unique(np.concatenate((shared, x)))) for x in own)
         assert abs(((a == b) & (a > 0)).mean() - j) < 0.12
         assert bool(nd.likely(a[None], b[None], np.array([n]), np.array([n]))[0]) == (j > 0.5)
+
+
+def test_rows_without_an_id_and_rows_that_share_one_go_by_their_own_texts(spark):
+    old, other, third = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(7, old), (9, other), (None, old + " more"), (None, "lone words here"), (None, other), (None, third), (20, old), (20, "words of one text alone"), (20, other + " more"), (None, None), (30, third)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(7, old), (9, other), (None, "lone words here"), (20, "words of one text alone"), (None, None), (30, third)]
+    order = lambda r: (r[0] or -1, r[1] or "")
+    assert sorted(map(tuple, nd.keep(df).collect()), key=order) == sorted(kept, key=order)
+    want = [(7, 7, True), (9, 9, True), (-1, 7, False), (-1, -1, True), (-1, 9, False), (-1, 30, False), (20, 7, False), (20, 20, True), (20, 9, False), (-1, -1, True), (30, 30, True)]
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in nd.near_duplicates(df).collect()) == sorted(want)

@@ -28,3 +28,11 @@ def test_pipeline(spark, tmp_path):
     assert not {d for d in out if 1000 <= d < 3000} and 3000 not in out
     assert "[SECRET]" in out[3001].text and "abcdefgh1234" not in out[3001].text and out[3001].n_chars == len(out[3001].text)
     assert all(out[d].text == t for d, t, *_ in docs if d in good & set(out)) and min(r.copies for r in out.values()) == 1
+
+
+def test_a_contaminated_row_does_not_take_others_of_its_id_along(spark, tmp_path):
+    question = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    spark.createDataFrame([(1, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {question} it goes"), (None, "a clean text"), (None, None), (5, question), (5, "another clean text"), (6, "clean")]
+    out = cp.drop_benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
