@@ -5,7 +5,8 @@ hashed and joined with the windows of the benchmark. Matches of one document and
 diagonal (window place minus item place) are checked for slot consistency: each value of the
 item must stand for one value of the document all along. So a question with its numbers or names
 replaced is found, and a text that happens to have the form is not once its values contradict.
-The share of the item's tokens that consistent windows cover decides.
+The share of the item's tokens that consistent windows cover decides. Windows that are placeholders
+in the main, and items of few tokens, are hashed with their values and match word for word only.
 
 The documents are not shuffled: the benchmark's windows are broadcast if their number is within
 ``BROADCAST_ROWS`` and joined by a shuffle of window rows otherwise.
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 WIDTH = 8
-#: Items of fewer tokens say too little to be looked for.
+#: Items of fewer tokens say little: they are looked for whole, and with their own values only.
 LEAST_TOKENS = 5
-#: Least share of tokens of a window that are literal, and of an item that must be covered.
+#: Least share of tokens that are literal in a window of words, and of an item that must be covered.
 LITERAL, COVERED = 0.5, 0.7
 BROADCAST_ROWS = 200_000
 
@@ -53,19 +54,24 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def verbatim(text: Column) -> Column:
+    """The text as blank-separated tokens in lower case, with their values."""
+    return F.array_join(raw_tokens(F.lower(text)), " ")
+
+
 def count(canon: Column | str) -> Column:
     c = F.col(canon) if isinstance(canon, str) else canon
     return F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))
 
 
-def with_windows(df: DataFrame, kept: list[str], text: str, widths: list[int]) -> DataFrame:
+def with_windows(df: DataFrame, kept: list[str], text: str, widths: list[int], tokens=canonical) -> DataFrame:
     """A row per window: ``kept``, ``canon`` (the canonical text), ``at``, ``width`` and the hash ``h`` of its tokens.
 
     One regular expression yields all windows of a width, so that no token costs an interpreted step.
     The outer form keeps the planner from evaluating the windows a second time as a filter; a text
-    without one leaves a row with a null place.
+    without one leaves a row with a null place. ``tokens``: ``canonical``, or ``verbatim``.
     """
-    df = df.select(*kept, canonical(text_of(text)).alias("canon"))
+    df = df.select(*kept, tokens(text_of(text)).alias("canon"))
     parts = []
     for w in widths:
         every = F.regexp_extract_all("canon", F.lit(rf"(?<![^ ])(?=((?:[^ ]++ ){{{w - 1}}}[^ ]++))"), F.lit(1))
@@ -89,28 +95,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     an empty table of either kind gives no rows; other columns are not read.
     """
     items = benchmark.select(F.col(item).alias("item__"), F.col(text).alias("text"))
-    sized = items.withColumn("n", count(canonical(text_of("text")))).where(F.col("n") >= LEAST_TOKENS)
+    sized = items.withColumn("n", count(canonical(text_of("text")))).where("n > 0")
     widths = sorted(r[0] for r in sized.select(F.least("n", F.lit(WIDTH))).distinct().collect()) or [WIDTH]
     raw = raw_tokens(text_of("text"))
     asked = with_windows(sized, ["item__", "text", "n"], "text", widths).where((F.col("width") == F.least("n", F.lit(WIDTH))) & F.col("at").isNotNull())
-    asked = asked.withColumn("item_slots", slots("canon", raw)).where(F.col("width") - F.size("item_slots") >= F.col("width") * LITERAL)
-    asked = asked.select("item__", "h", F.col("at").alias("item_at"), F.col("n").alias("item_n"), "item_slots")
+    asked = asked.withColumn("item_slots", slots("canon", raw))
+    wordy = (F.col("n") >= LEAST_TOKENS) & (F.col("width") - F.size("item_slots") >= F.col("width") * LITERAL)
+    own_values = F.array_join(F.slice(F.split(verbatim(text_of("text")), " "), F.col("at") + 1, F.col("width")), " ")
+    asked = asked.withColumn("wordy", wordy).withColumn("h", F.when(F.col("wordy"), F.col("h")).otherwise(F.xxhash64(own_values, "width")))
+    asked = asked.select("item__", "h", F.col("at").alias("item_at"), F.col("n").alias("item_n"), "width", "item_slots", "wordy")
+    exact_widths = sorted(r[0] for r in asked.where("not wordy").select("width").distinct().collect())
+    widths = sorted(r[0] for r in asked.where("wordy").select("width").distinct().collect()) or [WIDTH]
+    worded, literal = asked.where("wordy").drop("width"), asked.where("not wordy").drop("width")
 
     own = docs.select(F.col(key).alias("key__"), F.col(text).alias("text"))
-    if asked.count() <= BROADCAST_ROWS:
+    few = asked.count() <= BROADCAST_ROWS
+    near = F.broadcast if few else lambda df: df
+    if few:
         # both texts ride along by reference until a window has matched
-        hit = with_windows(own, ["key__", "text"], "text", widths).join(F.broadcast(asked), "h").withColumn("slots", slots("canon", raw))
+        hit = with_windows(own, ["key__", "text"], "text", widths).join(near(worded), "h").withColumn("slots", slots("canon", raw))
     else:
         found = with_windows(own.withColumn("raw", raw), ["key__", "raw"], "text", widths)
-        hit = found.select("key__", "h", "at", "width", slots("canon", "raw").alias("slots")).join(asked, "h")
-    hit = hit.select("key__", "item__", "item_at", "item_n", "width", "at", "item_slots", "slots")
-
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.transform("item_slots", lambda s: F.concat(s["c"], s["v"])).alias("b"), F.transform("slots", lambda s: F.concat(s["c"], s["v"])).alias("d")))))
-    line = hit.groupBy("key__", "item__", "item_n", "width", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("at"), pairs.alias("pairs"))
-    names = F.transform("pairs", lambda p: p["b"])
-    consistent = line.where(F.size(F.array_distinct(names)) == F.size("pairs"))
-    exact = F.forall("pairs", lambda p: p["b"] == p["d"])
-    per = consistent.select("key__", "item__", "item_n", "width", "at", exact.alias("exact"), F.size("at").alias("windows"))
+        hit = found.select("key__", "h", "at", "width", slots("canon", "raw").alias("slots")).join(worded, "h")
+    hit = hit.select("key__", "item__", "item_at", "item_n", "width", "at", "item_slots", "slots", "wordy")
+    if exact_widths:
+        same = with_windows(own, ["key__"], "text", exact_widths, verbatim).select("key__", "h", "at", "width").join(near(literal), "h")
+        hit = hit.unionByName(same.select("key__", "item__", "item_at", "item_n", "width", "at", "item_slots", F.col("item_slots").alias("slots"), "wordy"))
+
+    both = F.arrays_zip(F.transform("item_slots", lambda s: F.concat(s["c"], s["v"])).alias("b"), F.transform("slots", lambda s: F.concat(s["c"], s["v"])).alias("d"))
+
+    def gathered(name: str, which: Column) -> Column:
+        at = F.collect_set(F.when(which, F.col("item_at")))
+        return F.struct(at.alias("at"), F.array_distinct(F.flatten(F.collect_set(F.when(which, both)))).alias("pairs")).alias(name)
+
+    def consistent(c: str) -> Column:
+        return F.size(F.array_distinct(F.transform(f"{c}.pairs", lambda p: p["b"]))) == F.size(f"{c}.pairs")
+
+    diagonal = (F.col("at") - F.col("item_at")).alias("diagonal")
+    line = hit.groupBy("key__", "item__", "item_n", "width", diagonal).agg(gathered("every", F.lit(True)), gathered("words", F.col("wordy")))
+    # the most windows that contradict nothing
+    best = F.when(consistent("every"), F.col("every")).when(consistent("words"), F.col("words"))
+    line = line.select("key__", "item__", "item_n", "width", best.alias("best")).where(F.size("best.at") > 0)
+    exact = F.forall("best.pairs", lambda p: p["b"] == p["d"])
+    per = line.select("key__", "item__", "item_n", "width", F.col("best.at").alias("at"), exact.alias("exact"), F.size("best.at").alias("windows"))
     union = per.groupBy("key__", "item__").agg(F.first("item_n").alias("n"), F.first("width").alias("width"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max("exact").alias("exact"))
     tokens_covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("width") - 1)))))
     out = union.select(F.col("key__").alias(key), F.col("item__").alias(item), F.round(tokens_covered / F.col("n"), 6).alias("coverage"), F.size("at").cast("bigint").alias("windows"), F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))

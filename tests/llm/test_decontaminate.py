@@ -66,3 +66,21 @@ def test_the_shuffled_way_is_the_same(spark, monkeypatch):
     a = sorted(map(tuple, dc.contaminated(d, b).collect()))
     monkeypatch.setattr(dc, "BROADCAST_ROWS", -1)
     assert sorted(map(tuple, dc.contaminated(d, b).collect())) == a and len(a) == 1
+
+
+def test_items_of_numbers_and_short_items(spark, monkeypatch):
+    total = "Find the sum of 12, 45, 78, 23, 56, 89, 34, 67, 90 and 11."
+    torn = "Find the sum of 12, 45, 78, 23 or 1, 2, 3, 4, 5 and 6."
+    items = [(20, total), (21, "What is 345 + 678?"), (22, "12 45 78 23 56 89"), (23, "..."), (24, "42")]
+    docs = [(1, f"so it goes. {total} the end"), (3, torn), (4, "well, What is 345 + 678? said"), (5, "What is 346 + 678?"), (6, "7 8 9 10 11 12 13 14 15 16 17 18"), (7, "it is 42 then"), (8, "it is 43 then")]
+    d, b = frames(spark, docs, items)
+    want = {(1, 20): "exact", (4, 21): "exact", (1, 22): "exact", (7, 24): "exact"}
+    assert found(d, b) == want
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", -1)
+    assert found(d, b) == want
+
+
+def test_changed_numbers_do_not_undo_a_match_of_words(spark):
+    item = " ".join(f"word{chr(97 + i)}" for i in range(20)) + " 1 2 3 4 1 2"
+    d, b = frames(spark, [(1, item[:-11] + "5 6 7 8 9 9"), (2, item)], [(1, item)])
+    assert found(d, b) == {(1, 1): "reparameterised", (2, 1): "exact"}
