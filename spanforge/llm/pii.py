@@ -3,7 +3,8 @@
 Everything is a built-in expression on one row: no shuffle, no Python. Offsets are code points
 (Spark's ``length``), end exclusive. Quantifiers that Java would run recursively are possessive,
 which cannot change a match here (nothing that follows could use what they give back) and keeps
-stack and time linear in the text.
+stack and time linear in the text. An IBAN may run on into capitals and digits after it, so each of
+its heads is tried by itself, with each end that it can have.
 """
 
 from dataclasses import dataclass
@@ -59,6 +60,54 @@ def mod97(m: Column) -> Column:
     return rest == 1
 
 
+#: Lengths of the IBANs of registered countries.
+IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
+def iban(run: Column) -> Column:
+    """The IBAN that a run of words begins with; null if there is none.
+
+    It ends with a word and has its country's length; of countries not registered, the longest
+    that passes the check is taken.
+    """
+    words = F.split(run, " ")
+    of = F.create_map(*(F.lit(x) for kv in IBAN_LENGTH.items() for x in kv))[F.substr(run, F.lit(1), F.lit(2))]
+    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, 1, i), " "))
+
+    def fits(m: Column) -> Column:
+        n = F.length(F.regexp_replace(m, " ", ""))
+        return F.coalesce(n == of, n.between(15, 34)) & ~m.rlike("[a-z]") & mod97(m)
+
+    return F.get(F.reverse(F.filter(ends, fits)), 0)
+
+
+def iban_hits(text: Column) -> Column:
+    """Leftmost non-overlapping IBANs as ``(start, end, m)``."""
+    # the sign after the longest run goes with it, so that a word cut off by the bound or by a small letter never fits
+    run = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+"
+    head = rf"(?<![A-Za-z0-9])(?=({run}))"
+    parts = F.split(F.regexp_replace(text, head, MARK), MARK, -1)
+    lengths = F.transform(parts, lambda p: F.length(p))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(head), F.lit(1)), lambda r, i: F.struct(i.alias("i"), iban(r).alias("m")))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["pos"] + F.get(lengths, x["i"])
+        end = start + F.length(x["m"])
+        hit = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))
+        new = x["m"].isNotNull() & (start >= a["last"])
+        return F.struct(start.alias("pos"), F.when(new, end).otherwise(a["last"]).alias("last"), F.when(new, F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("last"), F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)").alias("out"))
+    return F.aggregate(runs, zero, step, lambda a: a["out"])
+
+
 def _card(m: Column) -> Column:
     d = digits(m)
     return F.length(d).between(16, 19) & luhn(d)
@@ -77,7 +126,7 @@ BASE = (
 )
 #: Kinds of the method's own. A span is kept from ``threshold`` on, so that a bare 9-digit group needs its context word.
 MORE = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", lambda m: F.length(F.regexp_replace(m, " ", "")).between(15, 34) & mod97(m), 0.9, 0.1, "iban|bank|account|transfer"),
+    Kind("iban", "", r"[A-Z]{2}[0-9]{2}", None, 0.9, 0.1, "iban|bank|account|transfer"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda m: F.lit(True), 0.3, 0.5, "ssn|social security|tax id"),
     Kind("pan", r"(?<![0-9+.])(?:3[47][0-9]{13}|3[068][0-9]{12}|4[0-9]{12})(?![0-9.])", "[0-9]{13}", lambda m: luhn(m), 0.4, 0.4, "card|visa|amex|american express|diners|credit|debit"),
 )
@@ -87,7 +136,7 @@ def spans_of(text: Column, kind: Kind, threshold: float) -> Column:
     """Array of span structs: leftmost non-overlapping matches of a kind that pass its check.
 
     The matches are set between marks, the marked text is split, and offsets follow from the
-    lengths of the parts; odd parts are matches.
+    lengths of the parts; odd parts are matches. IBANs come from ``iban_hits``.
     """
     parts = F.split(F.regexp_replace(text, kind.pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
@@ -97,7 +146,7 @@ def spans_of(text: Column, kind: Kind, threshold: float) -> Column:
         return F.struct(end.alias("pos"), (a["i"] + 1).alias("i"), F.when(a["i"] % 2 == 1, F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)").alias("out"))
-    hits = F.filter(F.aggregate(parts, start, step, lambda a: a["out"]), lambda h: kind.check(h["m"]))
+    hits = F.filter(F.aggregate(parts, start, step, lambda a: a["out"]), lambda h: kind.check(h["m"])) if kind.pattern else iban_hits(text)
 
     def scored(h: Column) -> Column:
         low = F.greatest(h["start"] - CONTEXT, F.lit(0))

@@ -84,3 +84,10 @@ def test_context_raises_the_score_and_shapes_hold(spark):
     df = spark.createDataFrame([(1, "a@b.com", 5), (1, "a@b.com", 5)], "doc_id long, text string, base int")
     assert [len(r.base) for r in pii.personal_data(df).collect()] == [1, 1]
     assert pii.personal_data(rows(spark, [])).count() == 0
+
+
+def test_ibans_before_capitals_and_digits(spark):
+    a, b, c = "GB82WEST12345698765432", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    cases = [(f"é {a} Please", [a]), (f"{b} 2024", [b]), (f"{c} BIC NWBKGB2L", [c]), (f"{a} {b}", [a, b]), (f"REF AT61 {c} {b}", [c, b]), (f"{a}X", []), (f"{a} {a[:-1]}", [a]), (c, [c]), (f"{a}please", [])]
+    got = [[t[s.start : s.end] for s in r.more] for t, r in zip((t for t, _ in cases), pii.personal_data(rows(spark, [t for t, _ in cases])).orderBy("doc_id").collect(), strict=True)]
+    assert got == [w for _, w in cases]
