@@ -183,3 +183,11 @@ def test_ingest_publish_and_mutation(spark, tmp_path):
     assert ingest.published(spark, str(tmp_path / "index")).count() == 2
     (tmp_path / "log.jsonl").write_text(json.dumps({"kind": "x", "n": 1}) + "\nbroken\n")
     assert [r.unparsed for r in ingest.events(spark, str(tmp_path / "log.jsonl"), "kind string, n int").orderBy("kind").collect()] == ["broken", None]
+
+
+def test_the_whole_pool_is_reranked(spark, tmp_path):
+    from spanforge.plans import catalogue
+
+    spark.createDataFrame([(i, "river stone " + " ".join(f"w{i}x{k}" for k in range(i + 3))) for i in range(70)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "river stone")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.place for r in catalogue.rerank_blocks(spark, str(tmp_path)).collect()) == list(range(1, 65))
