@@ -11,6 +11,8 @@ from spanforge.functions import text as T
 
 #: Rows of a query-side table that may be sent to every executor.
 BROADCAST_ROWS = 500_000
+#: Tasks that a token is dealt to where the query side is too large to be broadcast.
+SALTS = 32
 
 
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -27,10 +29,17 @@ def lexical(passages: DataFrame, queries: DataFrame, k: int = 64, scope: str | N
     first span start, chunk id as text.
     """
     asked = queries.select("query_id", *([scope] if scope else []), F.explode(T.tokens("query")).alias("token")).distinct()
-    context = F.concat_ws(" ", F.col("chunk_text"), F.coalesce(F.col("context"), F.lit(""))) if "context" in passages.columns else F.concat(F.col("chunk_text"), F.lit(" "))
-    size = F.size(T.tokens("chunk_text"))
-    terms = passages.select("source_id", "chunk_id", "start_at", size.alias("size"), F.explode(T.tokens(context)).alias("token"))
-    hits = terms.join(small(asked), "token")
+    place = ["source_id", "chunk_id", "start_at"]
+    own = passages.select(*place, *(["context"] if "context" in passages.columns else []), T.tokens("chunk_text").alias("own"))
+    # the size is settled below the generator: beside it, a chunk would be tokenised again for each of its tokens;
+    # and the outer form spares the filter that the optimizer infers from an inner one, which tokenises twice more
+    every = F.array_union("own", T.tokens(F.coalesce("context", F.lit("")))) if "context" in passages.columns else F.col("own")
+    terms = own.select(*place, F.size("own").alias("size"), every.alias("every")).select(*place, "size", F.explode_outer("every").alias("token"))
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hits = terms.join(F.broadcast(asked), "token")
+    else:  # common words are hot keys: each is dealt to SALTS tasks
+        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = terms.withColumn("salt", F.pmod(F.xxhash64(*place), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
     if scope:
         hits = hits.where(F.col("source_id") == F.col(scope))
     scored = hits.groupBy("query_id", "source_id", "chunk_id", "start_at", "size").agg(F.count("*").alias("n"))

@@ -9,8 +9,6 @@ import __spark_entry__ as entry
 from spanforge.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
-#: Built on lexical_topk, which is here itself; they are compared at a larger size outside of the tests.
-SLOW = {"rrf_fusion", "scope_status", "merge_scope", "eval_paired", "lexical_scoped_topk"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
 
 
@@ -28,7 +26,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, DIR)
     want = duck.execute(entry.oracle_sql()[name])
