@@ -1,13 +1,15 @@
 """Secrets: fixed patterns, and a randomness test battery under false-discovery control.
 
-A candidate is a token of an encoding's alphabet with a letter and a digit in it. Its encoding is
-the smallest alphabet that holds it. Against the hypothesis "uniform over that alphabet" run a
-chi-squared test of uniformity, a runs test and a serial-correlation test, combined by Fisher's
-rule; a token that fails is no secret. Against the hypothesis "text of this corpus" stands the
-likelihood ratio T(x)/U(x) of a letter-pair model T counted over all documents and the uniform
-model U: under T it is at most c with a chance of at most c, which makes it a valid p-value that
-sharpens with length. Benjamini-Hochberg with weights by length then bounds the share of false
-discoveries over all candidates of the corpus.
+A candidate is a token of 16 signs or more, with a letter and a digit in it, of an encoding's
+alphabet; its encoding is the smallest alphabet that holds it. The battery asks of it how evenly
+the alphabet is used (chi-squared), how often letter case and digits alternate (runs), and how far
+neighbours depend on each other (serial correlation). Each statistic has two p-values. Against
+"written text of this corpus" the null distribution comes from the letter pairs of all documents,
+restricted to the encoding; against "uniform over the alphabet" it is known. Fisher's rule
+combines the three. Benjamini-Hochberg over all candidates of the corpus, with weights by length,
+bounds the share of false discoveries among tokens that the battery tells from text. Of these
+one is dropped that the battery also tells from uniform symbols, or that the likelihood ratio of
+the letter-pair model, a further test, does not tell from text.
 
 Two passes over the texts: ``fit`` gathers pair counts and candidate tokens (no texts, no ids),
 ``find`` marks spans row by row. Nothing is joined, so a hot source or a group of copies weighs
@@ -16,6 +18,7 @@ no more than its rows.
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,17 +56,33 @@ for _name, _alphabet in ENCODINGS:
     for _i, _c in enumerate(_alphabet):
         _t[ord(_c)] = _i
     CODES.append((_name, len(_alphabet), _t))
+#: Lower case, upper case, digits and signs: what a run is made of.
+KIND = np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in SYMBOLS] + [4])
 #: Letters seen before a symbol count as so many more, spread as in all text; rows of rare symbols lean on it.
 BACK_OFF = 500
 #: Finest step of -log10(p) told apart by the false-discovery cut, and the largest value.
 STEP, TOP = 0.02, 200.0
+#: Level of each further test.
+ALPHA = 1e-4
+
+
+@dataclass(frozen=True)
+class Null:
+    """Written text in the symbols of one encoding: chance that two symbols are equal, and three; that the kind
+    of symbol changes; lag-1 correlation of the codes."""
+
+    two: float
+    three: float
+    change: float
+    serial: float
 
 
 @dataclass(frozen=True)
 class Model:
-    """log10 of the pair model, the mean length weight, and the -log10(p / weight) from which a token is a discovery."""
+    """log10 of the pair model, text in each encoding, the mean length weight, and the -log10(p / weight) of a discovery."""
 
     pairs: np.ndarray
+    nulls: tuple[Null, ...]
     mean_weight: float
     cut: float
 
@@ -114,43 +133,104 @@ def battery(codes: np.ndarray, m: int) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def infer(token: str) -> tuple[str, int, np.ndarray] | None:
-    """Name and size of the smallest encoding that holds a token, and its codes; None without a letter or a digit."""
+def nulls(counts: np.ndarray) -> tuple[Null, ...]:
+    """Text in each encoding's symbols, from counts of letter pairs."""
+    out = []
+    for _, alphabet in ENCODINGS:
+        at = np.array([SYMBOLS.index(c) for c in alphabet])
+        n = counts[np.ix_(at, at)].astype(float)
+        total = n.sum()
+        q = (n.sum(0) + n.sum(1) + 1) / (2 * total + len(at))
+        change = float((n * (KIND[at][:, None] != KIND[at][None, :])).sum())
+        x = np.arange(len(at)) - q @ np.arange(len(at))
+        serial = float(x @ n @ x) / max(1.0, total) / float(q @ (x * x))
+        out.append(Null(float(q @ q), float((q**3).sum()), (change + 1) / (total + 2), min(max(serial, -0.95), 0.95)))
+    return tuple(out)
+
+
+def _binomial_tail(n: int, k: int, p: float) -> float:
+    """Chance of ``k`` or more of ``n``."""
+    if k <= 0:
+        return 1.0
+    if k > n:
+        return 0.0
+    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
+    top = max(log)
+    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in log)) if top > -700 else 1e-300
+
+
+def against_text(token: np.ndarray, codes: np.ndarray, null: Null) -> float:
+    """p-value of "written text" from the three tests. ``token``: places in SYMBOLS.
+
+    Few equal symbols, many changes of kind (beyond the two that the digit of any candidate makes)
+    and a correlation unlike the text's speak against it.
+    """
+    n = len(codes)
+    counts = np.bincount(codes)
+    equal = float((counts * (counts - 1)).sum()) / 2
+    pairs = n * (n - 1) / 2
+    var = pairs * (null.two - null.two**2) + n * (n - 1) * (n - 2) * max(0.0, null.three - null.two**2)
+    z = (equal - pairs * null.two) / math.sqrt(max(var, 1e-12))
+    p1 = 0.5 * math.erfc(-z / math.sqrt(2))
+    changes = int((KIND[token[1:]] != KIND[token[:-1]]).sum())
+    p2 = _binomial_tail(n - 3, changes - 2, null.change)
+    x = codes - codes.mean()
+    v = float((x * x).sum())
+    r = float((x[1:] * x[:-1]).sum()) / v if v > 0 else 1.0
+    p3 = _normal_tail((r - null.serial) * math.sqrt(n))
+    half = -sum(math.log(max(p, 1e-300)) for p in (p1, p2, p3))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def infer(token: str) -> tuple[int, int, np.ndarray] | None:
+    """Place and size of the smallest encoding that holds a token, and its codes; None without a letter or a digit."""
     raw = np.frombuffer(token.rstrip("=").encode(), np.uint8)
     letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
     if len(raw) < 16 or not letter.any() or not ((raw >= 48) & (raw <= 57)).any():
         return None
-    for name, m, table in CODES:
+    for i, (_, m, table) in enumerate(CODES):
         codes = table[raw]
         if codes.max() < 255:
-            return name, m, codes.astype(np.int64)
+            return i, m, codes.astype(np.int64)
     return None
 
 
 def candidates(text: str, taken: list) -> list[tuple[int, int, str]]:
-    """``(start, end, token)`` of tokens to test, outside the fixed patterns' matches."""
+    """``(start, end, token)`` of tokens to test, outside the fixed patterns' matches, which are sorted by start."""
+    starts = [s for s, _, _ in taken]
+    reach, far = [], 0
+    for _, _, e in taken:
+        far = max(far, e)
+        reach.append(far)
     out = []
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in taken):
+        before = bisect_left(starts, m.end())
+        if not before or reach[before - 1] <= m.start():
             out.append((m.start(), m.end(), m[0]))
     return out
 
 
 def weight(n: int) -> float:
     """A long token has more to tell; weights are divided by their mean over all candidates."""
-    return min(n, 64) / 32
+    return math.log2(n)
 
 
-def evidence(token: str, pairs: np.ndarray, alpha: float) -> float | None:
-    """-log10 of the p-value against text; 0 if the battery rejects randomness, None if it is no candidate."""
+def evidence(token: str, pairs: np.ndarray, text: tuple[Null, ...], alpha: float) -> float | None:
+    """-log10 of the battery's p-value against text; None if it is no candidate.
+
+    0 if the battery tells the token from uniform symbols, or the letter pairs do not tell it from text.
+    """
     if (found := infer(token)) is None:
         return None
-    _, m, codes = found
-    if battery(codes, m) < alpha:
-        return 0.0
+    encoding, m, codes = found
     at = TABLE[np.frombuffer(token.rstrip("=").encode(), np.uint8)].astype(np.int64)
-    text = pairs[OTHER, at[0]] + pairs[at[:-1], at[1:]].sum()
-    return float(min(max(-len(at) * math.log10(m) - math.log10(len(CODES)) - text, 0.0), TOP))
+    p = against_text(at, codes, text[encoding])
+    if p > alpha or battery(codes, m) < alpha:
+        return 0.0
+    written = pairs[OTHER, at[0]] + pairs[at[:-1], at[1:]].sum()
+    if -len(at) * math.log10(m) - math.log10(len(CODES)) - written < -math.log10(alpha):
+        return 0.0
+    return min(-math.log10(max(p, 1e-300)), TOP)
 
 
 def _gather(batches):
@@ -167,7 +247,7 @@ def _gather(batches):
         yield pa.RecordBatch.from_pydict({"token": [*tokens, None], "pairs": [*[None] * len(tokens), counts]}, schema)
 
 
-def fit(docs: DataFrame, text: str = "text", rate: float = 0.01, alpha: float = 1e-4) -> Model:
+def fit(docs: DataFrame, text: str = "text", rate: float = 0.01, alpha: float = ALPHA) -> Model:
     """Pair model and false-discovery cut over all texts.
 
     To the driver come sums only: one number per letter pair, and one per step of -log10(p).
@@ -179,29 +259,30 @@ def fit(docs: DataFrame, text: str = "text", rate: float = 0.01, alpha: float =
     counts = counts.reshape(CLASSES, CLASSES)
     single = counts.sum(0) / counts.sum()
     pairs = np.log10((counts + BACK_OFF * single) / (counts.sum(1, keepdims=True) + BACK_OFF))
+    written = nulls(counts)
 
     @F.arrow_udf("double")
     def scores(token: pa.Array) -> pa.Array:
-        return pa.array([evidence(t, pairs, alpha) for t in token.to_pylist()], pa.float64())
+        return pa.array([evidence(t, pairs, written, alpha) for t in token.to_pylist()], pa.float64())
 
-    found = gathered.where("token is not null").select(scores("token").alias("p"), (F.least(F.length("token"), F.lit(64)) / 32).alias("w"))
+    found = gathered.where("token is not null").select(scores("token").alias("p"), F.log2(F.length("token")).alias("w"))
     found = materialize(found, "secrets-p")
     total, mean = found.agg(F.count("*"), F.avg("w")).first()
     if not total:
-        return Model(pairs, 1.0, math.inf)
+        return Model(pairs, written, 1.0, math.inf)
     at = F.greatest(F.floor((F.col("p") + F.log10(F.col("w") / mean)) / STEP), F.lit(0)).alias("at")
     above, cut = 0, math.inf
     for step, n in sorted(found.groupBy(at).count().collect(), reverse=True):
         above += n
         if 10 ** (-step * STEP) <= rate * above / total:
             cut = step * STEP
-    return Model(pairs, mean, cut)
+    return Model(pairs, written, mean, cut)
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def find(text: Column, model: Model, alpha: float = 1e-4) -> Column:
+def find(text: Column, model: Model, alpha: float = ALPHA) -> Column:
     """Struct of ``base`` and ``more``: arrays of ``(kind, start, end)`` by start, in code points."""
     kinds = list(ORDER)
 
@@ -213,7 +294,7 @@ def find(text: Column, model: Model, alpha: float = 1e-4) -> Column:
             t = value.as_py() or ""
             base, more = base_spans(t), []
             for s, e, token in candidates(t, base):
-                p = evidence(token, model.pairs, alpha)
+                p = evidence(token, model.pairs, model.nulls, alpha)
                 if p is not None and max(math.floor((p + math.log10(weight(len(token)) / model.mean_weight)) / STEP), 0) * STEP >= model.cut:
                     more.append({"kind": "random", "start": s, "end": e})
             out.append({"base": [{"kind": kinds[k], "start": s, "end": e} for s, k, e in base], "more": more})
@@ -222,7 +303,7 @@ def find(text: Column, model: Model, alpha: float = 1e-4) -> Column:
     return spans(text)
 
 
-def secrets(docs: DataFrame, text: str = "text", rate: float = 0.01, alpha: float = 1e-4) -> DataFrame:
+def secrets(docs: DataFrame, text: str = "text", rate: float = 0.01, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with ``base`` and ``more``, arrays of ``(kind, start, end)``.
 
     Null and empty texts have no spans, repeated rows are marked alike, an empty table stays

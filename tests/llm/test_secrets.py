@@ -62,3 +62,59 @@ def test_random_tokens_are_found_and_words_are_not(spark):
 def test_redact(spark):
     df = s.secrets(rows(spark, ["a token=abcdefgh12 b " + "0" * 32, "clean"]))
     assert [r[0] for r in df.orderBy("doc_id").select(s.redact(s.F.col("text"), s.F.col("base"))).collect()] == ["a [SECRET] b [SECRET]", "clean"]
+
+
+def test_the_battery_tells_text_from_random_tokens():
+    """p-values of text are no smaller than they say; those of random tokens of 32 signs are tiny."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("etaoinshrdlucmfwyp", k=rnd.randint(2, 9))) for _ in range(500)]
+    text = " ".join(rnd.choice(words) + ("" if rnd.random() < 0.9 else str(rnd.randint(1, 2030))) for _ in range(20_000))
+    counts = np.ones((s.CLASSES, s.CLASSES))
+    at = s.TABLE[np.frombuffer(text.encode(), np.uint8)].astype(int)
+    np.add.at(counts, (at[:-1], at[1:]), 1)
+    null = s.nulls(counts)
+
+    def p(token):
+        i, _, codes = s.infer(token)
+        return s.against_text(s.TABLE[np.frombuffer(token.encode(), np.uint8)].astype(int), codes, null[i])
+
+    written = [t for t in ("".join(rnd.choices(words, k=5)) + str(rnd.randint(1, 99)) for _ in range(2000)) if s.infer(t)]
+    assert sum(p(t) < 1e-3 for t in written) <= 0.01 * len(written)
+    for alphabet in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        tokens = [t for t in ("".join(rnd.choices(alphabet, k=32)) for _ in range(300)) if s.infer(t)]
+        assert sum(p(t) < 1e-5 for t in tokens) >= 0.95 * len(tokens)
+
+
+def test_random_spans_equal_a_plain_procedure(spark):
+    """The whole method again with loops: pair counts, p-values, Benjamini-Hochberg in steps of the cut."""
+    rnd = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["lantern", "garden9of9the9winter", "stone", "upon", "hill-2-of-the-old-town", "river"]
+    texts = [" ".join(rnd.choices(words, k=60)) + " " + "".join(rnd.choices(alphabet, k=rnd.choice((14, 16, 18, 22, 30, 64)))) + "; token=abcdefgh1234" for _ in range(60)]
+    counts = np.ones((s.CLASSES, s.CLASSES))
+    for t in texts:
+        at = [s.OTHER, *(int(s.TABLE[b]) for b in t.encode()), s.OTHER]
+        for a, b in zip(at, at[1:]):
+            counts[a, b] += 1
+    single = counts.sum(0) / counts.sum()
+    pairs = np.log10((counts + s.BACK_OFF * single) / (counts.sum(1, keepdims=True) + s.BACK_OFF))
+    found = []
+    for i, t in enumerate(texts):
+        spans = brute(t)
+        for m in s.CANDIDATE.finditer(t):
+            if all(e <= m.start() or m.end() <= a for _, a, e in spans) and s.infer(m[0]):
+                found.append((i, m.start(), m.end(), s.evidence(m[0], pairs, s.nulls(counts), s.ALPHA), np.log2(len(m[0]))))
+    mean = sum(w for *_, w in found) / len(found)
+    steps = [max(int(np.floor((p + np.log10(w / mean)) / s.STEP)), 0) for *_, p, w in found]
+    cut = min((k for k in set(steps) if 10 ** (-k * s.STEP) <= 0.01 * sum(x >= k for x in steps) / len(steps)), default=None)
+    want = sorted((i, a, e) for (i, a, e, *_), k in zip(found, steps) if cut is not None and k >= cut)
+    got = sorted((r.doc_id, x.start, x.end) for r in s.secrets(rows(spark, texts)).collect() for x in r.more)
+    assert got == want and 20 <= len(got) < len(found)
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    text = " ".join(f"password=abcdefgh{i:06d} zz{i:06d}abcdefghijklm" for i in range(20_000))
+    began = time.perf_counter()
+    assert len(s.candidates(text, s.base_spans(text))) == 20_000 and time.perf_counter() - began < 2
