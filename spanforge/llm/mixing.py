@@ -130,8 +130,9 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str =
 
     new = {"copies", "weight", "block", "block_order"}
     kept = [c for c in docs.columns if c.lower() not in new]
-    d = decision.select(*(F.col(c).alias(f"__d_{c}" if c != name else name) for c in decision.columns))
-    c = lambda x: F.col(f"__d_{x}")
+    stems = {x: free_name(docs, f"d_{x}") for x in decision.columns if x != name}
+    d = decision.select(name, *(F.col(x).alias(y) for x, y in stems.items()))
+    c = lambda x: F.col(stems[x])
     mine = F.pmod(F.col(h), c("blocks"))
     at = order(mine, c("full"))
     before = (at < c("border")) | ((at == c("border")) & (mine < c("border_block")))
