@@ -19,6 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spanforge-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables written and not yet emptied, by session.
+WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -27,9 +31,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _empty(spark: SparkSession, path: str) -> None:
+    """Frees a written table's disk: an empty one takes its place."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+    WRITTEN[spark.sparkContext.applicationId].remove(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Empties a table of ``materialize`` that nothing reads any more."""
+    paths = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for path in [p for p in WRITTEN.get(df.sparkSession.sparkContext.applicationId, []) if any(f.endswith(p) for f in paths)]:
+        _empty(df.sparkSession, path)
+
+
+def mark(spark: SparkSession) -> int:
+    """Number of written tables, for ``since``."""
+    return len(WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def since(spark: SparkSession, before: int) -> list[str]:
+    """Tables written after ``mark`` gave ``before``."""
+    return WRITTEN.get(spark.sparkContext.applicationId, [])[before:]
+
+
+def release(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Empties the tables at ``paths``, but for those that ``keep`` reads."""
+    kept = {f.rpartition("/")[0] for f in keep.inputFiles()} if paths else set()
+    for path in paths:
+        if path in WRITTEN.get(spark.sparkContext.applicationId, []) and not any(f.endswith(path) for f in kept):
+            _empty(spark, path)
+
+
+def fitting(df: DataFrame, bound: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``bound`` rows; a larger one is left to a shuffle."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def text_of(col: str | Column = "text") -> Column:
     """A text column with null read as the empty string."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         # links that were not there before; the rounds end when the stars stand still
         if new.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(new, ["a", "b"], "left_anti").isEmpty():
             break
+        discard(edges)
         edges = new
     members = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     roots = members.select(F.col("component").alias("id"), "component").distinct()
-    return members.unionByName(roots).groupBy("id").agg(F.min("component").alias("component"))
+    return materialize(members.unionByName(roots).groupBy("id").agg(F.min("component").alias("component")), "components")
