@@ -7,10 +7,10 @@ from html import unescape
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*+)[^>]*>|<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no markup, and no text of the page.
-RAW = frozenset("script style template textarea title noscript iframe noembed noframes xmp svg math object select canvas audio video".split())
+#: Their content is no markup, and no text of the page: scripts, styles, form fields, what a browser never shows.
+RAW = frozenset("script style template textarea title iframe noembed noframes select".split())
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag closes these if they are open inside the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -43,9 +43,13 @@ def parse(html: str) -> Page:
     nodes, pieces = [Node("#page", -1, 0)], []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with the block node that holds their text
 
+    anchors = 0  # open links
+
     def close_to(k: int) -> None:
+        nonlocal anchors
         while len(stack) > k:
             tag, node = stack.pop()
+            anchors -= tag == "a"
             if tag not in INLINE:
                 pieces.append((nodes[node].parent if nodes[node].parent >= 0 else 0, " "))
 
@@ -56,7 +60,7 @@ def parse(html: str) -> Page:
             pieces.append((node, text))
             size = len(text) - text.count(" ") if text.strip() else 0
             nodes[node].own += size
-            if any(t == "a" for t, _ in stack[-4:]):
+            if anchors:
                 nodes[node].links += size
 
     at, head = 0, False
@@ -114,6 +118,7 @@ def parse(html: str) -> Page:
                 nodes.append(Node(tag, parent, nodes[parent].depth + 1, attributes, label))
                 stack.append((tag, len(nodes) - 1))
             elif not m[3].endswith("/"):
+                anchors += tag == "a"
                 stack.append((tag, stack[-1][1]))
         elif end:
             tag = end.lower()

@@ -24,6 +24,7 @@ from .html_tree import Page, parse
 TAGS = (
     ("article",), ("main",), ("section",), ("div",), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "menu", "dl"), ("li", "dt", "dd"), ("nav",), ("header",),
     ("footer",), ("aside",), ("form", "fieldset", "button"), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre"), ("figure", "figcaption"), ("#page",), ("dialog", "details"),
+    ("noscript", "object", "canvas", "audio", "video", "svg"),
 )
 WORDS = {
     "content": "article|post|content|entry|story|main|body|text|page",
@@ -67,6 +68,12 @@ def features(page: Page) -> np.ndarray:
         for v in total.values():
             v[nodes[k].parent] += v[k]
     out = np.zeros((n, WIDTH))
+    # the place among the siblings, and their mean size, once for each parent
+    place, mean = np.zeros(n, int), total["text"].copy()
+    for x in nodes:
+        if x.children:
+            place[x.children] = np.arange(len(x.children))
+            mean[x.children] = total["text"][x.children].mean()
     whole = max(1.0, total["text"][0])
     longest = max([1.0, *total["text"][1:].tolist()])
     for k, x in enumerate(nodes):
@@ -83,12 +90,11 @@ def features(page: Page) -> np.ndarray:
             row[at : at + len(TAGS) + len(WORDS)] = np.maximum(up[: len(TAGS) + len(WORDS)], up[at : at + len(TAGS) + len(WORDS)])
         at += len(TAGS) + len(WORDS)
         text, siblings = total["text"][k], nodes[x.parent].children if x.parent >= 0 else [k]
-        place = siblings.index(k) if len(siblings) < 50 else -1
-        mean = sum(total["text"][s] for s in siblings) / len(siblings)
+        i = place[k]
         row[at:] = (
             math.log1p(text), math.log1p(own[k]), total["links"][k] / max(1.0, text), text / whole, text / longest, total["nodes"][k] / max(1.0, text) * 100, math.log1p(total["words"][k]),
-            total["marks"][k] / max(1.0, total["words"][k]), x.depth, len(x.children), len(siblings), place / len(siblings), math.log1p(text) - math.log1p(mean),
-            math.log1p(total["text"][siblings[place - 1]]) if place > 0 else -1, math.log1p(total["text"][siblings[place + 1]]) if 0 <= place < len(siblings) - 1 else -1,
+            total["marks"][k] / max(1.0, total["words"][k]), x.depth, len(x.children), len(siblings), i / len(siblings), math.log1p(text) - math.log1p(mean[k]),
+            math.log1p(total["text"][siblings[i - 1]]) if i else -1, math.log1p(total["text"][siblings[i + 1]]) if i < len(siblings) - 1 else -1,
             start[k] / max(1, seen), total["inputs"][k], total["p"][k], total["li"][k], total["text"][x.parent] / whole if x.parent >= 0 else 1,
         )
     return out
@@ -197,9 +203,10 @@ class Layout:
 
     def article(self) -> str:
         out = [self.some(0.85, lambda: f"<h1>{self.sentence(2, 9, self.style)}</h1>")]
-        for i in range(self.r.choice((0, 1, 1, 2, 3, 5, 8, 14))):
+        blocks = self.r.choice((0, 1, 1, 2, 3, 5, 8, 14)) if self.r.random() < 0.95 else self.r.choice((40, 80, 200))
+        for i in range(blocks):
             style = self.style if self.r.random() < 0.9 else "plain"
-            body = self.text(self.r.choice((1, 1, 2, 5, 12)), style)
+            body = self.text(self.r.choice((1, 1, 2, 5, 12) if blocks < 40 else (1, 1, 2)), style)
             if self.r.random() < 0.2:
                 body = f"<b>{body}<br>"
             elif self.r.random() < 0.2:
@@ -207,7 +214,10 @@ class Layout:
             out.append(self.r.choice((lambda b: f"<p>{b}</p>", lambda b: f"<p>{b}</p>", lambda b: f"<p>{b}", lambda b: f"<div>{b}</div>"))(body))
             if self.r.random() < 0.12:
                 out.append(self.r.choice((f"<h2>{self.sentence(1, 6)}</h2>", "<ul>" + "".join(f"<li>{self.sentence(1, 9)}</li>" for _ in range(4)) + "</ul>", f"<blockquote>{self.text(2)}</blockquote>", f"<pre>{self.text(2)}</pre>", "<table>" + f"<tr><td>{self.sentence(1, 3)}</td><td>{self.sentence(1, 3)}</td></tr>" * 3 + "</table>", f"<figure><figcaption>{self.sentence()}</figcaption></figure>")))
-            if i and self.r.random() < 0.08:
+            if self.r.random() < 0.02:
+                tag = self.r.choice(TAGS[-1])
+                out.append(f'<{tag} data-y="0">{self.sentence()}</{tag}>')
+            if i and self.r.random() < (0.08 if blocks < 40 else 0.01):
                 out.append(self.r.choice((self.advert, self.aside, self.notice, self.form))().replace(">", ' data-y="0">', 1))
         if self.r.random() < 0.15:
             out.append(self.share())
@@ -223,6 +233,7 @@ class Layout:
     def html(self) -> str:
         above = [self.some(0.5, self.header), self.some(0.7, self.nav), self.some(0.3, self.notice), self.some(0.5, self.advert), self.some(0.3, self.form), self.some(0.25, self.aside)]
         below = [self.some(0.35, self.comments), self.some(0.4, self.aside), self.some(0.3, self.advert), self.some(0.35, self.form), self.some(0.15, self.nav), self.some(0.1, self.notice)]
+        above.append(self.some(0.08, lambda: f"<noscript>{self.text(1)}</noscript>"))
         self.r.shuffle(above)
         self.r.shuffle(below)
         return f"<!DOCTYPE html><html><head><title>{self.sentence()}</title></head><body>" + "".join(above) + self.article() + "".join(below) + self.some(0.85, self.footer) + self.some(0.1, self.notice) + "</body></html>"

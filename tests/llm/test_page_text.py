@@ -29,6 +29,38 @@ def test_broken_pages_do_not_fail(html):
     assert isinstance(text_of(html), str)
 
 
+def test_long_articles_take_linear_time_and_stay_whole():
+    import time
+
+    words = [f"Paragraph number {i} has some words of its own, and a stop." for i in range(16_000)]
+    page = "<html><body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><article><h1>A title of it</h1>" + "".join(f"<p>{w}</p>" for w in words) + "</article><footer>&copy; Someone</footer></body></html>"
+    began = time.perf_counter()
+    parsed = parse(page)
+    rows = pt.features(parsed)
+    assert time.perf_counter() - began < 20
+    assert pt.joined(parsed, pt.decode(parsed, pt.model().logits(rows))) == " ".join(["A title of it", *words])
+
+
+def test_place_and_neighbours_of_every_sibling():
+    page = parse("<div>" + "".join(f"<p>{'x' * (i % 9 + 1)}</p>" for i in range(120)) + "</div>")
+    rows = pt.features(page)
+    at = 2 * (len(pt.TAGS) + len(pt.WORDS))
+    for i, k in enumerate(page.nodes[1].children):
+        before, after = rows[k][at + 13], rows[k][at + 14]
+        assert rows[k][at + 11] == i / 120
+        assert np.isclose(before, np.log1p((i - 1) % 9 + 1) if i else -1) and np.isclose(after, np.log1p((i + 1) % 9 + 1) if i < 119 else -1)
+
+
+def test_link_text_is_counted_at_any_depth():
+    page = parse("<div><a href=x><b><i><u><em><span>deep words</span></em></u></i></b></a> plain</div>")
+    assert page.nodes[1].links == 9 and page.nodes[1].own == 14
+
+
+def test_formulas_stay_and_fallbacks_are_left_to_the_trees():
+    page = parse("<article><p>So <math><mi>E</mi><mo>=</mo><mn>5</mn></math> holds.</p><noscript>Turn it on</noscript></article>")
+    assert "".join(t for _, t in page.pieces).split() == "So E=5 holds. Turn it on".split()
+
+
 def test_held_out_generated_pages():
     same = 0
     for i in range(120):
