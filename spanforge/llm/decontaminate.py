@@ -15,7 +15,7 @@ The documents are not shuffled: the benchmark's windows are broadcast if their n
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, text_of
 
 WIDTH = 8
 #: Items of fewer tokens say little: they are looked for whole, and with their own values only.
@@ -103,7 +103,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     wordy = (F.col("n") >= LEAST_TOKENS) & (F.col("width") - F.size("item_slots") >= F.col("width") * LITERAL)
     own_values = F.array_join(F.slice(F.split(verbatim(text_of("text")), " "), F.col("at") + 1, F.col("width")), " ")
     asked = asked.withColumn("wordy", wordy).withColumn("h", F.when(F.col("wordy"), F.col("h")).otherwise(F.xxhash64(own_values, "width")))
-    asked = asked.select("item__", "h", F.col("at").alias("item_at"), F.col("n").alias("item_n"), "width", "item_slots", "wordy")
+    asked = materialize(asked.select("item__", "h", F.col("at").alias("item_at"), F.col("n").alias("item_n"), "width", "item_slots", "wordy"), "asked")
     exact_widths = sorted(r[0] for r in asked.where("not wordy").select("width").distinct().collect())
     widths = sorted(r[0] for r in asked.where("wordy").select("width").distinct().collect()) or [WIDTH]
     worded, literal = asked.where("wordy").drop("width"), asked.where("not wordy").drop("width")
