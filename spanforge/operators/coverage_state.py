@@ -65,7 +65,7 @@ class Coverage:
 def coverage_states(updates: DataFrame, bundles: DataFrame, questions: DataFrame) -> DataFrame:
     """Final state of each question of each stage.
 
-    ``updates``: stage_id, batch_no, question_id, state, bundle_ids; ``bundles``: stage_id, bundle_id,
+    ``updates``: stage_id, batch_no, seq, question_id, state, bundle_ids; ``bundles``: stage_id, bundle_id,
     question_id, adequacy; ``questions``: stage_id, question_id. The three meet by stage; a stage is one
     model run and so bounded by nature.
     """
@@ -74,7 +74,7 @@ def coverage_states(updates: DataFrame, bundles: DataFrame, questions: DataFrame
         known = right[right["kind"] == "bundle"]
         state = Coverage({q: Question() for q in right.loc[right["kind"] == "question", "question_id"]}, {b: (q, a) for b, q, a in zip(known["bundle_id"], known["question_id"], known["adequacy"], strict=True)})
         refused = 0
-        for _, batch in left.sort_values("batch_no", kind="stable").groupby("batch_no"):
+        for _, batch in left.sort_values(["batch_no", "seq"]).groupby("batch_no"):
             refused += bool(state.apply(batch.to_dict("records")))
         stage = (left if len(left) else right)["stage_id"].iloc[0]
         return pd.DataFrame([(stage, q, s.state, len(s.bundles), refused) for q, s in sorted(state.questions.items())], columns=["stage_id", "question_id", "state", "n_bundles", "n_refused"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
+from spanforge.operators import retrieval
 
 
 def group_passages(passages: DataFrame, source: str = "source_id", version: str = "version", order: str = "seq") -> DataFrame:
@@ -150,3 +151,38 @@ def replay(calls: DataFrame, trace: DataFrame) -> DataFrame:
     key = lambda df: T.digest(F.concat_ws("\u001f", "name", "arguments", "sources"))
     t = trace.withColumn("__key", key(trace)).groupBy("__key").agg(F.min_by("result", "seq").alias("result"))
     return calls.withColumn("__key", key(calls)).join(t, "__key", "left").withColumn("found", F.col("result").isNotNull()).drop("__key")
+
+
+def tree_digest(lines: DataFrame, key: str, order: str, line: str, fan: int = 1000, levels: int = 3) -> DataFrame:
+    """``key``, ``n``, ``digest`` of its lines in order, as a tree: lines of ``order // fan`` give a digest, and so on
+    up, so that no row holds more than about ``fan`` digests of a level while ids are dense."""
+    at = lines.select(key, F.col(order).alias("at"), F.col(line).alias("line"), F.lit(1).cast("bigint").alias("n"))
+    for level in range(levels):
+        up = F.floor(F.col("at") / fan) if level < levels - 1 else F.lit(0)
+        held = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+        at = at.withColumn("up", up.cast("bigint")).groupBy(key, "up").agg(F.sum("n").alias("n"), F.sha2(F.array_join(held, ","), 256).alias("line")).withColumnRenamed("up", "at")
+    return at.select(key, "n", F.col("line").alias("digest"))
+
+
+#: Words of a quote, after its first, that a document must hold next to each other; quotes below the least go pair by pair.
+ANCHOR, LEAST_WORDS = 4, 6
+
+
+def places(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, quote: str = "quote", text: str = "text") -> DataFrame:
+    """(``quote_id``, ``doc_id``) where the text contains the quote, an equality join on words and then the whole quote.
+
+    The second to fifth word of a quote, by single blanks, are whole words wherever it stands. Quotes
+    of fewer than six words are compared with every text, in a broadcast block after a check of number.
+    """
+    words = F.split(F.col(quote), " ")
+    q = quotes.select(quote_id, F.col(quote).alias("quote__"), F.size(words).alias("n__"), F.array_join(F.slice(words, 2, ANCHOR), " ").alias("key__"))
+    w = F.split(F.col(text), " ")
+    grams = F.transform(F.sequence(F.lit(0), F.size("w__") - ANCHOR), lambda i: F.array_join(F.slice("w__", i + 1, ANCHOR), " "))
+    held = docs.select(doc_id, F.col(text).alias("text__"), w.alias("w__")).where(F.size("w__") >= ANCHOR)
+    long = q.where(F.col("n__") >= LEAST_WORDS)
+    keyed = held.select(doc_id, "text__", F.explode_outer(F.array_distinct(grams)).alias("key__"))
+    found = keyed.join(retrieval.small(long, 20_000), "key__").where(F.col("text__").contains(F.col("quote__"))).select(quote_id, doc_id)
+    short = q.where(F.col("n__") < LEAST_WORDS)
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(retrieval.small(short, 20_000), F.col(text).contains(F.col("quote__"))).select(quote_id, doc_id))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions import text as T
+
 UNIT = "struct<unit_no:int,start_at:int,end_at:int>"
 
 
@@ -60,23 +62,52 @@ def extended(taken: DataFrame, dense: DataFrame, capacity: int, key: str = "focu
     return out.withColumn("spans", F.when(F.col("used") <= capacity, F.col("spans")).otherwise(F.raise_error(F.lit("extended reading exceeds its capacity"))))
 
 
-def bounded_views(sizes: list[int], focus: int, required: set[int], limit: int) -> list[list[int]]:
-    """At most two views of whole units around a focus (UD4): [] if the required units and the neighbours do not fit.
+def view_units(passages: Column, focus: Column) -> Column:
+    """Sentences of a view's passages, table passages whole: ``(text, focal, required)``.
+
+    ``passages``: array of structs with ``text``, ``start_at``, ``kind`` and ``required``.
+    """
+
+    def parts(p: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.length(p["text"]).alias("end")))
+        spans = F.when(p["kind"] == "table", whole).otherwise(T.sentences(p["text"]))
+
+        def unit(s: Column) -> Column:
+            focal = (p["start_at"] + s["start"] <= focus) & (focus < p["start_at"] + s["end"])
+            return F.struct(F.substr(p["text"], s["start"] + 1, s["end"] - s["start"]).alias("text"), focal.alias("focal"), p["required"].alias("required"))
+
+        return F.transform(spans, unit)
+
+    return F.flatten(F.transform(passages, parts))
+
+
+def bounded_views(query: Column, identity: Column, whole: Column, units: Column, limit: int) -> Column:
+    """At most two views of whole units around the focal one (UD4), by code points of query and view together.
 
-    One view if all fits; else one that fills backwards first and one that fills forwards first.
+    The whole text under its identity if it fits. Else the focal unit, its neighbours and what is
+    required, then others by nearness while they fit: once the later of two at one distance first,
+    once the earlier. None if what must be there does not fit, or no unit is focal.
     """
-    if sum(sizes) <= limit:
-        return [list(range(len(sizes)))]
-    core = set(required) | {i for i in (focus - 1, focus, focus + 1) if 0 <= i < len(sizes)}
-    if sum(sizes[i] for i in core) > limit:
-        return []
-    views = []
-    for sign in (-1, 1):
-        chosen, used = set(core), sum(sizes[i] for i in core)
-        for i in sorted(set(range(len(sizes))) - core, key=lambda i: ((i - focus) * sign < 0, abs(i - focus))):
-            if used + sizes[i] <= limit:
-                chosen.add(i)
-                used += sizes[i]
-        if sorted(chosen) not in views:
-            views.append(sorted(chosen))
-    return views
+    n = F.size(units)
+    places = F.sequence(F.lit(0), n - 1)
+    centre = F.array_position(F.transform(units, lambda u: u["focal"]), F.lit(True)).cast("int") - 1
+    cost = lambda i: F.length(F.get(units, i)["text"]) + 1
+    must = F.filter(places, lambda i: (F.abs(i - centre) <= 1) | F.get(units, i)["required"])
+    head = F.length(query) + F.length(identity)
+    start = F.aggregate(must, head, lambda a, i: a + cost(i))
+    joined = lambda chosen: F.concat(identity, F.lit("\n"), F.array_join(F.transform(F.array_sort(chosen), lambda i: F.get(units, i)["text"]), "\n"))
+
+    def view(direction: int) -> Column:
+        rest = F.array_sort(F.transform(F.array_except(places, must), lambda i: F.struct(F.abs(i - centre).alias("far"), (i * direction).alias("side"))))
+
+        def fill(a: Column, x: Column) -> Column:
+            i = x["side"] * direction
+            used = a["used"] + cost(i)
+            return F.when(used <= limit, F.struct(used.alias("used"), F.array_append(a["chosen"], i).alias("chosen"))).otherwise(a)
+
+        return joined(F.aggregate(rest, F.struct(start.alias("used"), must.alias("chosen")), fill, lambda a: a["chosen"]))
+
+    full = F.concat(identity, F.lit("\n"), whole)
+    none = F.expr("cast(array() as array<string>)")
+    several = F.when((n == 0) | (centre < 0), none).when(start > limit, none).otherwise(F.array_distinct(F.array(view(-1), view(1))))
+    return F.when(F.length(query) + F.length(full) <= limit, F.array(full)).otherwise(several)

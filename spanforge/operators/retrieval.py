@@ -48,22 +48,42 @@ def lexical(passages: DataFrame, queries: DataFrame, k: int = 64, scope: str | N
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "source_id", "chunk_id", "score", "rank")
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 64, scoped: bool = False, dimension: int = 64) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 64, scoped: bool = False, dimension: int = 64, block: int = 20_000) -> DataFrame:
     """Exact k nearest vectors by cosine distance (JN3, FI3, PR20, TK1).
 
     ``vectors``: ``unit_id``, ``embedding``, ``scope``; ``queries``: ``query_id``, ``query_embedding``, ``query_scope``.
-    The stated query set is compared with all rows; a block of queries is broadcast within a bound,
-    and each task keeps its best ``k`` per query before the shuffle (the window's group limit).
+    The stated query set is compared with all rows, in blocks of about ``block`` queries; a single
+    block is broadcast. Each task keeps its best ``k`` per query before the shuffle (the window's
+    group limit). Lengths are computed once per vector.
     """
-    ok = vectors.where(T.valid_vector("embedding", dimension))
-    asked = small(queries, 20_000)
-    pairs = ok.join(asked, F.col("scope") == F.col("query_scope")) if scoped else ok.join(asked, F.lit(True))
-    distance = 1 - T.cosine("embedding", "query_embedding")
+    ok = vectors.where(T.valid_vector("embedding", dimension)).withColumn("length", F.sqrt(T.dot("embedding", "embedding")))
+    asked = queries.withColumn("query_length", F.sqrt(T.dot("query_embedding", "query_embedding")))
+    blocks = max(1, -(-asked.count() // block))
+    if blocks == 1:
+        pairs = ok.join(F.broadcast(asked), F.col("scope") == F.col("query_scope") if scoped else F.lit(True))
+    else:
+        asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        every = ok.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+        pairs = every.join(asked, (every["query_block"] == asked["query_block"]) & ((F.col("scope") == F.col("query_scope")) if scoped else F.lit(True)))
+    distance = 1 - T.dot("embedding", "query_embedding") / (F.col("length") * F.col("query_length"))
     w = Window.partitionBy("query_id").orderBy("distance", "unit_id")
     found = pairs.select("query_id", "unit_id", F.round(distance, 9).alias("distance"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def hydrated(hits: DataFrame, units: DataFrame, passages: DataFrame) -> DataFrame:
+    """Dense hits as passages (JN4): ``query_id``, ``source_id``, ``chunk_id``, ``rank``.
+
+    ``units``: ``unit_id``, ``source_id``, ``chunk_id``, ``text_hash``. A unit without a passage, or whose
+    passage has another text than was embedded, is an error.
+    """
+    there = passages.select("source_id", "chunk_id", F.sha2("chunk_text", 256).alias("found_hash"))
+    both = hits.join(units.select("unit_id", "source_id", "chunk_id", "text_hash"), "unit_id", "left").join(there, ["source_id", "chunk_id"], "left")
+    same = F.col("text_hash") == F.col("found_hash")
+    checked = F.when(F.coalesce(same, F.lit(False)), F.col("chunk_id")).otherwise(F.raise_error(F.lit("vector index does not match the corpus")))
+    return both.select("query_id", "source_id", checked.alias("chunk_id"), "rank")
+
+
 def fuse(branches: dict[str, DataFrame], keys: list[str], k: int = 64, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion (JN2, WN8, TK2): a branch counts once per key, at its first rank.
 

@@ -79,8 +79,11 @@ def tokens_stats(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(T.tokens("text")).cast("long").alias("n_tokens"))
 
 
-def lexical_sql(scope: str = "") -> str:
-    return f"""WITH {CHUNKS}, p AS (SELECT doc_id, chunk_id, start_at, {WORDS.format('chunk_text')} AS tk FROM chunks),
+WHOLE = "(SELECT doc_id, 'text' AS chunk_id, 0 AS start_at, text AS chunk_text FROM documents)"
+
+
+def lexical_sql(scope: str = "", passages: str = "chunks") -> str:
+    return f"""WITH {CHUNKS}, p AS (SELECT doc_id, chunk_id, start_at, {WORDS.format('chunk_text')} AS tk FROM {passages}),
 e AS (SELECT doc_id, chunk_id, start_at, len(tk) AS size, unnest(tk) AS token FROM p),
 q AS (SELECT DISTINCT item_id, unnest({WORDS.format('text')}) AS token FROM benchmark),
 s AS (SELECT item_id AS query_id, doc_id AS source_id, chunk_id, start_at, count(*) / sqrt(greatest(1, size)) AS score FROM e JOIN q USING (token) {scope} GROUP BY ALL, size)
@@ -121,23 +124,33 @@ def dense_scoped_topk(spark, d):
     return retrieval.dense(*dense_inputs(spark, d), scoped=True).withColumn("distance", F.abs("distance"))
 
 
+def items_of(spark, d):
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def branches_of(spark, d):
-    """Two rankings of the documents for each item: by tokens of their chunks, and by tokens of their first chunk."""
-    lex = lexical_topk(spark, d).select("query_id", "source_id", "rank")
-    first = passages_of(spark, d).where("chunk_no = 0")
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return {"chunks": lex, "heads": retrieval.lexical(first, q).select("query_id", "source_id", "rank")}
+    """Two rankings of the documents for each item: by tokens of their chunks, and by tokens of the whole texts."""
+    whole = read(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.lit("text").alias("chunk_id"), F.lit(0).alias("start_at"), F.col("text").alias("chunk_text"))
+    ranks = lambda p: retrieval.lexical(p, items_of(spark, d)).select("query_id", "source_id", "rank")
+    return {"chunks": ranks(passages_of(spark, d)), "texts": ranks(whole)}
 
 
-FUSED = f"""lex AS ({lexical_sql().replace('WITH ', 'WITH ', 1)}),
-heads AS ({lexical_sql().replace('FROM chunks)', 'FROM chunks WHERE chunk_no = 0)', 1)}),
-b AS (SELECT query_id, source_id, min(rank) AS rank_chunks, NULL::BIGINT AS rank_heads FROM lex GROUP BY 1, 2 UNION ALL SELECT query_id, source_id, NULL, min(rank) FROM heads GROUP BY 1, 2),
-f AS (SELECT query_id, source_id, min(rank_chunks) AS rank_chunks, min(rank_heads) AS rank_heads FROM b GROUP BY 1, 2),
-s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + rank_chunks), 0) + coalesce(1.0::DOUBLE / (60 + rank_heads), 0) AS rrf FROM f),
+FUSED = f"""lex AS ({lexical_sql()}), whole AS ({lexical_sql(passages=WHOLE)}),
+b AS (SELECT query_id, source_id, min(rank) AS rank_chunks, NULL::BIGINT AS rank_texts FROM lex GROUP BY 1, 2 UNION ALL SELECT query_id, source_id, NULL, min(rank) FROM whole GROUP BY 1, 2),
+f AS (SELECT query_id, source_id, min(rank_chunks) AS rank_chunks, min(rank_texts) AS rank_texts FROM b GROUP BY 1, 2),
+s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + rank_chunks), 0) + coalesce(1.0::DOUBLE / (60 + rank_texts), 0) AS rrf FROM f),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, source_id) AS rank FROM s) WHERE rank <= 64)"""
 
 
-@query(f"WITH {FUSED} SELECT query_id, source_id, rank_chunks, rank_heads, rrf, rank FROM fused")
+def cover_sql(ranked: str, limit: int) -> str:
+    """Walk over ``ranked`` (query_id, rank without gaps, refs): a row per query with the ranks kept."""
+    return f"""walk(query_id, k, seen, kept) AS (SELECT DISTINCT query_id, 0::BIGINT, []::VARCHAR[], []::BIGINT[] FROM {ranked}
+ UNION ALL SELECT w.query_id, x.rank, CASE WHEN len(kept) < {limit} AND NOT list_has_all(seen, refs) THEN list_distinct(list_concat(seen, refs)) ELSE seen END,
+ CASE WHEN len(kept) < {limit} AND NOT list_has_all(seen, refs) THEN list_append(kept, x.rank) ELSE kept END FROM walk w JOIN {ranked} x ON x.query_id = w.query_id AND x.rank = w.k + 1),
+cover AS (SELECT query_id, arg_max(kept, k) AS kept FROM walk GROUP BY query_id)"""
+
+
+@query(f"WITH {FUSED} SELECT query_id, source_id, rank_chunks, rank_texts, rrf, rank FROM fused")
 def rrf_fusion(spark, d):
     return retrieval.fuse(branches_of(spark, d), ["source_id"])
 
@@ -189,13 +202,21 @@ def surrounding_window(spark, d):
     return structure.surrounding(g, "conv_id", "group_no", 1).select("conv_id", "focus_turn", "turn", "group_no")
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, length(regexp_extract(text, '^[。！？.!?]+')) AS lead, regexp_extract_all(text, '[^。！？.!?]+[。！？.!?]*') AS parts FROM documents),
+s AS (SELECT doc_id, unit_no, part, lead FROM (SELECT doc_id, lead, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS unit_no FROM t)),
+u AS (SELECT doc_id, unit_no, length(part) AS size FROM s), f AS (SELECT doc_id, max(unit_no) // 2 AS focus_no FROM u GROUP BY doc_id),
+c AS (SELECT doc_id, focus_no, unit_no, size, row_number() OVER (PARTITION BY doc_id ORDER BY abs(unit_no - focus_no), unit_no) - 1 AS k FROM u JOIN f USING (doc_id) WHERE abs(unit_no - focus_no) <= 2),
+fill(doc_id, k, used, units) AS (SELECT doc_id, 0::BIGINT, CASE WHEN size <= 800 THEN size ELSE 0 END, CASE WHEN size <= 800 THEN [unit_no] ELSE [] END FROM c WHERE k = 0
+ UNION ALL SELECT c.doc_id, c.k, CASE WHEN len(units) > 0 AND used + size <= 800 THEN used + size ELSE used END, CASE WHEN len(units) > 0 AND used + size <= 800 THEN list_append(units, unit_no) ELSE units END FROM fill JOIN c ON c.doc_id = fill.doc_id AND c.k = fill.k + 1),
+w AS (SELECT doc_id, arg_max(used, k) AS used, arg_max(units, k) AS units FROM fill GROUP BY doc_id), o AS (SELECT c.doc_id, list(unit_no ORDER BY unit_no) FILTER (NOT list_contains(units, unit_no)) AS omitted FROM c JOIN w USING (doc_id) GROUP BY 1)
+SELECT doc_id, focus_no, array_to_string(list_sort(units), ',') AS units, coalesce(array_to_string(omitted, ','), '') AS omitted, used, CASE WHEN len(units) = 0 THEN 'oversized_unit' WHEN omitted IS NULL THEN 'complete_window' ELSE 'partial_parent' END AS status FROM w JOIN o USING (doc_id) JOIN f USING (doc_id)""")
 def reading_window_greedy(spark, d):
     """Around the middle sentence of every document, within 800 characters."""
     s = read(spark, d, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("unit_no", "s"))
     u = s.select("doc_id", "unit_no", F.col("unit_no").alias("group_no"), F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
     f = u.groupBy("doc_id").agg(F.floor(F.max("unit_no") / 2).cast("int").alias("focus_no")).select(F.col("doc_id").alias("focus_id"), "doc_id", "focus_no")
-    return reading.windows(u, f, "doc_id", 800, reach=2)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return reading.windows(u, f, "doc_id", 800, reach=2).select("doc_id", F.col("focus_no").cast("long").alias("focus_no"), listed("units"), listed("omitted"), F.col("used").cast("long").alias("used"), "status")
 
 
 @query()
@@ -249,7 +270,7 @@ def span_dictionary(spark, d):
     return table.select(F.col("source_id").alias("doc_id"), F.col("span_no").cast("long").alias("span_no"), F.col("span.start").alias("start_at"), F.col("span.end").alias("end_at"))
 
 
-@query()
+@query(f"WITH {CHUNKS} SELECT count(*) AS n, count(*) AS n_back, 0::BIGINT AS n_lost FROM chunks")
 def compact_round_trip(spark, d):
     """Rows of evidence before and after columnar transport; the counts of both and of their difference."""
     e = evidence_rows(spark, d).select("source_id", "version", "seq", "chunk_id", "ref")
@@ -257,19 +278,22 @@ def compact_round_trip(spark, d):
     return e.agg(F.count("*").alias("n")).join(back.agg(F.count("*").alias("n_back"))).join(e.exceptAll(back).agg(F.count("*").alias("n_lost")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FUSED.replace('lex AS (WITH', 'lex AS (WITH', 1)}, {CHUNKS}, r AS (SELECT doc_id, list_sort(list(DISTINCT sha256(chunk_text))) AS refs FROM chunks GROUP BY doc_id),
+ranked AS (SELECT query_id, rank, refs FROM fused JOIN r ON r.doc_id = source_id), {cover_sql('ranked', 6)} SELECT query_id, array_to_string(kept, ',') AS kept FROM cover""")
 def selection_cover_dedup(spark, d):
     fused = rrf_fusion(spark, d)
     refs = fused.join(chunks_of(spark, d).groupBy(F.col("doc_id").alias("source_id")).agg(F.array_sort(F.collect_set(F.sha2("chunk_text", 256))).alias("refs")), "source_id")
-    return retrieval.select_uncovered(refs, 6)
+    return retrieval.select_uncovered(refs, 6).select("query_id", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
 
 
-@query()
+@query(f"""WITH {FUSED}, {CHUNKS}, q AS (SELECT item_id AS query_id, {WORDS.format('text')} AS qt FROM benchmark), v AS (SELECT DISTINCT doc_id AS source_id, chunk_no, {WORDS.format('chunk_text')} AS vt FROM chunks),
+x AS (SELECT query_id, rank AS place, max(len(list_intersect(qt, vt)) / sqrt(greatest(1, len(vt)))) AS score, count(*) AS pairs FROM fused JOIN q USING (query_id) JOIN v USING (source_id) GROUP BY 1, 2)
+SELECT query_id, place, score, pairs, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS rank FROM x""")
 def rerank_blocks(spark, d):
+    """All chunks of each fused candidate as views; a candidate goes by its best."""
     fused = rrf_fusion(spark, d)
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     views = chunks_of(spark, d).groupBy(F.col("doc_id").alias("source_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_text"))), lambda x: x["chunk_text"]).alias("views"))
-    c = fused.join(q, "query_id").join(views, "source_id").select("query_id", F.col("rank").alias("place"), "query", "views")
+    c = fused.join(items_of(spark, d), "query_id").join(views, "source_id").select("query_id", F.col("rank").alias("place"), "query", "views")
     return retrieval.rerank(c, retrieval.overlap_score)
 
 
@@ -382,7 +406,12 @@ def ledger_usage(spark, d):
     return ledger.usage(invocations_of(spark, d), "user_id", ["event_id"]).select("user_id", "event_id", F.round("used_before", 4).alias("used_before"), F.round("used_after", 4).alias("used_after"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value AS wanted, CASE WHEN event_type <> 'error' THEN value / 2 END AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+r(user_id, event_id, k, used, n, cap, admitted, lim) AS (SELECT DISTINCT user_id, NULL::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0, NULL::DOUBLE, false, NULL::VARCHAR FROM e
+ UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN n < 10 AND least(wanted, 60.0, 400.0 - used) > 0 THEN used + coalesce(seconds, least(wanted, 60.0, 400.0 - used)) ELSE used END,
+ CASE WHEN n < 10 AND least(wanted, 60.0, 400.0 - used) > 0 THEN n + 1 ELSE n END, least(wanted, 60.0, 400.0 - used), n < 10 AND least(wanted, 60.0, 400.0 - used) > 0,
+ CASE WHEN n >= 10 THEN 'call_ceiling' WHEN wanted <= 60.0 AND wanted <= 400.0 - used THEN 'requested_allowance' WHEN 60.0 <= 400.0 - used THEN 'call_cap' ELSE 'aggregate_invocation' END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, admitted, CASE WHEN admitted THEN cap END AS reserved, lim AS limiting_resource, used AS used_after FROM r WHERE k > 0""")
 def ledger_admission(spark, d):
     return ledger.admissions(invocations_of(spark, d), "user_id", ["event_id"], 400.0, 60.0, 10)
 
@@ -414,9 +443,9 @@ def html_blocks(spark, d):
 
 @query(f"WITH {CHUNKS} SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_places(spark, d):
-    """Documents that hold a benchmark text word for word; the quotes are the small side by a check of their number."""
-    q = retrieval.small(read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), 20_000)
-    return read(spark, d, "documents").join(q, F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+    """Documents that hold a benchmark text word for word."""
+    q = read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return evidence.places(q, read(spark, d, "documents"), "item_id", "doc_id")
 
 
 @query(f"""WITH {CHUNKS}, q AS (SELECT item_id, item_id AS doc_id, 'c' || item_id % 2 AS chunk_id, text AS quote FROM benchmark) SELECT item_id, q.doc_id, q.chunk_id FROM q LEFT JOIN chunks c ON q.doc_id = c.doc_id AND q.chunk_id = c.chunk_id WHERE NOT coalesce(length(quote) > 0 AND contains(chunk_text, quote), false)""")
@@ -426,19 +455,20 @@ def quote_violations(spark, d):
 
 
 @query("""WITH t AS (SELECT event_type AS name, user_id::VARCHAR AS arguments, min(event_id) AS seq, arg_min(value::VARCHAR, event_id) AS result FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2)
-SELECT e.event_id, t.seq IS NOT NULL AS found FROM events e LEFT JOIN t ON t.name = e.event_type AND t.arguments = e.user_id::VARCHAR""")
+SELECT e.event_id, t.seq IS NOT NULL AS found, round(t.result::DOUBLE, 6) AS result FROM events e LEFT JOIN t ON t.name = e.event_type AND t.arguments = e.user_id::VARCHAR""")
 def replay_lookup(spark, d):
     e = read(spark, d, "events").select("event_id", F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("arguments"), F.lit("s").alias("sources"), F.col("value").cast("string").alias("result"))
     trace = e.where("event_id % 2 = 0").withColumnRenamed("event_id", "seq")
-    return evidence.replay(e.drop("result"), trace).select("event_id", "found")
+    return evidence.replay(e.drop("result"), trace).select("event_id", "found", F.round(F.col("result").cast("double"), 6).alias("result"))
 
 
-@query("SELECT source, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@query("""WITH a AS (SELECT source, doc_id // 1000 AS g, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL),
+b AS (SELECT source, g // 1000 AS g, sum(n) AS n, sha256(string_agg(h, ',' ORDER BY g)) AS h FROM a GROUP BY source, a.g // 1000)
+SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(h, ',' ORDER BY g)) AS digest FROM b GROUP BY source""")
 def manifest_digest(spark, d):
     """A digest of digests per source (AG16, SC11)."""
     e = read(spark, d, "documents").select("source", "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
-    return e.groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, ","), 256).alias("digest"))
+    return evidence.tree_digest(e, "source", "doc_id", "line")
 
 
 @query(f"""WITH {FUSED}, l AS (SELECT query_id, count(DISTINCT source_id) AS n_lexical FROM lex GROUP BY 1), h AS (SELECT query_id, count(*) AS n_fused, count(*) FILTER (rank <= 6) AS n_returned FROM fused GROUP BY 1),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as T
 from spanforge.operators import coverage_state, evidence, report, retrieval, structure, workflow
 from spanforge.plans import search as api
-from spanforge.plans.catalogue import CHUNKS, LIMIT, REFS, bundles_of, chunks_of, evidence_rows, passages_of, query, read
+from spanforge.plans.catalogue import CHUNKS, LIMIT, REFS, WORDS, bundles_of, chunks_of, cover_sql, evidence_rows, items_of, lexical_sql, passages_of, query, read
 from spanforge.sources import ingest
 
 
@@ -30,13 +30,15 @@ def vector_validation(spark, d):
     return read(spark, d, "embeddings").select("vec_id", T.valid_vector("embedding", 64).alias("ok"))
 
 
-@query("""WITH p AS (SELECT label, pos, avg(v::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL)
-SELECT label, round(sqrt(sum(m * m) / sum(m * m)), 6) AS norm, count(*) AS dimension FROM p GROUP BY label""")
+@query("""WITH t AS (SELECT vec_id, p, embedding[p]::DOUBLE + (vec_id % 2) * embedding[16 + p]::DOUBLE + embedding[32 + p]::DOUBLE AS total FROM embeddings, unnest(range(1, 17)) x(p)),
+n AS (SELECT vec_id, sqrt(sum(total * total)) AS norm FROM t GROUP BY 1) SELECT vec_id, p - 1 AS at, round(total / greatest(norm, 1e-12), 6) + 0.0 AS value FROM t JOIN n USING (vec_id)""")
 def masked_pooling(spark, d):
-    """Mean of the unmasked vectors of a label at unit length."""
-    g = read(spark, d, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("v"), F.collect_list(F.when(F.col("vec_id") % 2 == 0, 1).otherwise(0)).alias("m"))
-    p = g.select("label", T.pooled("v", "m").alias("p"))
-    return p.select("label", F.round(F.sqrt(T.dot("p", "p")), 6).alias("norm"), F.size("p").cast("long").alias("dimension"))
+    """Each vector as four token vectors, the second masked out of even ones and the last of all."""
+    e = read(spark, d, "embeddings")
+    tokens = F.transform(F.array(*map(F.lit, (1, 17, 33, 49))), lambda i: F.slice("embedding", i, F.lit(16)))
+    mask = F.array(F.lit(1), (F.col("vec_id") % 2).cast("int"), F.lit(1), F.lit(0))
+    pooled = e.select("vec_id", F.posexplode(T.pooled(tokens, mask)).alias("at", "value"))
+    return pooled.select("vec_id", F.col("at").cast("long").alias("at"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query(f"""WITH {CHUNKS} SELECT doc_id, count(*) AS chunk_count, arg_min(chunk_text, chunk_no) AS first_passage FROM chunks GROUP BY doc_id""")
@@ -71,13 +73,16 @@ def fixed_field_dedup(spark, d):
     return read(spark, d, "documents").select("doc_id", T.without_parent("source", F.lit("src0")).alias("source"), T.without_parent("lang", F.lit("en")).alias("lang"))
 
 
-@query("""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY part) - 1)::BIGINT AS block_no, text AS block_text FROM (SELECT conv_id, turn AS part, text FROM conversations WHERE trim(text) <> '')""")
+@query("""WITH p AS (SELECT conv_id, turn, k, CASE k WHEN 0 THEN '# ' || role WHEN 1 THEN text ELSE '| ' || role || ' | ' || turn || ' |' END AS body FROM conversations, unnest([0, 1, 2]) t(k)), b AS (SELECT *, trim(body) AS block_text FROM p WHERE trim(body) <> '')
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::BIGINT AS block_no, CASE WHEN starts_with(body, '#') THEN 'heading' WHEN starts_with(body, '|') THEN 'table' ELSE 'paragraph' END AS kind, block_text FROM b""")
 def text_blocks(spark, d):
-    """Conversations joined by blank lines and split into blocks again."""
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n \n").alias("text"))
-    b = structure.text_blocks(c, "conv_id", "text")
+    """Conversations as Markdown, a heading, a paragraph and a table row a turn, blank lines between them, split again."""
+    c = read(spark, d, "conversations")
+    turn = F.concat_ws("\n \n", F.concat(F.lit("# "), "role"), "text", F.concat_ws(" ", F.lit("|"), "role", F.lit("|"), F.col("turn").cast("string"), F.lit("|")))
+    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))), lambda x: x["t"]), "\n\t\n").alias("text"))
+    b = structure.text_blocks(whole, "conv_id", "text")
     w = Window.partitionBy("conv_id").orderBy("part")
-    return b.select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("block_no"), "block_text")
+    return b.select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("block_no"), "kind", "block_text")
 
 
 @query(f"""WITH {CHUNKS} SELECT doc_id, count(*) FILTER (end_at - start_at < {LIMIT}) AS n_short, count(*) FILTER (start_at = 0) AS n_first FROM chunks GROUP BY doc_id""")
@@ -144,20 +149,54 @@ def published_index(spark, d):
     return ingest.published(spark, path).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query()
+def bucketed(text):
+    """A stated embedding without a model: distinct tokens counted in 64 buckets of their MD5."""
+    bucket = F.transform(T.tokens(text), lambda t: F.pmod(F.conv(F.substr(F.md5(t.cast("binary")), F.lit(1), F.lit(4)), 16, 10).cast("int"), F.lit(64)))
+    # bound to a variable, or the text would be tokenised for each of the buckets
+    counts = lambda seen: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.size(F.filter(seen, lambda x: x == b)).cast("double"))
+    return F.get(F.transform(F.array(bucket), counts), 0)
+
+
+def bucket_sql(text: str) -> str:
+    return f"unnest(list_transform({WORDS.format(text)}, lambda t: ('0x' || substr(md5(t), 1, 4))::INT % 64))"
+
+
+DENSE = f"""cb AS (SELECT doc_id, chunk_no, b, count(*) AS n FROM (SELECT doc_id, chunk_no, {bucket_sql('chunk_text')} AS b FROM chunks) GROUP BY ALL), cl AS (SELECT doc_id, chunk_no, sqrt(sum(n * n)::DOUBLE) AS l FROM cb GROUP BY ALL),
+qb AS (SELECT item_id, b, count(*) AS n FROM (SELECT item_id, {bucket_sql('text')} AS b FROM benchmark) GROUP BY ALL), ql AS (SELECT item_id, sqrt(sum(n * n)::DOUBLE) AS l FROM qb GROUP BY ALL),
+dots AS (SELECT item_id, doc_id, chunk_no, sum(cb.n * qb.n)::DOUBLE AS dot FROM cb JOIN qb USING (b) GROUP BY ALL),
+dd AS (SELECT ql.item_id AS query_id, cl.doc_id AS source_id, cl.chunk_no, round(1 - coalesce(dot, 0) / (cl.l * ql.l), 9) AS distance FROM cl CROSS JOIN ql LEFT JOIN dots ON dots.item_id = ql.item_id AND dots.doc_id = cl.doc_id AND dots.chunk_no = cl.chunk_no),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, source_id, chunk_no) AS rank FROM dd) WHERE rank <= 64)"""
+
+
+@query(f"""WITH RECURSIVE {CHUNKS}, lex AS ({lexical_sql()}), {DENSE},
+pool0 AS (SELECT query_id, source_id, chunk_id, max(lr) AS lr, max(dr) AS dr FROM (SELECT query_id, source_id, chunk_id, rank AS lr, NULL::BIGINT AS dr FROM lex UNION ALL SELECT query_id, source_id, 'c' || chunk_no, NULL, rank FROM dense) GROUP BY 1, 2, 3),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / (60 + lr), 0) + coalesce(1.0::DOUBLE / (60 + dr), 0) DESC, source_id, chunk_id) AS place FROM pool0) WHERE place <= 64),
+w AS (SELECT f.doc_id AS source_id, f.chunk_id, list(n.doc_id || ':' || n.start_at || ':' || n.end_at ORDER BY n.chunk_no) AS refs, string_agg(n.chunk_text, chr(10) ORDER BY n.chunk_no) AS view FROM chunks f JOIN chunks n ON n.doc_id = f.doc_id AND abs(n.chunk_no - f.chunk_no) <= 1 GROUP BY 1, 2),
+x AS (SELECT query_id, place, source_id, chunk_id, refs, len(list_intersect({WORDS.format('b.text')}, {WORDS.format('view')})) / sqrt(greatest(1, len({WORDS.format('view')}))) AS score FROM pool JOIN w USING (source_id, chunk_id) JOIN benchmark b ON b.item_id = query_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS rank FROM x), {cover_sql('ranked', 6)}
+SELECT r.query_id, r.source_id, r.chunk_id, r.score, r.rank AS place, len(refs) AS n_units, 'ready' AS retrieval_status FROM ranked r JOIN cover ON cover.query_id = r.query_id WHERE list_contains(kept, r.rank)""")
 def search_pipeline(spark, d):
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return api.search(passages_of(spark, d), q, score=retrieval.overlap_score)
+    """Hybrid candidates, windows of the chunk and its neighbours, scores of the whole windows, uncovered blocks."""
+    p = passages_of(spark, d)
+    vectors = p.select((F.col("source_id") * 100_000 + F.col("chunk_no")).alias("unit_id"), "source_id", "chunk_id", F.sha2("chunk_text", 256).alias("text_hash"), bucketed("chunk_text").alias("embedding"))
+    found = api.search(p, items_of(spark, d), api.Settings(view_characters=10_000), provider=api.hybrid(vectors, bucketed, 64), score=retrieval.overlap_score)
+    return found.select("query_id", "source_id", "chunk_id", "score", F.col("place").cast("long").alias("place"), F.size("units").cast("long").alias("n_units"), "retrieval_status")
+
+
+COVERAGE = """u AS (SELECT user_id, event_id, event_id // 100 AS batch_no, 'q' || event_id % 5 AS question_id, ['unresolved', 'partial', 'supported', 'conflicting'][event_id % 4 + 1] AS state, event_id % 37 = 5 AS bad FROM events),
+b AS (SELECT user_id, batch_no, bool_or(bad) AS refused FROM u GROUP BY ALL), g AS (SELECT user_id, question_id, arg_max(state, event_id) AS state FROM u JOIN b USING (user_id, batch_no) WHERE NOT refused GROUP BY ALL),
+n AS (SELECT user_id, count(*) FILTER (refused) AS n_refused FROM b GROUP BY ALL)"""
 
 
-@query()
+@query(f"""WITH {COVERAGE} SELECT n.user_id AS stage_id, 'q' || k AS question_id, coalesce(state, 'unresolved') AS state, (CASE WHEN state IS NULL THEN 0 ELSE 2 END)::INT AS n_bundles, n_refused::INT AS n_refused FROM n CROSS JOIN unnest([0, 1, 2, 3, 4]) t(k) LEFT JOIN g ON g.user_id = n.user_id AND g.question_id = 'q' || k""")
 def coverage_machine(spark, d):
-    """Coverage updates from the event log, five questions a stage."""
+    """Coverage updates from the event log, five questions a stage; some name a bundle of another question, and their batch is refused."""
     e = read(spark, d, "events")
     q = F.concat(F.lit("q"), (F.col("event_id") % 5).cast("string"))
     state = F.element_at(F.array(*(F.lit(s) for s in coverage_state.STATES)), (F.col("event_id") % 4 + 1).cast("int"))
-    bundle = lambda k: F.concat(F.lit("b"), (F.col("event_id") % 5).cast("string"), F.lit(k))
-    updates = e.select(F.col("user_id").alias("stage_id"), F.floor(F.col("event_id") / 100).alias("batch_no"), q.alias("question_id"), state.alias("state"), F.array(bundle("x"), bundle("y")).alias("bundle_ids"))
+    of = lambda k, n: F.concat(F.lit("b"), (n % 5).cast("string"), F.lit(k))
+    wrong = F.when(F.col("event_id") % 37 == 5, F.col("event_id") + 1).otherwise(F.col("event_id"))
+    updates = e.select(F.col("user_id").alias("stage_id"), F.floor(F.col("event_id") / 100).alias("batch_no"), F.col("event_id").alias("seq"), q.alias("question_id"), state.alias("state"), F.array(of("x", F.col("event_id")), of("y", wrong)).alias("bundle_ids"))
     stages = e.select(F.col("user_id").alias("stage_id")).distinct()
     n = F.explode(F.sequence(F.lit(0), F.lit(4)))
     questions = stages.select("stage_id", n.alias("n")).select("stage_id", F.concat(F.lit("q"), F.col("n").cast("string")).alias("question_id"))
@@ -194,9 +233,9 @@ def output_validation(spark, d):
 def corpus_signature(spark, d):
     """Sources whose digest changes when some of their texts do."""
     e = read(spark, d, "documents")
-    lines = lambda text: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("doc_id"), F.sha2(text, 256).alias("h")))), lambda x: x["h"]), ","), 256).alias("digest")
-    now = e.groupBy(F.col("source").alias("path")).agg(lines(F.col("text")))
-    was = e.groupBy(F.col("source").alias("path")).agg(lines(F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    other = F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    signed = lambda text: evidence.tree_digest(e.select("source", "doc_id", F.sha2(text, 256).alias("line")), "source", "doc_id", "line").withColumnRenamed("source", "path")
+    now, was = signed(F.col("text")), signed(other)
     return workflow.manifest_mismatch(now, was).select("path")
 
 

@@ -1,4 +1,4 @@
-"""The search API: candidates, windows, scores, uncovered blocks, grouped originals."""
+"""The search API: candidates, reading windows, bounded views, scores, uncovered blocks, grouped originals."""
 
 from __future__ import annotations
 
@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import retrieval
+from spanforge.operators import evidence, reading, retrieval
+
+Scorer = Callable[[Column, Column], Column]
+#: Candidates of each query: (passages, queries, limit) to query_id, source_id, chunk_id, rank.
+Provider = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -20,11 +24,15 @@ class Settings:
     retrieval_limit: int = 6
     window_characters: int = 8000
     surrounding: int = 1
+    view_characters: int = 4000
+    mode: str = "reranked"
 
     def __post_init__(self) -> None:
-        for name, low, high in (("candidate_limit", 1, 512), ("retrieval_limit", 1, 64), ("window_characters", 200, 200_000), ("surrounding", 0, 2)):
+        for name, low, high in (("candidate_limit", 1, 512), ("retrieval_limit", 1, 64), ("window_characters", 200, 200_000), ("surrounding", 0, 2), ("view_characters", 100, 200_000)):
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must be {low}..{high}")
+        if self.mode not in ("reranked", "degraded_lexical"):
+            raise ValueError("mode must be reranked or degraded_lexical")
 
 
 def scoped(queries: DataFrame, sources: DataFrame) -> DataFrame:
@@ -36,24 +44,110 @@ def scoped(queries: DataFrame, sources: DataFrame) -> DataFrame:
     return known.select("query_id", "query", F.when(F.col("scope").isNull() | F.col("known").isNotNull(), F.col("scope")).otherwise(F.raise_error(F.lit("unknown source"))).alias("scope"))
 
 
-def search(passages: DataFrame, queries: DataFrame, settings: Settings = Settings(), dense: DataFrame | None = None, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Selected passages of every query (CP1–CP4) with ``retrieval_status``.
+def lexical(passages: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """The provider without vectors; a ``scope`` column of the queries restricts each to a source."""
+    if "scope" not in queries.columns:
+        return retrieval.lexical(passages, queries, limit)
+    some = retrieval.lexical(passages, queries.where("scope is not null"), limit, scope="scope")
+    return some.unionByName(retrieval.lexical(passages, queries.where("scope is null"), limit))
+
+
+def hybrid(units: DataFrame, embed: Callable[[Column], Column], dimension: int) -> Provider:
+    """Provider that fuses lexical ranks with those of vectors (UF3, UF4, CP3), both to the same depth.
 
-    ``passages``: source_id, chunk_id, start_at, chunk_text; ``dense``: query_id, source_id, chunk_id, rank.
-    Without a scorer nothing is selected and the status is ``reranker_unavailable``: lexical order never
-    stands in silently; ``retrieval.overlap_score`` may be given, by name.
+    ``units``: unit_id, source_id, chunk_id, text_hash, embedding; ``embed`` turns the query text into a vector.
     """
-    lex = retrieval.lexical(passages, queries, settings.candidate_limit)
-    keys = ["source_id", "chunk_id"]
-    pool = retrieval.fuse({"lexical": lex, "dense": dense}, keys, settings.candidate_limit) if dense is not None else lex
-    if score is None:
-        return pool.limit(0).select("query_id", *keys, F.lit(0.0).alias("score"), F.lit(0).alias("place"), F.lit("reranker_unavailable").alias("retrieval_status"))
-    texts = passages.select(*keys, "chunk_text")
-    c = pool.join(texts, keys).join(queries.select("query_id", "query"), "query_id").select("query_id", F.col("rank").alias("place"), *keys, "query", F.array("chunk_text").alias("views"), F.array(F.sha2("chunk_text", 256)).alias("refs"))
-    ranked = retrieval.rerank(c, score)
+
+    def provide(passages: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+        asked = queries.select("query_id", embed(F.col("query")).alias("query_embedding"), (F.col("scope") if "scope" in queries.columns else F.lit(None)).alias("query_scope"))
+        asked = asked.where(T.valid_vector("query_embedding", dimension))
+        vectors = units.select("unit_id", "embedding", F.col("source_id").alias("scope"))
+        parts = [retrieval.dense(vectors, asked.where("query_scope is null"), limit, False, dimension)]
+        if "scope" in queries.columns:
+            parts.append(retrieval.dense(vectors, asked.where("query_scope is not null"), limit, True, dimension))
+        hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        branches = {"lexical": lexical(passages, queries, limit), "dense": retrieval.hydrated(hits, units, passages)}
+        return retrieval.fuse(branches, ["source_id", "chunk_id"], limit)
+
+    return provide
+
+
+def units_of(passages: DataFrame) -> DataFrame:
+    """Passages as reading units, each a group of its own, for a corpus without finer structure."""
+    return passages.select("source_id", F.col("chunk_no").cast("int").alias("unit_no"), F.col("chunk_no").cast("int").alias("group_no"), "start_at", "end_at", F.col("chunk_text").alias("unit_text"), F.lit("paragraph").alias("kind"))
+
+
+def blocks(pool: DataFrame, passages: DataFrame, units: DataFrame, settings: Settings) -> DataFrame:
+    """A reading window around each candidate (UD2, CP5): its units' texts and references, and the window's status.
+
+    Windows are built once for each place, however many queries propose it.
+    """
+    wanted = pool.select("source_id", "chunk_id").distinct().join(passages.select("source_id", "chunk_id", F.col("start_at").alias("point")), ["source_id", "chunk_id"])
+    bounds = units.select("source_id", F.col("unit_no").alias("focus_no"), F.col("start_at").alias("unit_start"), F.col("end_at").alias("unit_end"))
+    focus = evidence.containing(wanted, bounds, "source_id").select(F.struct("source_id", "focus_no").alias("focus_id"), "source_id", "focus_no", "chunk_id", "point")
+    around = reading.windows(units, focus.select("focus_id", "source_id", "focus_no").distinct(), "source_id", settings.window_characters, settings.surrounding)
+    texts = units.select("source_id", "unit_no", F.struct("unit_no", F.col("unit_text").alias("text"), "start_at", "end_at", "kind").alias("unit"))
+    held = around.select("focus_id", "source_id", "status", F.explode("units").alias("unit_no")).join(texts, ["source_id", "unit_no"])
+    held = held.groupBy("focus_id", "status").agg(F.array_sort(F.collect_list("unit")).alias("units"))
+    name = lambda u: F.sha2(F.concat_ws(":", F.col("source_id").cast("string"), u["start_at"].cast("string"), u["end_at"].cast("string")), 256)
+    out = focus.join(held, "focus_id").withColumn("refs", F.transform("units", name))
+    return out.select("source_id", "chunk_id", "point", "status", "units", "refs", T.digest(F.array_join("refs", ",")).alias("block_id"))
+
+
+def search(passages: DataFrame, queries: DataFrame, settings: Settings = Settings(), units: DataFrame | None = None, provider: Provider = lexical, score: Scorer | None = None) -> DataFrame:
+    """Selected reading blocks of every query (CP1, CP3) with ``retrieval_status``.
+
+    ``passages``: source_id, chunk_no, chunk_id, start_at, end_at, chunk_text, optionally ``context`` (finds, is never
+    scored or returned) and ``identity_text``; ``units``: source_id, unit_no, group_no, start_at, end_at, unit_text, kind.
+    Without a scorer nothing is selected and the status is ``reranker_unavailable``: lexical order
+    stands in only where the mode is ``degraded_lexical``.
+    """
+    units = units_of(passages) if units is None else units
+    pool = provider(passages, queries, settings.candidate_limit).select("query_id", "source_id", "chunk_id", F.col("rank").alias("place"))
+    identity = passages.select("source_id", "chunk_id", F.coalesce("identity_text", F.lit("")).alias("identity")) if "identity_text" in passages.columns else None
+    windows = blocks(pool, passages, units, settings)
+    c = pool.join(windows, ["source_id", "chunk_id"]).join(queries.select("query_id", "query"), "query_id")
+    c = c.join(identity, ["source_id", "chunk_id"]) if identity is not None else c.withColumn("identity", F.lit(""))
+    if settings.mode == "degraded_lexical":
+        ranked = c.select("query_id", "place", F.lit(None).cast("double").alias("score"), F.col("place").alias("rank"))
+        status = "degraded_lexical"
+    elif score is None:
+        ranked = c.limit(0).select("query_id", "place", F.lit(None).cast("double").alias("score"), F.col("place").alias("rank"))
+        status = "reranker_unavailable"
+    else:
+        marked = F.transform("units", lambda u: F.struct(u["text"].alias("text"), u["start_at"].alias("start_at"), u["kind"].alias("kind"), F.lit(False).alias("required")))
+        whole = F.array_join(F.transform("units", lambda u: u["text"]), "\n")
+        viewed = c.withColumn("sentences", reading.view_units(marked, F.col("point"))).withColumn("whole", whole)
+        views = reading.bounded_views(F.col("query"), F.col("identity"), F.col("whole"), F.col("sentences"), settings.view_characters)
+        ranked = retrieval.rerank(viewed.select("query_id", "place", "query", views.alias("views")), score)
+        status = "ready"
     kept = retrieval.select_uncovered(ranked.join(c.select("query_id", "place", "refs"), ["query_id", "place"]), settings.retrieval_limit)
-    chosen = kept.select("query_id", F.explode("kept").alias("rank")).join(ranked, ["query_id", "rank"])
-    return chosen.join(c, ["query_id", "place"]).select("query_id", *keys, "score", F.col("rank").alias("place"), F.lit("ready").alias("retrieval_status"))
+    chosen = kept.select("query_id", F.explode("kept").alias("rank")).join(ranked.select("query_id", "place", "score", "rank"), ["query_id", "rank"])
+    out = chosen.join(c, ["query_id", "place"])
+    return out.select("query_id", "source_id", "chunk_id", "score", F.col("rank").alias("place"), "block_id", "status", "refs", "units", F.lit(status).alias("retrieval_status"))
+
+
+def originals(selected: DataFrame) -> DataFrame:
+    """What a search returns of each source: every original once, in order of the text (AG2, ST7)."""
+    each = selected.select("query_id", "source_id", F.explode(F.arrays_zip("refs", "units")).alias("x")).select("query_id", "source_id", "x.refs", "x.units.*")
+    once = each.groupBy("query_id", "source_id", "refs").agg(F.first(F.struct("unit_no", "start_at", "end_at", "text")).alias("p"))
+    return once.groupBy("query_id", "source_id").agg(F.array_sort(F.collect_list("p")).alias("passages"))
+
+
+def surrounding_passages(passages: DataFrame, focus: DataFrame, surrounding: int = 0, max_characters: int = 8000) -> DataFrame:
+    """Passages around each (source_id, chunk_id) of ``focus`` (CP5): none but itself for 0; for 1 or 2 those of a
+    complete window in order, and an error if the window is not complete."""
+    if surrounding not in (0, 1, 2):
+        raise ValueError("surrounding must be 0..2")
+    place = ["source_id", "chunk_id"]
+    if surrounding == 0:
+        return focus.select(*place).join(passages, place).select(*place, F.col("chunk_id").alias("passage_id"), "start_at", "chunk_text")
+    units = units_of(passages)
+    at = focus.select(*place).join(passages.select(*place, F.col("chunk_no").cast("int").alias("focus_no")), place).withColumn("focus_id", F.struct(*place))
+    got = reading.windows(units, at.select("focus_id", "source_id", "focus_no"), "source_id", max_characters, surrounding)
+    complete = F.when(F.col("status") == "complete_window", F.col("units")).otherwise(F.raise_error(F.lit("the window is not complete")))
+    each = got.select("focus_id.source_id", "focus_id.chunk_id", F.explode(complete).alias("chunk_no"))
+    return each.join(passages.select("source_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.col("chunk_id").alias("passage_id"), "start_at", "chunk_text"), ["source_id", "chunk_no"]).select(*place, "passage_id", "start_at", "chunk_text")
 
 
 def search_evidence(passages: DataFrame, query: str, limit: int = 6, source_id: str | None = None, embedding_model: str | None = None) -> DataFrame:

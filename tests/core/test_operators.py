@@ -85,11 +85,26 @@ def test_greedy_window_skips_and_goes_on(spark):
     assert small[9] == "oversized_unit" and {r.status for r in reading.windows(u, f.where("focus_id = 9"), "k", 1000, 2).collect()} == {"complete_window"}
 
 
-def test_bounded_views():
-    assert reading.bounded_views([5, 5, 5], 1, {1}, 20) == [[0, 1, 2]]
-    assert reading.bounded_views([50, 5, 5], 1, {1}, 20) == []
-    views = reading.bounded_views([4] * 11, 5, {5}, 24)
-    assert len(views) == 2 and all({4, 5, 6} <= set(v) and len(v) == 6 for v in views) and views[0] != views[1]
+def views_of(spark, text, focus, limit, query="product", identity="Original document", required=False):
+    p = F.array(F.struct(F.lit(text).alias("text"), F.lit(0).alias("start_at"), F.lit("paragraph").alias("kind"), F.lit(required).alias("required")))
+    found = reading.bounded_views(F.lit(query), F.lit(identity), F.lit(text), reading.view_units(p, F.lit(focus)), limit)
+    return spark.range(1).select(found.alias("views")).first().views
+
+
+def test_bounded_views_never_cut_a_sentence(spark):
+    text = "A context sentence. " * 20 + "The subject supplies the product. " + "A qualifier remains. " * 20
+    views = views_of(spark, text, text.index("The subject"), 200)
+    assert 1 <= len(views) <= 2
+    assert all("The subject supplies the product." in v and len(v) + 7 <= 200 for v in views)
+    assert views_of(spark, text, text.index("The subject"), 10) == []
+    assert views_of(spark, text, 0, 5000) == ["Original document\n" + text]
+    assert views_of(spark, text, 10**6, 200) == [] and views_of(spark, text, 0, 200, required=True) == []
+
+
+def test_bounded_views_take_the_nearest_first(spark):
+    text = "".join(f"S{i}xx." for i in range(11))
+    views = views_of(spark, text, text.index("S5"), 1 + 6 * 6 + 2, query="q", identity="")
+    assert [[int(u[1]) for u in v.split("\n")[1:]] for v in views] == [[3, 4, 5, 6, 7, 8], [2, 3, 4, 5, 6, 7]]
 
 
 def test_units_cover_everything_within_the_limit():
