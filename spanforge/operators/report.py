@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 
+#: Whole numbers that built-in decimals take.
+WHOLE = r"^(0|-?[1-9]\d{0,17})$"
 OPERATIONS = {"add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": lambda a, b: a / b}
 
 
@@ -26,13 +28,23 @@ def _value(op: str, left: str, right: str) -> str | None:
 
 
 def calculate(op: Column, left: Column, right: Column) -> Column:
-    """Exact decimal arithmetic on two numbers in text, as text (PR19, H8); null for what has no finite result."""
+    """Exact decimal arithmetic on two numbers in text, as text (PR19, H8); null for what has no finite result.
+
+    Whole numbers of up to eighteen digits are added, subtracted and multiplied by built-in
+    decimals; Python's decimals see the other rows only.
+    """
 
     @F.pandas_udf("string")
     def run(o: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_value(*x) for x in zip(o, a, b, strict=True)], dtype=object)
+        return pd.Series([None if x[0] is None else _value(*x) for x in zip(o, a, b, strict=True)], dtype=object)
 
-    return run(op, left, right)
+    whole = left.rlike(WHOLE) & right.rlike(WHOLE) & op.isin("add", "subtract", "multiply")
+    # products beyond the 28 digits of a Python decimal are left to it
+    whole = F.coalesce(whole & ((op != "multiply") | (F.length(left) + F.length(right) <= 26)), F.lit(False))
+    a, b = (F.when(whole, c).cast("decimal(18,0)") for c in (left, right))
+    exact = F.when(op == "add", (a + b).cast("string")).when(op == "subtract", (a - b).cast("string")).otherwise((a * b).cast("string"))
+    hard = lambda c: F.when(~whole, c)
+    return F.when(whole, exact).otherwise(run(hard(op), hard(left), hard(right)))
 
 
 def cited_pages(citations: DataFrame, chunks: DataFrame, widest: int = 500) -> DataFrame:
@@ -68,9 +80,10 @@ def resolve_declared(declared: DataFrame, sources: DataFrame) -> DataFrame:
     return out.select("alias", F.when(F.col("n") == 1, F.col("source_id")).otherwise(F.raise_error(F.lit("abbreviation fits no or several sources"))).alias("source_id"))
 
 
-def aliases(sources: DataFrame, taken: int = 0, order: str = "first_seen") -> DataFrame:
-    """``S1`` … in first-seen order, after those taken (JN14)."""
-    return sources.withColumn("alias", F.concat(F.lit("S"), (F.row_number().over(Window.orderBy(order)) + taken).cast("string")))
+def aliases(sources: DataFrame, taken: int = 0, order: str = "first_seen", per: list[str] | None = None) -> DataFrame:
+    """``S1`` … in first-seen order, after those taken (JN14), for each report (``per``) or the sources of one."""
+    w = Window.partitionBy(*(per or [F.lit(0)])).orderBy(order)
+    return sources.withColumn("alias", F.concat(F.lit("S"), (F.row_number().over(w) + taken).cast("string")))
 
 
 def source_label(alias: Column, issuer: Column, title: Column, date: Column) -> Column:

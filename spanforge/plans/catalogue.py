@@ -219,11 +219,21 @@ def reading_window_greedy(spark, d):
     return reading.windows(u, f, "doc_id", 800, reach=2).select("doc_id", F.col("focus_no").cast("long").alias("focus_no"), listed("units"), listed("omitted"), F.col("used").cast("long").alias("used"), "status")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, role = 'system' AS head, text, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM conversations),
+runs AS (SELECT conv_id, turn, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT conv_id, turn, (head IS DISTINCT FROM lag(head) OVER (PARTITION BY conv_id ORDER BY turn))::INT AS fresh FROM t)),
+stops AS (SELECT conv_id, turn, p FROM t, unnest(range(1, n + 1)) x(p) WHERE p = n OR substr(text, p, 1) IN ('。', '！', '？', '!', '?', '；', ';', chr(10)) OR (substr(text, p, 1) = '.' AND regexp_matches(substr(text, p + 1, 1), '\\s'))),
+cuts(conv_id, turn, n, a, z, hard) AS (SELECT conv_id, turn, n, 0::BIGINT, 0::BIGINT, false FROM t
+ UNION ALL SELECT c.conv_id, c.turn, c.n, c.z, coalesce(nxt, c.z + 512), nxt IS NULL FROM (SELECT cuts.*, (SELECT max(p) FROM stops s WHERE s.conv_id = cuts.conv_id AND s.turn = cuts.turn AND p > cuts.z AND p <= cuts.z + 512) AS nxt FROM cuts WHERE z < n) c),
+pieces AS (SELECT conv_id, turn, run, head, base + a AS a, base + z AS z, hard, hard OR head AS alone, substr(text, a + 1, z - a) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn, a) AS k FROM cuts JOIN t USING (conv_id, turn) JOIN runs USING (conv_id, turn) WHERE z > 0),
+pack(conv_id, k, unit_no, size, run, alone) AS (SELECT conv_id, k, 0, length(body), run, alone FROM pieces WHERE k = 1
+ UNION ALL SELECT x.conv_id, x.k, CASE WHEN x.alone OR p.alone OR x.run <> p.run OR p.size + 1 + length(x.body) > 512 THEN unit_no + 1 ELSE unit_no END, CASE WHEN x.alone OR p.alone OR x.run <> p.run OR p.size + 1 + length(x.body) > 512 THEN length(x.body) ELSE p.size + 1 + length(x.body) END, x.run, x.alone FROM pack p JOIN pieces x ON x.conv_id = p.conv_id AND x.k = p.k + 1)
+SELECT conv_id, unit_no, CASE WHEN any_value(head) THEN 'heading' ELSE 'paragraph' END AS kind, bool_or(hard) AS fallback_split, string_agg(a::BIGINT || '-' || z::BIGINT, ',' ORDER BY k) AS spans, string_agg(body, chr(10) ORDER BY k) AS unit_text FROM pack JOIN pieces USING (conv_id, k) GROUP BY conv_id, unit_no""")
 def embedding_units(spark, d):
+    """Turns as paragraphs, those of the system as headings, in units of 512 characters."""
     b = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", "heading").otherwise("paragraph").alias("kind"), F.lit("").alias("section"), F.lit(None).cast("int").alias("page"), "text")
     placed = structure.with_offsets(b, "conv_id", "turn", "text")
-    return units.embedding_units(placed, "conv_id", "turn", 512)
+    u = units.embedding_units(placed, "conv_id", "turn", 512)
+    return u.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start_at"].cast("string"), s["end_at"].cast("string"))), ","))
 
 
 def evidence_rows(spark, d):

@@ -14,6 +14,12 @@ from spanforge.plans.catalogue import CHUNKS, LIMIT, REFS, WORDS, bundles_of, ch
 from spanforge.sources import ingest
 
 
+def shared(spark, name: str) -> str:
+    """A new folder that all executors see."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query("SELECT doc_id, CASE WHEN length(text) <= 1200 THEN text ELSE substr(text, 1, 1200) END AS preview, CASE WHEN length(text) > 1200 THEN sha256(text) END AS sha256 FROM documents")
 def concise_preview(spark, d):
     p = read(spark, d, "documents").select("doc_id", T.preview("text").alias("p"))
@@ -143,8 +149,7 @@ def figure_dot(spark, d):
 def published_index(spark, d):
     """Published with a manifest in the shared folder, then opened through it."""
     docs = read(spark, d, "documents")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = shared(spark, "index")
     ingest.publish(docs, path, docs.count())
     return ingest.published(spark, path).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
@@ -179,7 +184,10 @@ def search_pipeline(spark, d):
     """Hybrid candidates, windows of the chunk and its neighbours, scores of the whole windows, uncovered blocks."""
     p = passages_of(spark, d)
     vectors = p.select((F.col("source_id") * 100_000 + F.col("chunk_no")).alias("unit_id"), "source_id", "chunk_id", F.sha2("chunk_text", 256).alias("text_hash"), bucketed("chunk_text").alias("embedding"))
-    found = api.search(p, items_of(spark, d), api.Settings(view_characters=10_000), provider=api.hybrid(vectors, bucketed, 64), score=retrieval.overlap_score)
+    index = shared(spark, "vectors")
+    vectors.write.parquet(index)
+    vectors = spark.read.parquet(index)
+    found = api.search(p, items_of(spark, d), api.Settings(view_characters=10_000), provider=api.hybrid(vectors, bucketed, 64), score=retrieval.overlap_score, trace=shared(spark, "trace"))
     return found.select("query_id", "source_id", "chunk_id", "score", F.col("place").cast("long").alias("place"), F.size("units").cast("long").alias("n_units"), "retrieval_status")
 
 

@@ -94,20 +94,29 @@ def blocks(pool: DataFrame, passages: DataFrame, units: DataFrame, settings: Set
     return out.select("source_id", "chunk_id", "point", "status", "units", "refs", T.digest(F.array_join("refs", ",")).alias("block_id"))
 
 
-def search(passages: DataFrame, queries: DataFrame, settings: Settings = Settings(), units: DataFrame | None = None, provider: Provider = lexical, score: Scorer | None = None) -> DataFrame:
+def search(passages: DataFrame, queries: DataFrame, settings: Settings = Settings(), units: DataFrame | None = None, provider: Provider = lexical, score: Scorer | None = None, trace: str | None = None) -> DataFrame:
     """Selected reading blocks of every query (CP1, CP3) with ``retrieval_status``.
 
     ``passages``: source_id, chunk_no, chunk_id, start_at, end_at, chunk_text, optionally ``context`` (finds, is never
     scored or returned) and ``identity_text``; ``units``: source_id, unit_no, group_no, start_at, end_at, unit_text, kind.
     Without a scorer nothing is selected and the status is ``reranker_unavailable``: lexical order
-    stands in only where the mode is ``degraded_lexical``.
+    stands in only where the mode is ``degraded_lexical``. With ``trace``, a new folder that all
+    executors see, candidates and scores are written there (SK4), and read for what follows.
     """
+
+    def traced(df: DataFrame, name: str) -> DataFrame:
+        if trace is None:
+            return df
+        df.write.parquet(f"{trace}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{trace}/{name}")
+
     units = units_of(passages) if units is None else units
     pool = provider(passages, queries, settings.candidate_limit).select("query_id", "source_id", "chunk_id", F.col("rank").alias("place"))
     identity = passages.select("source_id", "chunk_id", F.coalesce("identity_text", F.lit("")).alias("identity")) if "identity_text" in passages.columns else None
     windows = blocks(pool, passages, units, settings)
     c = pool.join(windows, ["source_id", "chunk_id"]).join(queries.select("query_id", "query"), "query_id")
     c = c.join(identity, ["source_id", "chunk_id"]) if identity is not None else c.withColumn("identity", F.lit(""))
+    c = traced(c, "candidates")
     if settings.mode == "degraded_lexical":
         ranked = c.select("query_id", "place", F.lit(None).cast("double").alias("score"), F.col("place").alias("rank"))
         status = "degraded_lexical"
@@ -121,6 +130,7 @@ def search(passages: DataFrame, queries: DataFrame, settings: Settings = Setting
         views = reading.bounded_views(F.col("query"), F.col("identity"), F.col("whole"), F.col("sentences"), settings.view_characters)
         ranked = retrieval.rerank(viewed.select("query_id", "place", "query", views.alias("views")), score)
         status = "ready"
+    ranked = traced(ranked, "scores")
     kept = retrieval.select_uncovered(ranked.join(c.select("query_id", "place", "refs"), ["query_id", "place"]), settings.retrieval_limit)
     chosen = kept.select("query_id", F.explode("kept").alias("rank")).join(ranked.select("query_id", "place", "score", "rank"), ["query_id", "rank"])
     out = chosen.join(c, ["query_id", "place"])

@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
@@ -106,6 +106,28 @@ def open_chunk(chunks: DataFrame, source: str, chunk: str) -> DataFrame:
     return found
 
 
+def listed(sources: DataFrame) -> DataFrame:
+    """Sources in the order of their ids (SC5)."""
+    return sources.orderBy("source_id")
+
+
+def passages(chunks: DataFrame, key: str = "source_id") -> DataFrame:
+    """Chunks with their ``place`` in the order of the source (SC7): by number, not by the text of the id."""
+    number = F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("int")
+    return chunks.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(number)))
+
+
+def artifact(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A JSON artifact (SC9), one object or a list of them over several lines; one that does not parse is an error."""
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def write_artifact(df: DataFrame, path: str) -> None:
+    """Writes an artifact once (SK1): whole under the commit protocol, never over another."""
+    df.write.mode("errorifexists").json(path)
+
+
 def events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSONL log; lines that do not parse keep their text in ``unparsed`` (SC10)."""
     return spark.read.schema(f"{schema}, unparsed string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unparsed").json(path)
