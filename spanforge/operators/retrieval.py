@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spanforge.functions import text as T
 
@@ -48,26 +51,58 @@ def lexical(passages: DataFrame, queries: DataFrame, k: int = 64, scope: str | N
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "source_id", "chunk_id", "score", "rank")
 
 
+def _nearest(ids: pa.Array, matrix: np.ndarray, scopes: list | None, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distances of a block of queries to batches of ``unit_id``, ``embedding``, ``scope``; of a batch at least the ``k`` nearest."""
+    lengths = np.sqrt((matrix * matrix).sum(1))
+    code = {s: i for i, s in enumerate(dict.fromkeys(scopes or ()))}
+    asked = np.array([code[s] for s in scopes or ()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+            own = np.sqrt((v * v).sum(1))
+            held = np.array([code.get(s, -1) for s in batch.column("scope").to_pylist()]) if scopes is not None else None
+            for q in range(0, len(matrix), 256):
+                d = 1 - (v @ matrix[q : q + 256].T) / (own[:, None] * lengths[None, q : q + 256])
+                if held is not None:
+                    d[held[:, None] != asked[None, q : q + 256]] = np.inf
+                # ranks go by rounded distances: what may round to the k-th stays
+                last = np.partition(d, k - 1, axis=0)[k - 1] + 2e-9 if n > k else np.full(d.shape[1], np.inf)
+                i, j = np.nonzero((d <= last) & np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(j + q)), batch.column("unit_id").take(pa.array(i)), pa.array(d[i, j])], ["query_id", "unit_id", "distance"])
+
+    return run
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 64, scoped: bool = False, dimension: int = 64, block: int = 20_000) -> DataFrame:
     """Exact k nearest vectors by cosine distance (JN3, FI3, PR20, TK1).
 
     ``vectors``: ``unit_id``, ``embedding``, ``scope``; ``queries``: ``query_id``, ``query_embedding``, ``query_scope``.
-    The stated query set is compared with all rows, in blocks of about ``block`` queries; a single
-    block is broadcast. Each task keeps its best ``k`` per query before the shuffle (the window's
-    group limit). Lengths are computed once per vector.
+    The stated query set is compared with all rows. A set of at most ``block`` queries is sent to
+    every task, which multiplies it with its vectors and keeps the best of each Arrow batch; a
+    larger one is joined in blocks, and each task keeps its best before the shuffle (the window's
+    group limit).
     """
-    ok = vectors.where(T.valid_vector("embedding", dimension)).withColumn("length", F.sqrt(T.dot("embedding", "embedding")))
-    asked = queries.withColumn("query_length", F.sqrt(T.dot("query_embedding", "query_embedding")))
-    blocks = max(1, -(-asked.count() // block))
+    ok = vectors.where(T.valid_vector("embedding", dimension))
+    blocks = max(1, -(-queries.count() // block))
     if blocks == 1:
-        pairs = ok.join(F.broadcast(asked), F.col("scope") == F.col("query_scope") if scoped else F.lit(True))
+        rows = queries.select("query_id", "query_embedding", "query_scope").toArrow()
+        matrix = np.array(rows.column("query_embedding").to_pylist(), float).reshape(rows.num_rows, -1)
+        if not rows.num_rows:
+            matrix = np.zeros((0, dimension))
+        run = _nearest(rows.column("query_id").combine_chunks(), matrix, rows.column("query_scope").to_pylist() if scoped else None, k)
+        schema = StructType([queries.schema["query_id"], vectors.schema["unit_id"], StructField("distance", DoubleType())])
+        found = ok.select("unit_id", "embedding", "scope").mapInArrow(run, schema)
     else:
-        asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        every = ok.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+        asked = queries.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("query_length", F.sqrt(T.dot("query_embedding", "query_embedding")))
+        every = ok.withColumn("length", F.sqrt(T.dot("embedding", "embedding"))).withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
         pairs = every.join(asked, (every["query_block"] == asked["query_block"]) & ((F.col("scope") == F.col("query_scope")) if scoped else F.lit(True)))
-    distance = 1 - T.dot("embedding", "query_embedding") / (F.col("length") * F.col("query_length"))
+        found = pairs.select("query_id", "unit_id", (1 - T.dot("embedding", "query_embedding") / (F.col("length") * F.col("query_length"))).alias("distance"))
+    found = found.withColumn("distance", F.round("distance", 9))
     w = Window.partitionBy("query_id").orderBy("distance", "unit_id")
-    found = pairs.select("query_id", "unit_id", F.round(distance, 9).alias("distance"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -109,11 +144,12 @@ def rerank(candidates: DataFrame, score: Callable[[Column, Column], Column], que
     ``candidates``: ``query_id``, ``place``, ``query``, ``views`` (array). Null scores drop a candidate; a
     score that is not finite is an error.
     """
-    windows = candidates.select("query_id", "place", query, F.explode("views").alias(view))
-    once = windows.select(query, view).distinct().withColumn("score", score(F.col(query), F.col(view)))
+    windows = candidates.select("query_id", "place", query, F.explode("views").alias(view)).withColumn("pair", F.sha2(F.concat_ws("\u001f", F.sha2(query, 256), view), 256))
+    # texts go through one shuffle; what follows joins on their digest
+    once = windows.groupBy("pair").agg(F.first(F.struct(query, view)).alias("t")).select("pair", score(F.col(f"t.{query}"), F.col(f"t.{view}")).alias("score"))
     finite = F.col("score").isNull() | (~F.isnan("score") & (F.abs("score") < float("inf")))
     once = once.withColumn("score", F.when(finite, F.col("score")).otherwise(F.raise_error(F.lit("score is not finite"))))
-    best = windows.join(once, [query, view]).groupBy("query_id", "place").agg(F.max("score").alias("score"), F.count("*").alias("pairs")).where("score is not null")
+    best = windows.select("query_id", "place", "pair").join(once, "pair").groupBy("query_id", "place").agg(F.max("score").alias("score"), F.count("*").alias("pairs")).where("score is not null")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "place")
     return best.withColumn("rank", F.row_number().over(w))
 

@@ -206,3 +206,16 @@ def test_the_whole_pool_is_reranked(spark, tmp_path):
     spark.createDataFrame([(i, "river stone " + " ".join(f"w{i}x{k}" for k in range(i + 3))) for i in range(70)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "river stone")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted(r.place for r in catalogue.rerank_blocks(spark, str(tmp_path)).collect()) == list(range(1, 65))
+
+
+def test_dense_in_one_block_and_in_several(spark):
+    rnd = random.Random(4)
+    from spanforge.operators import retrieval
+
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(8)], i % 3) for i in range(200)] + [(900, [0.0] * 8, 1), (901, None, 1)]
+    v = spark.createDataFrame(rows, "unit_id int, embedding array<double>, scope int").repartition(3)
+    q = spark.createDataFrame([(i, rows[i][1], rows[i][2]) for i in range(20)], "query_id int, query_embedding array<double>, query_scope int").where("exists(query_embedding, x -> x <> 0)")
+    for scoped in (False, True):
+        one, several = (sorted(map(tuple, retrieval.dense(v, q, 7, scoped, 8, block).collect())) for block in (1000, 6))
+        assert one == several and len(one) == 7 * q.count()
+    assert retrieval.dense(v, q.limit(0), 7, False, 8).count() == 0
