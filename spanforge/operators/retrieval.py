@@ -90,9 +90,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 64, scoped: bool = Fa
     blocks = max(1, -(-queries.count() // block))
     if blocks == 1:
         rows = queries.select("query_id", "query_embedding", "query_scope").toArrow()
-        matrix = np.array(rows.column("query_embedding").to_pylist(), float).reshape(rows.num_rows, -1)
-        if not rows.num_rows:
-            matrix = np.zeros((0, dimension))
+        matrix = np.array(rows.column("query_embedding").to_pylist(), float).reshape(rows.num_rows, dimension)
         run = _nearest(rows.column("query_id").combine_chunks(), matrix, rows.column("query_scope").to_pylist() if scoped else None, k)
         schema = StructType([queries.schema["query_id"], vectors.schema["unit_id"], StructField("distance", DoubleType())])
         found = ok.select("unit_id", "embedding", "scope").mapInArrow(run, schema)
