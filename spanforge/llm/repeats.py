@@ -323,7 +323,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     else:
         hashed = plain.withColumn("digest", F.sha2("text", 256))
         ordered = hashed.select("doc", "digest").distinct().orderBy(F.asc_nulls_last("doc"), "digest")
-        ids = materialize(ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1])).toDF("id bigint, digest string, doc bigint"), "ids")
+        # numbers with gaps that rise in that order: by partition of the sort, then by row
+        ids = materialize(ordered.select(F.col("doc").alias("id"), "digest", F.monotonically_increasing_id().alias("doc")), "ids")
         joined = hashed.join(ids.withColumnRenamed("doc", "place"), hashed["doc"].eqNullSafe(ids["id"]) & (hashed["digest"] == ids["digest"]))
         texts = materialize(joined.select(F.col("place").alias("doc"), "text"), "texts")
     once = texts if ids is None else texts.dropDuplicates(["doc"])
