@@ -26,8 +26,9 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    """Whether the path is one Parquet file, not a folder of them."""
+    found = spark.read.parquet(path).inputFiles()
+    return len(found) == 1 and found[0].rpartition("/")[2] == path.rpartition("/")[2]
 
 
 def run_available(stream: DataFrame, write) -> str:
@@ -43,9 +44,13 @@ def _put(df: DataFrame, i: int, folder: str) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
 
 
-def deduplicated_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Totals per event type of events that count once, however often they come within the watermark."""
-    once = events(spark, path).withWatermark("ts", "36500 days").dropDuplicatesWithinWatermark(["event_id"])
+def deduplicated_totals(spark: SparkSession, path: str, horizon: str = "30 days") -> DataFrame:
+    """Totals per event type of events that count once, however often they come within the horizon.
+
+    The state holds the ids of one horizon; an event later than that behind the newest of the batches
+    before is late, as streams have it, and does not count.
+    """
+    once = events(spark, path).withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["event_id"])
     folder = run_available(once.select("event_type", "value"), _put)
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
