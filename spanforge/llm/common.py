@@ -1,5 +1,6 @@
 """Helpers shared by the training-data operators."""
 
+import itertools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spanforge-{uuid.uuid4().hex}"
 
 
-#: Folders of the tables written and not yet emptied, by session.
-WRITTEN: dict[str, list[str]] = {}
+#: Tables written and not yet emptied, numbered in the order of writing: (application, folder) to number.
+WRITTEN: dict[tuple[str, str], int] = {}
+_numbers = itertools.count()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,38 +33,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    WRITTEN[spark.sparkContext.applicationId, path] = next(_numbers)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _empty(spark: SparkSession, path: str) -> None:
     """Frees a written table's disk: an empty one takes its place."""
     spark.range(0).write.mode("overwrite").parquet(path)
-    WRITTEN[spark.sparkContext.applicationId].remove(path)
+    del WRITTEN[spark.sparkContext.applicationId, path]
 
 
 def discard(df: DataFrame) -> None:
     """Empties a table of ``materialize`` that nothing reads any more."""
-    paths = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for path in [p for p in WRITTEN.get(df.sparkSession.sparkContext.applicationId, []) if any(f.endswith(p) for f in paths)]:
-        _empty(df.sparkSession, path)
+    files = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for path in since(df.sparkSession, 0):
+        if any(f.endswith(path) for f in files):
+            _empty(df.sparkSession, path)
 
 
 def mark(spark: SparkSession) -> int:
-    """Number of written tables, for ``since``."""
-    return len(WRITTEN.get(spark.sparkContext.applicationId, []))
+    """A number for ``since``: tables written from here on have it or a larger one."""
+    return next(_numbers)
 
 
 def since(spark: SparkSession, before: int) -> list[str]:
-    """Tables written after ``mark`` gave ``before``."""
-    return WRITTEN.get(spark.sparkContext.applicationId, [])[before:]
+    """Tables written after ``mark`` gave ``before`` that were not emptied."""
+    app = spark.sparkContext.applicationId
+    return [path for (a, path), n in WRITTEN.items() if a == app and n >= before]
 
 
 def release(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
     """Empties the tables at ``paths``, but for those that ``keep`` reads."""
-    kept = {f.rpartition("/")[0] for f in keep.inputFiles()} if paths else set()
-    for path in paths:
-        if path in WRITTEN.get(spark.sparkContext.applicationId, []) and not any(f.endswith(path) for f in kept):
+    files = {f.rpartition("/")[0] for f in keep.inputFiles()} if paths else set()
+    for path in set(paths) & set(since(spark, 0)):
+        if not any(f.endswith(path) for f in files):
             _empty(spark, path)
 
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanforge.llm import mixing as mx
 
@@ -62,3 +63,40 @@ def test_shapes(spark):
     assert mx.mixed(df.limit(0)).count() == 0
     one = mx.mixed(df.where("doc_id = 4")).collect()
     assert [(r.copies, round(r.weight, 6)) for r in one] == [(1, 1.0)]
+
+
+def test_block_permutations_equal_a_plain_walk(spark):
+    """Copies of every document against loops over blocks and documents; hashes come from Spark."""
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(("hot", "hot", "hot", "a", "b", None)), " ".join("w" * rnd.randint(0, 12))) for i in range(400)] + [(None, "a", "x y z"), (5, "hot", "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("__d_weight", F.lit(1)).withColumn("__name", F.lit("clash"))
+    mix = mx.Mix(budget=0.9, entropy=0.95, repeats=3.0, block_docs=7)
+    got = mx.mixed(docs, mix).withColumn("h", F.xxhash64("doc_id", F.lit(mix.seed))).withColumn("n", mx.tokens("text")).collect()
+    assert len(got) == len(rows) and got[0]["__d_weight"] == 1 and got[0]["__name"] == "clash"
+    total = sum(r.n for r in got)
+    wanted = []
+    for source in {r.source for r in got}:
+        mine = [r for r in got if r.source == source]
+        tokens = sum(r.n for r in mine)
+        passes = mine[0].weight * mix.budget * total / tokens * (1 + 1e-9)
+        full, rest, blocks = int(passes), (passes - int(passes)) * tokens, -(-len(mine) // mix.block_docs)
+        keys = [(i, source or "", full) for i in range(blocks)]
+        at = {r.b: r.o for r in spark.createDataFrame(keys, "b long, s string, f long").select("b", F.xxhash64("b", "f", "s", F.lit(mix.seed + 1)).alias("o")).collect()}
+        turn = {r.h: r.t for r in spark.createDataFrame([(r.h, full) for r in mine], "h long, f long").select("h", F.xxhash64("h", "f", F.lit(mix.seed + 2)).alias("t")).collect()}
+        used, cut = 0, False
+        for block in sorted(range(blocks), key=lambda b: (at[b], b)):
+            inside = [r for r in mine if r.h % blocks == block]
+            size = sum(r.n for r in inside)
+            if not cut and used + size <= rest:
+                used += size
+                wanted += [(r.doc_id, source, full + 1) for r in inside]
+                continue
+            left, done, taken = (0 if cut else rest - used), 0, set()
+            for t in sorted({turn[r.h] for r in inside}):
+                done += sum(r.n for r in inside if turn[r.h] == t)
+                if not cut and done <= left:
+                    taken.add(t)
+            wanted += [(r.doc_id, source, full + (turn[r.h] in taken)) for r in inside]
+            cut = True
+    assert sorted(map(str, wanted)) == sorted(str((r.doc_id, r.source, r.copies)) for r in got)
+    assert len({r[2] for r in wanted}) > 1

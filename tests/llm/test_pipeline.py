@@ -36,3 +36,54 @@ def test_a_contaminated_row_does_not_take_others_of_its_id_along(spark, tmp_path
     rows = [(None, f"so {question} it goes"), (None, "a clean text"), (None, None), (5, question), (5, "another clean text"), (6, "clean")]
     out = cp.drop_benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+
+
+def tables(spark, folder, docs, labels=(), benchmark=()):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `__found` string, `__d_copies` int"
+    df = spark.createDataFrame([(*r, "x", 1) for r in docs], schema)
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    df.write.parquet(f"{folder}/documents.parquet")
+    return df
+
+
+def test_every_stage_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    long = "word " * 200_000
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "", "en", "s", 0), (2, "some few words of a text", "en", "s", 24), (2, "some few words of a text", "en", "s", 24), (3, long, None, "s", len(long)), (None, "token=abcdefgh1234", "en", None, 18)]
+    docs = tables(spark, tmp_path, rows)
+    order = lambda out: sorted(str(tuple(r[c] for c in ("doc_id", "source", "n_chars"))) for r in out)
+    every = order(docs.collect())
+    for _, stage in cp.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(out.columns) and {r["__found"] for r in out.collect()} == {"x"}
+        if stage is cp.keep_one_of_each:  # one of the repeated rows with words
+            want = list(every)
+            want.remove(str((2, "s", 24)))
+            assert order(out.collect()) == want
+        elif stage is not cp.redact_secrets:
+            assert order(out.collect()) == every
+        else:
+            assert {r.text for r in out.collect()} >= {None, "", "[SECRET]"} and out.where("text = '[SECRET]' and n_chars = 8").count() == 1
+
+
+def test_every_stage_on_empty_tables(spark, tmp_path):
+    docs = tables(spark, tmp_path, [])
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tables_of_earlier_stages_are_emptied_and_results_stay(spark, tmp_path):
+    from spanforge.llm import common
+
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rnd.choices(words, k=40)), "en", "s", 1) for i in range(60)]
+    docs = tables(spark, tmp_path, [*rows, *((100 + i, t, a, b, c) for i, t, a, b, c in rows[:9])])
+    before = common.mark(spark)
+    first = cp.keep_one_of_each(spark, docs, str(tmp_path))
+    held = common.since(spark, before)
+    kept = common.materialize(first, "kept")
+    second = cp.drop_benchmark(spark, kept, str(tmp_path))
+    assert second.count() == 60 and held and not set(held) & set(common.since(spark, 0))
+    assert cp.run(spark, str(tmp_path)).count() == 60
