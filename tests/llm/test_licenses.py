@@ -1,5 +1,6 @@
 """Base places against a plain word scan; templates on whole, damaged and unrelated texts."""
 
+import random
 import re
 
 from spanforge.llm import licenses as lic
@@ -46,3 +47,46 @@ def test_shapes(spark):
     df = spark.createDataFrame([(None, "mit license", 1), (None, "mit license", 1)], "doc_id long, text string, n_words int")
     assert [(r.n_words, len(r.places)) for r in lic.licenses(df).collect()] == [(2, 1)] * 2
     assert lic.licenses(rows(spark, [])).count() == 0
+
+
+def test_places_equal_a_plain_scan(spark):
+    """Every template, with gaps and other words in it, against a scan of all starts."""
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(150):
+        words = rnd.choices(["river", "stone", "license", "software", "public"], k=rnd.randint(0, 30))
+        for t in rnd.sample(lic.TEMPLATES, rnd.randint(0, 3)):
+            w = list(t.words)
+            for _ in range(rnd.choice((0, 0, 1, 4, 9))):
+                w[rnd.randrange(len(w))] = "other"
+            at = rnd.randint(0, len(words))
+            words[at:at] = w
+        texts.append(" ".join(words).upper() if rnd.random() < 0.2 else " ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = lic.with_hits(df, "text", lic.TEMPLATES, "n", "seen", "hits")
+    weights = lic.idf(table, "seen")
+
+    def brute(text):
+        words, out = WORD.findall(text.lower()), []
+        for t in lic.TEMPLATES:
+            key = t.key.split()
+            for s in range(-len(t.words), len(words)):
+                if words[max(0, s + t.offset) : s + t.offset + len(key)] != key or s + t.offset < 0:
+                    continue
+                known = [(i, weights[w]) for i, w in enumerate(t.words) if w in weights]
+                share = sum(x for i, x in known if 0 <= s + i < len(words) and words[s + i] == t.words[i]) / sum(x for _, x in known)
+                if t.base or share >= 0.6:
+                    out.append((t.label, s if t.base else s + t.offset, 1.0 if t.base else round(share, 4)))
+        return sorted(out)
+
+    got = {r.doc_id: sorted((p.label, p.start, round(p.score, 4)) for p in r.places) for r in lic.licenses(df).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)} and sum(map(len, got.values())) > 100
+
+
+def test_very_many_hits_in_one_text(spark):
+    import time
+
+    text = "redistribution and use in source and binary forms with or without modification gnu general public license " * 6000
+    began = time.perf_counter()
+    got = lic.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len([p for p in got.places if p.label == "gpl"]) == 6000 and time.perf_counter() - began < 60
