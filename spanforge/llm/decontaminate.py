@@ -37,17 +37,33 @@ UNITS = "% $ € £ ¥ ° km cm mm m mi ft kg g mg lb lbs oz l ml s ms min h hr
 PLACEHOLDERS = ("<num>", "<name>", "<unit>")
 
 
-def _whole(words: list[str]) -> str:
-    """Pattern of one of some tokens among blanks."""
-    return "(?<![^ ])(?:" + "|".join(w.replace("$", r"\$") for w in sorted(words, key=len, reverse=True)) + ")(?![^ ])"
+def _prefix_tree(words: list[str]) -> str:
+    """Pattern of any of some words that tries each letter once."""
+    if not any(words):
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    branches = [head.replace("$", r"\$") + _prefix_tree(rest) for head, rest in heads.items()]
+    if len(branches) == 1 and "" not in words:
+        return branches[0]
+    return f"(?:{'|'.join(branches)})" + ("?" if "" in words else "")
+
+
+NUMBER = f" (?:[0-9][0-9.,]*+|{_prefix_tree(NUMBERS)})(?![^ ])"
+UNIT = f" {_prefix_tree(UNITS)}(?![^ ])"
 
 
 def canonical(text: Column) -> Column:
-    """The text as blank-separated tokens, numbers, names and units as placeholders; one token for each of ``raw_tokens``."""
+    """The text as blank-separated tokens, numbers, names and units as placeholders; one token for each of ``raw_tokens``.
+
+    Every token has a blank before it until the end, so that patterns start at a plain sign.
+    """
     marked = F.lower(F.regexp_replace(text, NAME, NAME_MARK))
-    plain = F.array_join(F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0)), " ")
-    numbered = F.regexp_replace(plain, rf"(?<![^ ])[0-9][0-9.,]*+(?![^ ])|{_whole(NUMBERS)}", "<num>")
-    return F.replace(F.regexp_replace(numbered, _whole(UNITS), "<unit>"), F.lit(NAME_MARK), F.lit("<name>"))
+    plain = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0)), " "))
+    typed = F.regexp_replace(F.regexp_replace(plain, NUMBER, " <num>"), UNIT, " <unit>")
+    return F.substr(F.replace(typed, F.lit(NAME_MARK), F.lit("<name>")), F.lit(2))
 
 
 def raw_tokens(text: Column) -> Column:
@@ -74,7 +90,7 @@ def with_windows(df: DataFrame, kept: list[str], text: str, widths: list[int], t
     df = df.select(*kept, tokens(text_of(text)).alias("canon"))
     parts = []
     for w in widths:
-        every = F.regexp_extract_all("canon", F.lit(rf"(?<![^ ])(?=((?:[^ ]++ ){{{w - 1}}}[^ ]++))"), F.lit(1))
+        every = F.regexp_extract_all(F.concat(F.lit(" "), "canon"), F.lit(rf" (?=((?:[^ ]++ ){{{w - 1}}}[^ ]++))"), F.lit(1))
         parts.append(df.select(*kept, "canon", F.posexplode_outer(every).alias("at", "window")).select(*kept, "canon", "at", F.lit(w).alias("width"), F.xxhash64("window", F.lit(w)).alias("h")))
     out = parts[0]
     for p in parts[1:]:
