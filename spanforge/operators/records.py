@@ -187,3 +187,20 @@ def report_sources(reports: DataFrame, cited: DataFrame, sources: DataFrame) ->
     out = reports.join(lines, "report_id", "left").join(missing, "report_id", "left")
     n = F.coalesce("n", F.lit(0))
     return out.select("report_id", F.coalesce("lines", F.lit("")).alias("lines"), F.coalesce(F.col("missing").cast("array<string>"), F.expr("cast(array() as array<string>)")).alias("missing"), F.concat(F.lit("Sources: "), n.cast("string"), F.lit(" · "), "made_at").alias("metadata"))
+
+
+def next_open(questions: DataFrame, key: str, rank: Column, question: str) -> DataFrame:
+    """The first open question of each run by priority, then id, and how many wait (WN10)."""
+    return questions.groupBy(key).agg(F.min_by(question, F.struct(rank, F.col(question))).alias("next"), F.count("*").alias("waiting"))
+
+
+def delivered(evidence: DataFrame, key: str = "source_id", order: tuple[str, ...] = ("seq", "ref")) -> DataFrame:
+    """Evidence with its place in the order of delivery (TK5)."""
+    return evidence.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+
+
+def previews(omitted: DataFrame, key: str, order: str, n_bytes: str, most: int = 8, capacity: int = 2048) -> DataFrame:
+    """The first omitted items that are shown (TK6): at most ``most``, and while their bytes fit."""
+    w = Window.partitionBy(key).orderBy(order)
+    upto = F.sum(n_bytes).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return omitted.withColumn("k", F.row_number().over(w)).withColumn("upto", upto).where((F.col("k") <= most) & (F.col("upto") <= capacity)).drop("k", "upto")

@@ -80,12 +80,20 @@ def diagnostics(attempts: DataFrame, key: str = "campaign", order: str = "seq")
 
 
 def judge_batches(pairs: DataFrame, key: str, order: str, body: str, capacity: int, first: int = 4) -> DataFrame:
-    """Blind batches (CP20): the first ``first`` pairs and the rest, each cut where its bytes would pass the capacity; A and B by a hash."""
+    """Blind batches (CP20): the first ``first`` pairs and the rest, each halved until its bytes fit or it is one pair; A and B by a hash.
+
+    Halving takes as many rounds as the largest campaign has binary digits, all in one plan.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    p = pairs.withColumn("part", F.when(F.row_number().over(w) <= first, 0).otherwise(1))
-    v = Window.partitionBy(key, "part").orderBy(order)
-    upto = F.sum(F.octet_length(body)).over(v.rowsBetween(Window.unboundedPreceding, 0))
-    p = p.withColumn("batch", F.floor((upto - F.octet_length(body)) / capacity))
+    p = pairs.withColumn("part", F.when(F.row_number().over(w) <= first, 0).otherwise(1)).withColumn("cut", F.lit(""))
+    largest = pairs.groupBy(key).count().agg(F.max("count")).first()[0] or 1
+    for _ in range(largest.bit_length()):
+        group = Window.partitionBy(key, "part", "cut")
+        n, place = F.count("*").over(group), F.row_number().over(group.orderBy(order))
+        split = (n > 1) & (F.sum(F.octet_length(body)).over(group) > capacity)
+        half = F.when(place <= F.floor(n / 2), "0").otherwise("1")
+        p = p.withColumn("cut", F.when(split, F.concat("cut", half)).otherwise(F.col("cut")))
+    p = p.withColumn("batch", (F.dense_rank().over(Window.partitionBy(key, "part").orderBy("cut")) - 1).cast("long")).drop("cut")
     return p.withColumn("swapped", F.pmod(F.crc32(F.concat_ws(":", F.col(key).cast("string"), F.col(order).cast("string")).cast("binary")), F.lit(2)) == 1)
 
 

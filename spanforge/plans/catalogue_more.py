@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import coverage_state, evidence, report, retrieval, structure, workflow
+from spanforge.operators import coverage_state, evidence, records, report, retrieval, structure, workflow
 from spanforge.plans import search as api
 from spanforge.plans.catalogue import CHUNKS, LIMIT, REFS, WORDS, bundles_of, chunks_of, cover_sql, evidence_rows, items_of, lexical_sql, passages_of, query, read
 from spanforge.sources import ingest
@@ -55,23 +55,20 @@ def source_inventory(spark, d):
 @query(f"""WITH {REFS}, o AS (SELECT doc_id, ref, strlen(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ref) AS k, sum(strlen(text)) OVER (PARTITION BY doc_id ORDER BY ref) AS upto FROM ev)
 SELECT doc_id, ref, n::BIGINT AS n FROM o WHERE k <= 8 AND upto <= 2048""")
 def omitted_previews(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("ref")
     e = evidence_rows(spark, d).select("doc_id", "ref", F.octet_length("text").cast("long").alias("n"))
-    e = e.withColumn("k", F.row_number().over(w)).withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.where("k <= 8 and upto <= 2048").select("doc_id", "ref", "n")
+    return records.previews(e, "doc_id", "ref", "n")
 
 
 @query(f"WITH {REFS} SELECT source_id, ref, row_number() OVER (PARTITION BY source_id ORDER BY seq, ref) AS place FROM ev")
 def delivery_order(spark, d):
-    w = Window.partitionBy("source_id").orderBy("seq", "ref")
-    return evidence_rows(spark, d).select("source_id", "ref", F.row_number().over(w).cast("long").alias("place"))
+    return records.delivered(evidence_rows(spark, d)).select("source_id", "ref", "place")
 
 
 @query("""SELECT conv_id, arg_min(turn, (CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn)) AS next_turn, count(*) AS waiting FROM conversations GROUP BY conv_id""")
 def next_question(spark, d):
     """The first open question by priority, then id."""
     rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    return read(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("turn", F.struct(rank, "turn")).alias("next_turn"), F.count("*").alias("waiting"))
+    return records.next_open(read(spark, d, "conversations"), "conv_id", rank, "turn").withColumnRenamed("next", "next_turn")
 
 
 @query("SELECT doc_id, CASE WHEN source IS DISTINCT FROM 'src0' THEN source END AS source, CASE WHEN lang IS DISTINCT FROM 'en' THEN lang END AS lang FROM documents")
@@ -256,10 +253,14 @@ def diagnostic_sequence(spark, d):
     return workflow.diagnostics(a, "user_id", "event_id").select("user_id", "event_id", "allowed")
 
 
-@query("""WITH p AS (SELECT conv_id, turn, text, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 4 THEN 0 ELSE 1 END AS part FROM conversations)
-SELECT conv_id, turn, part, floor((sum(strlen(text)) OVER (PARTITION BY conv_id, part ORDER BY turn) - strlen(text)) / 4000)::BIGINT AS batch FROM p""")
+@query("""WITH RECURSIVE p AS (SELECT conv_id, turn, strlen(text) AS n, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 4 THEN 0 ELSE 1 END AS part FROM conversations),
+q AS (SELECT *, row_number() OVER w AS pos, sum(n) OVER w AS upto FROM p WINDOW w AS (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r(conv_id, part, a, z) AS (SELECT conv_id, part, min(pos), max(pos) FROM q GROUP BY 1, 2
+ UNION ALL SELECT conv_id, part, CASE h WHEN 0 THEN a ELSE a + (z - a + 1) // 2 END, CASE h WHEN 0 THEN a + (z - a + 1) // 2 - 1 ELSE z END FROM (SELECT r.* FROM r JOIN q e ON e.conv_id = r.conv_id AND e.part = r.part AND e.pos = r.z JOIN q s ON s.conv_id = r.conv_id AND s.part = r.part AND s.pos = r.a WHERE z > a AND e.upto - s.upto + s.n > 1500), unnest([0, 1]) x(h)),
+leaf AS (SELECT conv_id, part, a, min(z) AS z FROM r GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY a) - 1 AS batch FROM leaf)
+SELECT q.conv_id, turn, q.part, batch FROM q JOIN b ON b.conv_id = q.conv_id AND b.part = q.part AND pos BETWEEN a AND z""")
 def judge_batches(spark, d):
-    return workflow.judge_batches(read(spark, d, "conversations"), "conv_id", "turn", "text", 4000).select("conv_id", "turn", "part", "batch")
+    return workflow.judge_batches(read(spark, d, "conversations"), "conv_id", "turn", "text", 1500).select("conv_id", "turn", "part", "batch")
 
 
 @query("SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id % 3, embedding[2]::DOUBLE, embedding[1]::DOUBLE, vec_id) - 1 AS place FROM embeddings")

@@ -219,3 +219,62 @@ def test_dense_in_one_block_and_in_several(spark):
         one, several = (sorted(map(tuple, retrieval.dense(v, q, 7, scoped, 8, block).collect())) for block in (1000, 6))
         assert one == several and len(one) == 7 * q.count()
     assert retrieval.dense(v, q.limit(0), 7, False, 8).count() == 0
+
+
+def test_packing_keeps_its_promises():
+    """On random stages: within the budget, with what is required and the support that hangs on it, and no offer left that fits."""
+    rnd = random.Random(12)
+    for _ in range(400):
+        refs = [f"r{i}" for i in range(rnd.randint(2, 9))]
+        bundles = {f"b{i}": packing.Bundle(frozenset(rnd.sample(refs, rnd.randint(1, min(3, len(refs))))), rnd.choice((None, "q1", "q2")), rnd.choice(packing.ADEQUACIES), rnd.choice(("conflicts", "supports"))) for i in range(rnd.randint(0, 6))}
+        s = packing.Stage({r: rnd.randint(1, 20) for r in refs}, bundles, {"q1": ("essential", "partial"), "q2": ("optional", "supported")}, frozenset(rnd.sample(refs, rnd.randint(0, 1))), frozenset(refs[:1]), rnd.random() < 0.5)
+        limit = rnd.randint(20, 90)
+        chosen = packing.choose(s, limit)
+        assert s.required <= chosen and s.size(chosen) <= limit
+        adequate = [b.refs for b in bundles.values() if b.adequacy == "adequate"]
+
+        def closed(x, adequate=adequate):
+            while any(b & x and not b <= x for b in adequate):
+                x = x.union(*(b for b in adequate if b & x))
+            return x
+
+        if chosen != s.required:
+            assert closed(chosen) == chosen
+        linked = frozenset().union(*(b.refs for b in bundles.values()))
+        for offer in [b.refs for b in bundles.values()] + [frozenset([r]) for r in refs if r not in linked]:
+            grown = closed(chosen | offer)
+            assert grown == chosen or s.size(grown) > limit
+
+
+def test_artifacts(spark, tmp_path):
+    from spanforge.sources import ingest
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n long, s string")
+    ingest.write_artifact(df, f"{tmp_path}/x")
+    assert sorted(map(tuple, ingest.artifact(spark, f"{tmp_path}/x", "n long, s string").collect())) == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception, match="already exists"):
+        ingest.write_artifact(df, f"{tmp_path}/x")
+    (tmp_path / "whole.json").write_text('[{"n": 1,\n "s": "a"}]')
+    assert [tuple(r) for r in ingest.artifact(spark, f"{tmp_path}/whole.json").collect()] == [(1, "a")]
+
+
+def test_records_refuse_what_they_must(spark):
+    from spanforge.operators import records
+
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    chunks = made([("s", "c0", "some text")], "source_id string, chunk_id string, chunk_text string")
+    note = made([("s", "n", "absent", "c0")], "source_id string, name string, value string, chunk_id string")
+    with pytest.raises(Exception, match="not in its chunk"):
+        records.source_context(chunks.select("source_id"), note, chunks).collect()
+    with pytest.raises(Exception, match="too many tasks"):
+        records.bounded_tasks(made([(1, i) for i in range(13)], "plan int, task int"), "plan").collect()
+    files = made([(1, p, p) for p in "abc"], "bundle_id int, path string, body string")
+    manifest = files.select("bundle_id", F.lit(1).alias("schema_version"), "path", F.sha2("body", 256).alias("digest"))
+    assert records.bundle_import(manifest, files).count() == 3
+    for bad, fault in ((manifest.withColumn("schema_version", F.lit(2)), "schema version"), (manifest.where("path <> 'a'"), "not complete"), (manifest.withColumn("digest", F.lit("x")), "bound")):
+        with pytest.raises(Exception, match=fault):
+            records.bundle_import(bad, files).collect()
+    steps = [(1, "call", None, "p"), (2, "initialize", "10", None), (3, "call", None, "p"), (4, "start", None, None), (5, "call", None, "p"), (6, "initialize", "20", None), (7, "disable", None, "p"), (8, "call", None, "p"), (9, "call", None, "q"), (10, "initialize", "10", None)]
+    events = made([(0, *s) for s in steps], "ledger_id int, seq int, kind string, limits string, provider string")
+    got = [r.problem for r in records.lifecycle(events).orderBy("seq").collect()]
+    assert got == ["not initialized", None, "not started", None, None, "other limits", None, "provider disabled", None, None]
