@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, licenses, mixing, near_dup, page_text, pii, quality, repeats, secrets
+from . import conversations, decontaminate, fingerprints, licenses, mixing, near_dup, page_text, pii, quality, repeats, secrets
 from .common import read, span_list
+from .oracles import ORACLES as MORE_ORACLES
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,11 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_repeats": op8_repeats, "op6_near_dup": op6_near_dup, "op5_decontaminate": op5_decontaminate, "op7_mixing": op7_mixing, "op9_page_text": op9_page_text, "op1_quality": op1_quality, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
+QUERIES = {"op11_conversation_repair": op11_conversation_repair, "op8_repeats": op8_repeats, "op6_near_dup": op6_near_dup, "op5_decontaminate": op5_decontaminate, "op7_mixing": op7_mixing, "op9_page_text": op9_page_text, "op1_quality": op1_quality, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What the contracts of two operators say, pair by pair and window by window.
@@ -101,3 +106,4 @@ cuts AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a)
 kept AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY since, a) AS k FROM cuts JOIN h USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM h JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1) USING (doc_id)""",
 }
+ORACLES |= MORE_ORACLES
