@@ -78,4 +78,48 @@ FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'none') AS conv FROM c
 LEFT JOIN counts USING (conv) LEFT JOIN best USING (conv) LEFT JOIN hashed USING (conv)
 """
 
-ORACLES: dict[str, str] = {"op11_conversation_repair": OP11}
+
+def _round(r: int) -> str:
+    """Assignment ``a{r}`` to the centroids ``c{r}`` and, but for the last, the centroids after it."""
+    assigned = f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(k, (d, k)) AS k, min(d) AS d
+  FROM (SELECT place, vec_id, v, k, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM ints, c{r})
+  GROUP BY place, vec_id, v)"""
+    # integer division rounds to zero: one less where a negative sum leaves a rest
+    moved = f"""m{r} AS MATERIALIZED (
+  SELECT k, list(q ORDER BY i) AS c
+  FROM (SELECT k, i, (s // n - (s % n < 0)::INT)::BIGINT AS q FROM (SELECT k, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY k, i)) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))"""
+    return assigned if r == 5 else f"{assigned},\n{moved}"
+
+
+OP12 = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ints AS MATERIALIZED (SELECT * FROM kept),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c
+  FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM ints ORDER BY h, v LIMIT 40)),
+{", ".join(_round(r) for r in range(6))}
+SELECT vec_id, k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c5.c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (k)
+"""
+
+OP13 = r"""
+WITH rules(rule, host, path, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+rest AS (SELECT row_number() OVER () AS place, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS h FROM rest),
+parts AS (SELECT place, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hosts),
+fits AS (SELECT place, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM parts p JOIN rules r
+  ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY place),
+judged AS (SELECT * FROM parts LEFT JOIN fits USING (place)),
+votes AS (SELECT host, count_if(verdict = 'block') > count_if(verdict = 'allow') AS listed FROM judged GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM judged JOIN votes USING (host)
+"""
+
+ORACLES: dict[str, str] = {"op11_conversation_repair": OP11, "op12_clusters": OP12, "op13_url_filter": OP13}

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, fingerprints, licenses, mixing, near_dup, page_text, pii, quality, repeats, secrets
+from . import clusters, conversations, decontaminate, fingerprints, licenses, mixing, near_dup, page_text, pii, quality, repeats, secrets, urls
 from .common import read, span_list
 from .oracles import ORACLES as MORE_ORACLES
 
@@ -86,7 +86,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations")))
 
 
-QUERIES = {"op11_conversation_repair": op11_conversation_repair, "op8_repeats": op8_repeats, "op6_near_dup": op6_near_dup, "op5_decontaminate": op5_decontaminate, "op7_mixing": op7_mixing, "op9_page_text": op9_page_text, "op1_quality": op1_quality, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.inertia(read(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op13_url_filter": op13_url_filter, "op12_clusters": op12_clusters, "op11_conversation_repair": op11_conversation_repair, "op8_repeats": op8_repeats, "op6_near_dup": op6_near_dup, "op5_decontaminate": op5_decontaminate, "op7_mixing": op7_mixing, "op9_page_text": op9_page_text, "op1_quality": op1_quality, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op2_secrets": op2_secrets, "op10_pii": op10_pii}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What the contracts of two operators say, pair by pair and window by window.
