@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,17 +65,42 @@ def reference(source_id: str | Column, version_hash: str | Column, spans: str |
     return digest(F.concat(F.lit('{"source_id": '), json_string(source_id), F.lit(', "spans": '), json_spans(spans), F.lit(', "version": {"hash": '), json_string(version_hash), F.lit("}}")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: a lambda that names an expression works it out for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(lengths: Column) -> Column:
+    """Sum of the elements before each element.
+
+    Sums are appended to short arrays, over the square root of the elements at a time: an array that
+    grows to the whole is copied at each element.
+    """
+
+    def within(block: Column, base: Column) -> Column:
+        start = F.struct(base.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(block, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def blocked(x: Column) -> Column:
+        width = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(x).cast("double"))).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), F.size(x) - 1, width), lambda i: F.slice(x, i + 1, width))
+        sums = lambda c: F.transform(c, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n))
+        return bound(cut, lambda c: bound(within(sums(c), F.lit(0)), lambda bases: F.flatten(F.zip_with(c, bases, within))))
+
+    return bound(lengths, lambda x: F.when(F.size(x) > 0, blocked(x)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
+def spans_of_parts(parts: Column) -> Column:
+    """Array of (start, end, part) of the consecutive parts of a text."""
+    span = lambda p, at: F.struct(at.alias("start"), (at + F.length(p)).alias("end"), p.alias("part"))
+    return bound(parts, lambda x: F.zip_with(x, running(F.transform(x, lambda p: F.length(p))), span))
+
+
 def sentences(text: str | Column) -> Column:
     """Array of (start, end) of the reading sentences of a text (PR9); leading terminators belong to none."""
     parts = F.regexp_extract_all(col(text), F.lit(rf"([^。！？.!?]+[。！？.!?]*|^[。！？.!?]+)"), F.lit(1))
-
-    def step(a: Column, p: Column) -> Column:
-        end = a["at"] + F.length(p)
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("start"), end.alias("end"))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
-    whole = F.aggregate(parts, start, step, lambda a: a["out"])
-    return F.filter(whole, lambda s: F.substr(col(text), s["start"] + 1, s["end"] - s["start"]).rlike("[^。！？.!?]"))
+    some = F.filter(spans_of_parts(parts), lambda s: s["part"].rlike("[^。！？.!?]"))
+    return F.transform(some, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def inline_scope(query: str | Column) -> Column:

@@ -27,11 +27,8 @@ def table_chunks(tables: DataFrame, key: str, text: str, limit: int) -> DataFram
 
     A header of ``limit`` characters or more is an error; a table of one row gives its header alone.
     """
-    def step(a: Column, line: Column) -> Column:
-        return F.struct((a["at"] + F.length(line)).alias("at"), F.array_append(a["rows"], F.struct(a["at"].alias("s"), (a["at"] + F.length(F.regexp_replace(line, r"\n+\z", ""))).alias("e"))).alias("rows"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("rows"))
-    rows = F.aggregate(F.regexp_extract_all(F.col(text), F.lit(ROW), F.lit(0)), start, step, lambda a: a["rows"])
+    lines = T.spans_of_parts(F.regexp_extract_all(F.col(text), F.lit(ROW), F.lit(0)))
+    rows = F.transform(lines, lambda r: F.struct(r["start"].alias("s"), (r["start"] + F.length(F.regexp_replace(r["part"], r"\n+\z", ""))).alias("e")))
     df = tables.where(F.length(text) > 0).select(key, text, rows.alias("rows"))
     head = F.element_at("rows", 1)
     df = df.withColumn("header", F.when(head["e"] < limit, head).otherwise(F.raise_error(F.lit("table header reaches the chunk limit"))))
