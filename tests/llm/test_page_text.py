@@ -1,5 +1,6 @@
 """Parsing, held-out generated pages, hand-written pages and consistent decoding."""
 
+import time
 import numpy as np
 import pytest
 
@@ -84,3 +85,26 @@ def test_over_a_table(spark):
     got = pt.extract_pages(df).collect()
     assert len(got) == 5 and [r.text for r in got if r.page_id in (2, 3, 4)] == ["", "", ""] and len({r.text for r in got if r.page_id == 1}) == 1
     assert pt.extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<p>a</p><img " + " ".join(f'a{i}="v{i}"' for i in range(10_000)), '<a x="' * 10_000, "<a x=\"'" * 10_000 + ">", "<div>" * 100_000 + "</x>" * 100_000,
+        "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<table>" + "<div>" * 50_000 + "<td></td>" * 50_000, "<!x " * 50_000, "</a " * 50_000, "<a" * 50_000, "<!--" * 50_000,
+    ],
+)
+def test_broken_pages_take_linear_time(html):
+    began = time.perf_counter()
+    parse(html)
+    assert time.perf_counter() - began < 2
+
+
+def test_quotes_and_ends_of_tags():
+    text = lambda html: "".join(t for _, t in parse(html).pieces)
+    assert text("""<p title="a > b">in</p>""").split() == ["in"]
+    assert text("""<p title="a > b>in</p>""").split() == "b>in".split()
+    assert text("""x <p title='y" z <b>in""").split() == "x in".split()
+    assert text("one <img src='x' alt=").split() == "one <img src='x' alt=".split()
+    assert text("one </p two").split() == "one </p two".split()
+    assert text("one <b <!-- two").split() == "one <b".split()
