@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions import text as T
+
 from .common import text_of
 
 MARK = "\u0001"
@@ -21,6 +23,8 @@ SPAN = "struct<kind:string,start:int,end:int,score:double>"
 NONE = f"cast(array() as array<{SPAN}>)"
 #: Code points of context on either side of a span.
 CONTEXT = 48
+#: Code points of the pages that contexts are cut from.
+PAGE = 1024
 
 
 @dataclass(frozen=True)
@@ -97,15 +101,33 @@ def iban_hits(text: Column) -> Column:
     lengths = F.transform(parts, lambda p: F.length(p))
     runs = F.transform(F.regexp_extract_all(text, F.lit(head), F.lit(1)), lambda r, i: F.struct(i.alias("i"), iban(r).alias("m")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["pos"] + F.get(lengths, x["i"])
-        end = start + F.length(x["m"])
-        hit = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))
-        new = x["m"].isNotNull() & (start >= a["last"])
-        return F.struct(start.alias("pos"), F.when(new, end).otherwise(a["last"]).alias("last"), F.when(new, F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"))
+    # a run begins where the part before its mark ends
+    starts = T.bound(lengths, lambda n: F.zip_with(n, T.running(n), lambda x, at: x + at))
+    found = T.bound(starts, lambda at: F.transform(runs, lambda x: F.struct(F.get(at, x["i"]).alias("start"), (F.get(at, x["i"]) + F.length(x["m"])).alias("end"), x["m"].alias("m"))))
+    return disjoint(F.filter(found, lambda h: h["m"].isNotNull()))
+
+
+def disjoint(hits: Column) -> Column:
+    """Of ``(start, end, m)`` in order of start, each that begins no sooner than the last one taken ends.
+
+    Taken in arrays of the square root of the hits, for a growing array is copied at each of them.
+    """
+    kept = "cast(array() as array<struct<start:int,end:int,m:string>>)"
+
+    def one(a: Column, h: Column) -> Column:
+        return F.when(h["start"] >= a["last"], F.struct(h["end"].alias("last"), F.array_append(a["out"], h).alias("out"))).otherwise(a)
+
+    def block(a: Column, b: Column) -> Column:
+        inner = F.aggregate(b, F.struct(a["last"].alias("last"), F.expr(kept).alias("out")), one)
+        return T.bound(inner, lambda x: F.struct(x["last"].alias("last"), F.array_append(a["out"], x["out"]).alias("out")))
+
+    def blocks(x: Column) -> Column:
+        width = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(x).cast("double"))).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), F.size(x) - 1, width), lambda i: F.slice(x, i + 1, width))
+        zero = F.struct(F.lit(0).alias("last"), F.expr(f"cast(array() as array<{kept[16:-1]}>)").alias("out"))
+        return F.flatten(F.aggregate(cut, zero, block, lambda a: a["out"]))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("last"), F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)").alias("out"))
-    return F.aggregate(runs, zero, step, lambda a: a["out"])
+    return T.bound(hits, lambda x: F.when(F.size(x) > 0, blocks(x)).otherwise(F.expr(kept)))
 
 
 def _card(m: Column) -> Column:
@@ -136,25 +158,31 @@ def spans_of(text: Column, kind: Kind, threshold: float) -> Column:
     """Array of span structs: leftmost non-overlapping matches of a kind that pass its check.
 
     The matches are set between marks, the marked text is split, and offsets follow from the
-    lengths of the parts; odd parts are matches. IBANs come from ``iban_hits``.
+    lengths of the parts; odd parts are matches. IBANs come from ``iban_hits``. Time grows with the
+    text and, but for appending to short arrays, with the hits.
     """
-    parts = F.split(F.regexp_replace(text, kind.pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    parts = T.spans_of_parts(F.split(F.regexp_replace(text, kind.pattern, f"{MARK}$0{MARK}"), MARK, -1))
+    odd = F.filter(F.transform(parts, lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.when(i % 2 == 1, p["part"]).alias("m"))), lambda h: h["m"].isNotNull())
+    hits = F.filter(odd, lambda h: kind.check(h["m"])) if kind.pattern else iban_hits(text)
 
-    def step(a: Column, p: Column) -> Column:
-        end = a["pos"] + F.length(p)
-        hit = F.struct(a["pos"].alias("start"), end.alias("end"), p.alias("m"))
-        return F.struct(end.alias("pos"), (a["i"] + 1).alias("i"), F.when(a["i"] % 2 == 1, F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"))
+    def between(pages: Column, low: Column, n: Column) -> Column:
+        """``n`` code points from ``low``: at most CONTEXT, so of one page and the next."""
+        first = F.floor(low / PAGE).cast("int")
+        return F.substr(F.concat(F.get(pages, first), F.coalesce(F.get(pages, first + 1), F.lit(""))), low % PAGE + 1, n)
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)").alias("out"))
-    hits = F.filter(F.aggregate(parts, start, step, lambda a: a["out"]), lambda h: kind.check(h["m"])) if kind.pattern else iban_hits(text)
-
-    def scored(h: Column) -> Column:
+    def scored(pages: Column, h: Column) -> Column:
         low = F.greatest(h["start"] - CONTEXT, F.lit(0))
-        near = F.concat_ws(" ", F.substr(text, low + 1, h["start"] - low), F.substr(text, h["end"] + 1, F.lit(CONTEXT)))
+        near = F.concat_ws(" ", between(pages, low, h["start"] - low), between(pages, h["end"], F.lit(CONTEXT)))
         score = F.lit(kind.base) + F.when(near.rlike(f"(?i){kind.words}"), F.lit(kind.boost)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), h["start"].alias("start"), h["end"].alias("end"), F.round(score, 3).alias("score"))
 
-    out = F.transform(hits, scored)
+    def all_scored(found: Column) -> Column:
+        # a place in a long text is reached by counting code points from its beginning; in a page, from the page's
+        pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+        none = F.expr(NONE)
+        return F.when(F.size(found) > 0, T.bound(pages, lambda p: F.transform(found, lambda h: scored(p, h)))).otherwise(none)
+
+    out = T.bound(hits, all_scored)
     if threshold > kind.base:
         out = F.filter(out, lambda s: s["score"] >= threshold)
     probe = F.contains(text, F.lit(kind.probe)) if kind.probe == "@" else text.rlike(kind.probe)

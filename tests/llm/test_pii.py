@@ -1,7 +1,9 @@
 """Base spans against Python's re, method spans on planted cases."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -91,3 +93,21 @@ def test_ibans_before_capitals_and_digits(spark):
     cases = [(f"é {a} Please", [a]), (f"{b} 2024", [b]), (f"{c} BIC NWBKGB2L", [c]), (f"{a} {b}", [a, b]), (f"REF AT61 {c} {b}", [c, b]), (f"{a}X", []), (f"{a} {a[:-1]}", [a]), (c, [c]), (f"{a}please", [])]
     got = [[t[s.start : s.end] for s in r.more] for t, r in zip((t for t, _ in cases), pii.personal_data(rows(spark, [t for t, _ in cases])).orderBy("doc_id").collect(), strict=True)]
     assert got == [w for _, w in cases]
+
+
+@pytest.mark.parametrize("text, n", [(" ".join(f"u{i}@ex.com" for i in range(100_000)), 100_000), ("1." * 150_000, 37_500), ("10.0.0.1 " * 100_000, 100_000)])
+def test_many_hits_in_one_text(spark, text, n):
+    began = time.perf_counter()
+    assert pii.personal_data(rows(spark, [text])).select(pii.F.size("base")).first()[0] == n
+    assert time.perf_counter() - began < 40
+
+
+def test_context_of_adjacent_and_distant_hits_equals_slices(spark):
+    """Scores go by CONTEXT code points on either side, wherever pages of a text end."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a@b.co ", "mail ", "é" * rng.randint(1, 60), "call +1 234 567 8901 ", "\U0001f600 "]) for _ in range(rng.randint(1, 300))) for _ in range(20)]
+    for t, r in zip(texts, pii.personal_data(rows(spark, texts)).orderBy("doc_id").collect(), strict=True):
+        for s in r.base:
+            kind = next(k for k in pii.BASE if k.name == s.kind)
+            near = t[max(0, s.start - pii.CONTEXT) : s.start] + " " + t[s.end : s.end + pii.CONTEXT]
+            assert s.score == round(kind.base + (kind.boost if re.search(kind.words, near, re.I) else 0), 3)
