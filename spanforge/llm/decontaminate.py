@@ -104,8 +104,29 @@ def slots(canon: str | Column, raw: str | Column) -> Column:
     return F.transform(F.filter(here, lambda s: s["c"].isin(*PLACEHOLDERS)), lambda s: F.struct(s["c"].alias("c"), F.lower(s["t"]).alias("v")))
 
 
+def same_values(pairs: Column) -> Column:
+    return F.forall(pairs, lambda p: p["b"] == p["d"])
+
+
+def agreeing(lines: str) -> Column:
+    """Windows of the lines that agree: from the one of most windows on, each that gives no value of the item two values."""
+    start = F.struct(F.expr("cast(array() as array<struct<b:string,d:string>>)").alias("pairs"), F.expr("cast(array() as array<int>)").alias("at"))
+
+    def step(a: Column, x: Column) -> Column:
+        both = F.array_union(a["pairs"], x["pairs"])
+        agree = F.size(F.array_distinct(F.transform(both, lambda p: p["b"]))) == F.size(both)
+        return F.when(agree, F.struct(both.alias("pairs"), F.array_union(a["at"], x["at"]).alias("at"))).otherwise(a)
+
+    return F.aggregate(F.array_sort(lines), start, step, lambda a: a["at"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", covered: float = COVERED) -> DataFrame:
-    """Rows ``key``, ``item``, ``coverage``, ``windows``, ``kind`` ("exact", or "reparameterised" if a value differs).
+    """Rows ``key``, ``item``, ``coverage``, ``windows``, ``kind``.
+
+    The windows of an item that a document holds are those of its lines (one offset of the item in the
+    document), taken while their values agree: one value of the item stands for one value throughout.
+    The kind is "exact" if the windows with the item's own values cover as much as these, else
+    "reparameterised".
 
     Null and empty texts match nothing; rows that repeat, or share a key, count as one document;
     an empty table of either kind gives no rows; other columns are not read.
@@ -152,9 +173,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     # the most windows that contradict nothing
     best = F.when(consistent("every"), F.col("every")).when(consistent("words"), F.col("words"))
     line = line.select("key__", "item__", "item_n", "width", best.alias("best")).where(F.size("best.at") > 0)
-    exact = F.forall("best.pairs", lambda p: p["b"] == p["d"])
-    per = line.select("key__", "item__", "item_n", "width", F.col("best.at").alias("at"), exact.alias("exact"), F.size("best.at").alias("windows"))
-    union = per.groupBy("key__", "item__").agg(F.first("item_n").alias("n"), F.first("width").alias("width"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max("exact").alias("exact"))
-    tokens_covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("width") - 1)))))
-    out = union.select(F.col("key__").alias(key), F.col("item__").alias(item), F.round(tokens_covered / F.col("n"), 6).alias("coverage"), F.size("at").cast("bigint").alias("windows"), F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
+    # lines of one assignment of values are one: a text that repeats an item has one of them, not one a copy
+    values = F.array_sort("best.pairs").alias("pairs")
+    line = line.select("key__", "item__", "item_n", "width", values, F.col("best.at").alias("at"))
+    line = line.groupBy("key__", "item__", "item_n", "width", "pairs").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"))
+    per = line.groupBy("key__", "item__", "item_n", "width").agg(F.collect_list(F.struct((-F.size("at")).alias("n"), "pairs", F.array_sort("at").alias("at"))).alias("lines"))
+    size = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + F.col("width") - 1)))))
+    whole, verbatim_at = agreeing("lines"), F.array_distinct(F.flatten(F.transform(F.filter("lines", lambda x: same_values(x["pairs"])), lambda x: x["at"])))
+    per = per.select("key__", "item__", "item_n", "width", whole.alias("at"), verbatim_at.alias("exact_at")).withColumn("exact", size("exact_at") >= size("at"))
+    per = per.withColumn("at", F.when(F.col("exact"), F.col("exact_at")).otherwise(F.col("at")))
+    out = per.select(F.col("key__").alias(key), F.col("item__").alias(item), F.round(size("at") / F.col("item_n"), 6).alias("coverage"), F.size("at").cast("bigint").alias("windows"), F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
     return out.where(F.col("coverage") >= covered)

@@ -84,3 +84,29 @@ def test_changed_numbers_do_not_undo_a_match_of_words(spark):
     item = " ".join(f"word{chr(97 + i)}" for i in range(20)) + " 1 2 3 4 1 2"
     d, b = frames(spark, [(1, item[:-11] + "5 6 7 8 9 9"), (2, item)], [(1, item)])
     assert found(d, b) == {(1, 1): "reparameterised", (2, 1): "exact"}
+
+
+def test_kind_of_a_copy_with_one_other_value_and_an_insertion(spark):
+    item = " ".join(f"{w} {n}" for w, n in zip("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split(), "apples pears plums figs dates nuts beans peas limes kiwis grapes leeks".split())) + " when 12 of them were sold on the market of the old town by the young farmer"
+    half = item.split()
+    changed = " ".join(half[:10] + ["quite"] + half[10:]).replace("12", "99")
+    twice = f"{item} and again {item.replace('12', '7')}"
+    d, b = frames(spark, [(1, changed), (2, item), (3, twice), (4, item.replace("12", "99"))], [(1, item)])
+    assert found(d, b) == {(1, 1): "reparameterised", (2, 1): "exact", (3, 1): "exact", (4, 1): "reparameterised"}
+
+
+def test_places_that_contradict_each_other_do_not_add_up(spark):
+    w = [f"w{chr(97 + i)}{chr(97 + i)}" for i in range(24)]
+    item = " ".join([*w[:6], "12", *w[6:12], "12", *w[12:18], "12", *w[18:]])
+    at = item.split()
+    first, second = " ".join(at[:13]).replace("12", "40"), " ".join(at[14:]).replace("12", "50")
+    agreeing = " ".join(at[14:]).replace("12", "40")
+    d, b = frames(spark, [(1, f"{first} filler words stand here {second}"), (2, f"{first} filler words stand here {agreeing}")], [(1, item)])
+    rows = {r.doc_id: (r.coverage, r.kind) for r in dc.contaminated(d, b, covered=0.1).collect()}
+    assert rows[2][0] > rows[1][0] and rows[2][1] == rows[1][1] == "reparameterised"
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(1)
+    d, b = frames(spark, [(1, words(rnd, 60_000) + " " + Q + " " + words(rnd, 60_000)), (2, words(rnd, 100_000))], [(1, Q)])
+    assert found(d, b) == {(1, 1): "exact"}
