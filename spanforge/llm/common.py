@@ -80,6 +80,11 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, so that extra input columns never clash."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, text_of
+from .common import column, free_name, materialize, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -86,8 +86,14 @@ FUNCTION = frozenset("a an and any are as at be can do for in is it of on or tha
 
 
 def index_words(templates=TEMPLATES) -> list[str]:
-    """The words that are indexed in every text."""
-    return sorted({w for t in templates for w in t.words} - FUNCTION)
+    """The words that are indexed in every text; function words only for a key phrase that has no others."""
+    return sorted(set().union(*(set(t.words) - FUNCTION for t in templates), *(key_words(t) for t in templates)))
+
+
+def key_words(t: Template) -> set[str]:
+    """Index words of a template's key phrase."""
+    words = set(t.key.split())
+    return words - FUNCTION or words
 
 
 def with_hits(docs: DataFrame, text: str, templates, n_words: str, seen: str, hits: str) -> DataFrame:
@@ -98,15 +104,15 @@ def with_hits(docs: DataFrame, text: str, templates, n_words: str, seen: str, hi
     """
     words = free_name(docs, "words")
     index, every = (F.array(*(F.lit(w) for w in ws)) for ws in (index_words(templates), sorted({w for t in templates for w in t.words})))
-    split = docs.select(*(c for c in docs.columns if c != text), words_of(text).alias(words))
+    split = docs.select(*(column(c) for c in docs.columns if c != text), words_of(text).alias(words))
     split = split.withColumn(seen, F.array_intersect(F.col(words), index))
-    keys = sorted({tuple(sorted(set(t.key.split()) - FUNCTION)) for t in templates})
+    keys = sorted({tuple(sorted(key_words(t))) for t in templates})
     stands = F.lit(False)
     for key in keys:
         stands = stands | (F.size(F.array_intersect(F.col(seen), F.array(*map(F.lit, key)))) == len(key))
     at = F.transform(F.col(words), lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("p")))
     posted = F.filter(at, lambda s: F.array_contains(every, s["w"]))
-    hit = F.when((F.size(seen) > 1) & stands, posted).otherwise(F.expr("cast(array() as array<struct<w:string,p:bigint>>)"))
+    hit = F.when(stands, posted).otherwise(F.expr("cast(array() as array<struct<w:string,p:bigint>>)"))
     return split.withColumns({n_words: F.size(words).cast("long"), hits: hit}).drop(words)
 
 
@@ -125,9 +131,10 @@ def starts(hits: Column, t: Template, weights: dict[str, float], least: float, a
     very many hits costs no product of them.
     """
     words, at = t.words, t.offset
+    weighty = set(words) - FUNCTION | key_words(t)
     inside = range(at, at + len(t.key.split()))
     # anchors come from the mandatory phrase, so that every place to be found has each of them
-    ranked = sorted((i for i in inside if words[i] in weights), key=lambda i: (-weights[words[i]], i))
+    ranked = sorted((i for i in inside if words[i] in weighty), key=lambda i: (-weights[words[i]], i))
 
     def posting(i: int) -> Column:
         return F.transform(F.filter(hits, lambda s: s["w"] == words[i]), lambda s: s["p"] - i)
@@ -136,10 +143,10 @@ def starts(hits: Column, t: Template, weights: dict[str, float], least: float, a
     for i in [*ranked[1:anchors], *(i for i in inside if i not in ranked[:anchors])]:
         proposed = F.array_intersect(proposed, posting(i))
     label, base = F.lit(t.label).alias("label"), F.lit(t.base).alias("base")
-    beyond = [i for i in range(len(words)) if words[i] in weights and i not in inside]
+    beyond = [i for i in range(len(words)) if words[i] in weighty and i not in inside]
     if t.base or not beyond:  # the key phrase is all there is to weigh
         return F.transform(proposed, lambda s: F.struct(label, (s + (0 if t.base else at)).alias("start"), F.lit(1.0).alias("score"), base))
-    sure = sum(weights[words[i]] for i in inside if words[i] in weights)
+    sure = sum(weights[words[i]] for i in inside if words[i] in weighty)
     total = sure + sum(weights[words[i]] for i in beyond)
 
     def match(found: Column, w: float) -> Column:
@@ -166,9 +173,9 @@ def starts(hits: Column, t: Template, weights: dict[str, float], least: float, a
     return F.filter(out, lambda s: s["score"] >= least)
 
 
-def license_places(column: str, weights: dict[str, float], templates=TEMPLATES, least: float = 0.6) -> Column:
+def license_places(hits: str, weights: dict[str, float], templates=TEMPLATES, least: float = 0.6) -> Column:
     """Array of ``(label, start, score, base)`` of every place of every template."""
-    return F.when(F.size(column) > 1, F.concat(*(starts(F.col(column), t, weights, least) for t in templates))).otherwise(F.expr(NO_PLACES))
+    return F.when(F.size(hits) > 0, F.concat(*(starts(F.col(hits), t, weights, least) for t in templates))).otherwise(F.expr(NO_PLACES))
 
 
 def licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, least: float = 0.6) -> DataFrame:
@@ -179,7 +186,7 @@ def licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, least: fl
     ``places`` are replaced.
     """
     n, seen, h = (free_name(docs, x) for x in ("n_words", "seen", "hits"))
-    kept = [c for c in docs.columns if c.lower() not in {text.lower(), "n_words", "places"}]
+    kept = [column(c) for c in docs.columns if c.lower() not in {text.lower(), "n_words", "places"}]
     table = materialize(with_hits(docs, text, templates, n, seen, h).select(*kept, n, seen, h), "licenses")
     weights = idf(table, seen, templates)
     return table.select(*kept, F.col(n).alias("n_words"), license_places(h, weights, templates, least).alias("places"))

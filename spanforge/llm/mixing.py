@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, text_of
+from .common import column, free_name, materialize, text_of
 
 #: Points in which each round of the search splits the interval of the exponent; 4 rounds reach 1e-6.
 SECTIONS, ROUNDS = 33, 4
@@ -129,7 +129,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str =
     decision = materialize(plan.drop("rest").join(border.drop("left"), name, "left").join(cut, name, "left"), "mix-decision")
 
     new = {"copies", "weight", "block", "block_order"}
-    kept = [c for c in docs.columns if c.lower() not in new]
+    kept = [column(c) for c in docs.columns if c.lower() not in new]
     stems = {x: free_name(docs, f"d_{x}") for x in decision.columns if x != name}
     d = decision.select(name, *(F.col(x).alias(y) for x, y in stems.items()))
     c = lambda x: F.col(stems[x])

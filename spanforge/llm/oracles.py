@@ -118,7 +118,7 @@ fits AS (SELECT place, arg_max(rule, length(rule)) AS rule, arg_max(verdict, len
   ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY place),
 judged AS (SELECT * FROM parts LEFT JOIN fits USING (place)),
 votes AS (SELECT host, count_if(verdict = 'block') > count_if(verdict = 'allow') AS listed FROM judged GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(listed, false) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(listed, false) AS listed
 FROM judged JOIN votes USING (host)
 """
 

@@ -90,3 +90,15 @@ def test_very_many_hits_in_one_text(spark):
     began = time.perf_counter()
     got = lic.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert len([p for p in got.places if p.label == "gpl"]) == 6000 and time.perf_counter() - began < 60
+
+
+def test_key_phrases_of_function_words_and_of_one_word(spark):
+    templates = (*lic.TEMPLATES, lic.Template("as-is", "as is", "as is"), lic.Template("one", "copyleft", "copyleft"), lic.Template("only", "what you do with it", "what you do with it"))
+    texts = ["sold as is and as is", "a copyleft work", "What you do with it is yours", "as it is", MIT]
+    got = {r.doc_id: [(s.label, s.start) for s in r.places] for r in lic.licenses(rows(spark, texts), templates=templates).collect()}
+    assert got == {0: [("as-is", 1), ("as-is", 4)], 1: [("one", 1)], 2: [("only", 0)], 3: [], 4: [("mit-text", 0)]}
+
+
+def test_dotted_names(spark):
+    df = rows(spark, ["apache license"]).withColumn("x.y", lic.F.lit(3))
+    assert lic.licenses(df).first()["x.y"] == 3

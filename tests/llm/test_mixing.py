@@ -100,3 +100,9 @@ def test_block_permutations_equal_a_plain_walk(spark):
             cut = True
     assert sorted(map(str, wanted)) == sorted(str((r.doc_id, r.source, r.copies)) for r in got)
     assert len({r[2] for r in wanted}) > 1
+
+
+def test_dotted_names_and_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "a", "w " * 300_000, 7, 8), (2, "b", "x y", 7, 8)], "doc_id long, source string, text string, `x.y` int, `a``b` int")
+    rows = mx.mixed(docs).collect()
+    assert [(r["x.y"], r["a`b"]) for r in rows] == [(7, 8)] * 2
