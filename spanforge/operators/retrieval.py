@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spanforge.functions import text as T
+from spanforge.operators import postings
 
 #: Rows of a query-side table that may be sent to every executor.
 BROADCAST_ROWS = 500_000
-#: Tasks that a token is dealt to where the query side is too large to be broadcast.
-SALTS = 32
 
 
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -29,24 +28,9 @@ def lexical(passages: DataFrame, queries: DataFrame, k: int = 64, scope: str | N
     ``passages``: ``source_id``, ``chunk_id``, ``start_at``, ``chunk_text``, optionally ``context`` (its
     tokens count for matches, not for length); ``queries``: ``query_id``, ``query``. With ``scope``
     only passages whose ``source_id`` equals that column of the query are ranked. Ties by source,
-    first span start, chunk id as text.
+    first span start, chunk id as text. Blocks of queries are multiplied with the passages in place.
     """
-    asked = queries.select("query_id", *([scope] if scope else []), F.explode(T.tokens("query")).alias("token")).distinct()
-    place = ["source_id", "chunk_id", "start_at"]
-    own = passages.select(*place, *(["context"] if "context" in passages.columns else []), T.tokens("chunk_text").alias("own"))
-    # the size is settled below the generator: beside it, a chunk would be tokenised again for each of its tokens;
-    # and the outer form spares the filter that the optimizer infers from an inner one, which tokenises twice more
-    every = F.array_union("own", T.tokens(F.coalesce("context", F.lit("")))) if "context" in passages.columns else F.col("own")
-    terms = own.select(*place, F.size("own").alias("size"), every.alias("every")).select(*place, "size", F.explode_outer("every").alias("token"))
-    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = terms.join(F.broadcast(asked), "token")
-    else:  # common words are hot keys: each is dealt to SALTS tasks
-        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = terms.withColumn("salt", F.pmod(F.xxhash64(*place), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
-    if scope:
-        hits = hits.where(F.col("source_id") == F.col(scope))
-    scored = hits.groupBy("query_id", "source_id", "chunk_id", "start_at", "size").agg(F.count("*").alias("n"))
-    scored = scored.withColumn("score", F.col("n") / F.sqrt(F.greatest(F.lit(1), F.col("size")).cast("double")))
+    scored = postings.ranked(passages, queries, k, scope)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id", "start_at", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "source_id", "chunk_id", "score", "rank")
 
@@ -121,14 +105,13 @@ def fuse(branches: dict[str, DataFrame], keys: list[str], k: int = 64, constant:
     """Reciprocal-rank fusion (JN2, WN8, TK2): a branch counts once per key, at its first rank.
 
     Each branch has ``query_id``, ``keys`` and ``rank``; branches are added in the order given, so that
-    the sum does not depend on the order of rows.
+    the sum does not depend on the order of rows. They are joined, not united: a union of rankings, each
+    dealt by query, may take its parts for dealt alike after their partitions were coalesced apart.
     """
-    every = None
+    out = None
     for name, df in branches.items():
-        one = df.select("query_id", *keys, F.lit(name).alias("branch"), "rank")
-        every = one if every is None else every.unionByName(one)
-    best = lambda n: F.min(F.when(F.col("branch") == n, F.col("rank"))).alias(f"rank_{n}")
-    out = every.groupBy("query_id", *keys).agg(*(best(n) for n in branches))
+        first = df.groupBy("query_id", *keys).agg(F.min("rank").alias(f"rank_{name}"))
+        out = first if out is None else out.join(first, ["query_id", *keys], "full_outer")
     rrf = F.lit(0.0)
     for n in branches:
         rrf = rrf + F.coalesce(F.lit(1.0) / (constant + F.col(f"rank_{n}")), F.lit(0.0))

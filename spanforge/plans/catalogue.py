@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import evidence, ledger, packing, reading, retrieval, review, structure, units
+from spanforge.operators import evidence, ledger, packing, postings, reading, retrieval, review, structure, units
 from spanforge.sources.html import html_blocks as parse_pages
+from spanforge.sources.tables import shared
 from spanforge.streaming import replay as streams
 
 QUERIES: dict = {}
@@ -96,6 +97,15 @@ def lexical_topk(spark, d):
     return retrieval.lexical(passages_of(spark, d), q)
 
 
+@query(lexical_sql())
+def posting_topk(spark, d):
+    """The same ranks from a posting store on disk, whose segments are left out by their bounds (JN1)."""
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    path = shared(spark)
+    postings.write_store(passages_of(spark, d), path)
+    return postings.search_store(spark, path, q)[0]
+
+
 @query(lexical_sql("WHERE doc_id = item_id"))
 def lexical_scoped_topk(spark, d):
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("item_id").alias("scope"))
