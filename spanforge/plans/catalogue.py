@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import evidence, ledger, packing, postings, reading, retrieval, review, structure, units
+from spanforge.operators import evidence, ledger, packing, postings, reading, retrieval, review, structure, units, vector_index
 from spanforge.sources.html import html_blocks as parse_pages
 from spanforge.sources.tables import shared
 from spanforge.streaming import replay as streams
@@ -134,6 +134,27 @@ def dense_scoped_topk(spark, d):
     return retrieval.dense(*dense_inputs(spark, d), scoped=True).withColumn("distance", F.abs("distance"))
 
 
+def index_of(spark, d):
+    path = shared(spark)
+    vector_index.build(dense_inputs(spark, d)[0], path, 64)
+    return vector_index.open_index(spark, path)
+
+
+@query(dense_sql())
+def indexed_topk(spark, d):
+    """Nearest vectors from a stored index of inverted lists, all of which are read (JN3)."""
+    return vector_index.search(index_of(spark, d), dense_inputs(spark, d)[1], exact=True).withColumn("distance", F.abs("distance"))
+
+
+@query(f"""WITH x AS ({dense_sql()}) SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS enough FROM x""")
+def indexed_recall(spark, d):
+    """Exact neighbours, and whether 0.9 of them are found in the lists that a search probes."""
+    index, asked = index_of(spark, d), dense_inputs(spark, d)[1]
+    found = vector_index.search(index, asked).select("query_id", "unit_id", F.lit(True).alias("found"))
+    both = retrieval.dense(*dense_inputs(spark, d)).join(found, ["query_id", "unit_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def items_of(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

@@ -143,26 +143,3 @@ def fetchable(urls: DataFrame, known: DataFrame, url: str = "url", size: str = "
     scheme = F.expr(f"try_parse_url({url}, 'PROTOCOL')")
     ok = scheme.isin("http", "https") & F.expr(f"try_parse_url({url}, 'USERINFO')").isNull() & (F.coalesce(size, F.lit(0)) <= 25_000_000)
     return urls.where(ok).join(known.select(url), url, "left_anti")
-
-
-def publish(df: DataFrame, path: str, expected: int) -> str:
-    """Writes a table to a new folder and its manifest last (SK3); what has no manifest is not published."""
-    df.write.mode("errorifexists").parquet(f"{path}/rows")
-    spark = df.sparkSession
-    back = spark.read.parquet(f"{path}/rows")
-    n = back.count()
-    if n != expected:
-        raise ValueError(f"{n} rows written, {expected} expected")
-    digest = hashlib.sha256(canonical({"count": n, "schema": back.schema.simpleString()}).encode()).hexdigest()
-    spark.createDataFrame([(1, "ready", n, digest)], "schema_version int, status string, count long, index_digest string").write.json(f"{path}/manifest")
-    return digest
-
-
-def published(spark: SparkSession, path: str) -> DataFrame:
-    """A published table, checked against its manifest."""
-    manifest = spark.read.json(f"{path}/manifest").first()
-    rows = spark.read.parquet(f"{path}/rows")
-    digest = hashlib.sha256(canonical({"count": rows.count(), "schema": rows.schema.simpleString()}).encode()).hexdigest()
-    if manifest["status"] != "ready" or digest != manifest["index_digest"]:
-        raise ValueError("index and manifest differ")
-    return rows

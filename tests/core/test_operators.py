@@ -194,8 +194,6 @@ def test_ingest_publish_and_mutation(spark, tmp_path):
     assert ingest.validated(texts).count() == 2 and ingest.new_sources(o, o).count() == 0
     with pytest.raises(Exception, match="source changed"):
         ingest.validated(texts.withColumn("text", F.concat("text", F.lit("!")))).collect()
-    ingest.publish(texts, str(tmp_path / "index"), 2)
-    assert ingest.published(spark, str(tmp_path / "index")).count() == 2
     (tmp_path / "log.jsonl").write_text(json.dumps({"kind": "x", "n": 1}) + "\nbroken\n")
     assert [r.unparsed for r in ingest.events(spark, str(tmp_path / "log.jsonl"), "kind string, n int").orderBy("kind").collect()] == ["broken", None]
 
