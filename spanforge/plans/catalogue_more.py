@@ -194,8 +194,7 @@ b AS (SELECT user_id, batch_no, bool_or(bad) AS refused FROM u GROUP BY ALL), g
 n AS (SELECT user_id, count(*) FILTER (refused) AS n_refused FROM b GROUP BY ALL)"""
 
 
-@query(f"""WITH {COVERAGE} SELECT n.user_id AS stage_id, 'q' || k AS question_id, coalesce(state, 'unresolved') AS state, (CASE WHEN state IS NULL THEN 0 ELSE 2 END)::INT AS n_bundles, n_refused::INT AS n_refused FROM n CROSS JOIN unnest([0, 1, 2, 3, 4]) t(k) LEFT JOIN g ON g.user_id = n.user_id AND g.question_id = 'q' || k""")
-def coverage_machine(spark, d):
+def coverage_inputs(spark, d):
     """Coverage updates from the event log, five questions a stage; some name a bundle of another question, and their batch is refused."""
     e = read(spark, d, "events")
     q = F.concat(F.lit("q"), (F.col("event_id") % 5).cast("string"))
@@ -207,7 +206,15 @@ def coverage_machine(spark, d):
     n = F.explode(F.sequence(F.lit(0), F.lit(4)))
     questions = stages.select("stage_id", n.alias("n")).select("stage_id", F.concat(F.lit("q"), F.col("n").cast("string")).alias("question_id"))
     bundles = questions.select("stage_id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("k"), "question_id").select("stage_id", F.concat(F.lit("b"), F.substr("question_id", F.lit(2)), "k").alias("bundle_id"), "question_id", F.when(F.col("k") == "x", "adequate").otherwise("unassessed").alias("adequacy"))
-    return coverage_state.coverage_states(updates, bundles, questions)
+    return updates, bundles, questions
+
+
+COVERED = f"""WITH {COVERAGE} SELECT n.user_id AS stage_id, 'q' || k AS question_id, coalesce(state, 'unresolved') AS state, (CASE WHEN state IS NULL THEN 0 ELSE 2 END)::INT AS n_bundles, n_refused::INT AS n_refused FROM n CROSS JOIN unnest([0, 1, 2, 3, 4]) t(k) LEFT JOIN g ON g.user_id = n.user_id AND g.question_id = 'q' || k"""
+
+
+@query(COVERED)
+def coverage_machine(spark, d):
+    return coverage_state.coverage_states(*coverage_inputs(spark, d))
 
 
 @query("SELECT item_id AS brief_id, 'q-' || substr(sha256(text), 1, 12) AS question_id, text AS question, CASE WHEN item_id % 2 = 0 THEN 'important' ELSE 'essential' END AS priority, 'unresolved' AS state FROM benchmark")
