@@ -72,21 +72,6 @@ def expand(compacted: DataFrame, source: str = "source_id", version: str = "vers
     return compacted.select(source, version, F.explode(rows).alias("p")).select(source, version, "p.*")
 
 
-def overlaps(chunks: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """Interval-overlap join on ``key`` (JN5): ``start_at < block_end`` and ``end_at > block_start``."""
-    return chunks.join(blocks, key).where((F.col("start_at") < F.col("block_end")) & (F.col("end_at") > F.col("block_start")))
-
-
-def containing(points: DataFrame, units: DataFrame, key: str, point: str = "point") -> DataFrame:
-    """Units that hold a point: ``unit_start <= point < unit_end`` (JN7)."""
-    return points.join(units, key).where((F.col("unit_start") <= F.col(point)) & (F.col(point) < F.col("unit_end")))
-
-
-def uncovered(units: DataFrame, passages: DataFrame, key: str) -> DataFrame:
-    """Units that no passage of their source contains (JN6)."""
-    return units.join(passages, (units[key] == passages[key]) & (F.col("unit_start") >= F.col("start_at")) & (F.col("unit_end") <= F.col("end_at")), "left_anti")
-
-
 def misquoted(quotes: DataFrame, chunks: DataFrame, on: list[str], quote: str = "quote", text: str = "chunk_text") -> DataFrame:
     """Quotes that are empty, or not in the chunk they name, or whose chunk is missing (FI6)."""
     found = quotes.join(chunks.select(*on, F.col(text).alias("__text")), on, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import evidence, ledger, packing, postings, reading, retrieval, review, structure, units, vector_index
+from spanforge.operators import evidence, intervals, ledger, packing, postings, reading, retrieval, review, structure, units, vector_index
 from spanforge.sources.html import html_blocks as parse_pages
 from spanforge.sources.tables import shared
 from spanforge.streaming import replay as streams
@@ -190,7 +190,7 @@ def rrf_fusion(spark, d):
 SELECT doc_id, chunk_id, unit_no FROM chunks JOIN u USING (doc_id) WHERE start_at < unit_end AND end_at > unit_start""")
 def interval_bindings(spark, d):
     u = units_of(spark, d)
-    out = evidence.overlaps(chunks_of(spark, d), u.withColumnsRenamed({"unit_start": "block_start", "unit_end": "block_end"}), "doc_id")
+    out = intervals.overlaps(chunks_of(spark, d), u.withColumnsRenamed({"unit_start": "block_start", "unit_end": "block_end"}), "doc_id")
     return out.select("doc_id", "chunk_id", "unit_no")
 
 
@@ -202,7 +202,7 @@ def units_of(spark, d, size: int = 700):
 @query(f"""WITH {CHUNKS}, u AS (SELECT doc_id, k AS unit_no, k * 700 AS unit_start, least((k + 1) * 700, length(text)) AS unit_end FROM documents, unnest(range(0, (length(text) + 699) // 700)) t(k))
 SELECT doc_id, unit_no, unit_start, unit_end FROM u WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id = u.doc_id AND unit_start >= start_at AND unit_end <= end_at)""")
 def span_containment_anti(spark, d):
-    return evidence.uncovered(units_of(spark, d), chunks_of(spark, d), "doc_id")
+    return intervals.uncovered(units_of(spark, d), chunks_of(spark, d), "doc_id")
 
 
 @query(f"""WITH {CHUNKS}, b AS (SELECT doc_id, length(text) // 2 AS point FROM documents WHERE length(text) > 0)
@@ -210,7 +210,7 @@ SELECT doc_id, point, chunk_id FROM b JOIN chunks USING (doc_id) WHERE start_at
 def point_in_interval(spark, d):
     p = read(spark, d, "documents").select("doc_id", F.floor(F.length("text") / 2).alias("point"))
     u = chunks_of(spark, d).withColumnsRenamed({"start_at": "unit_start", "end_at": "unit_end"})
-    return evidence.containing(p, u, "doc_id").select("doc_id", "point", "chunk_id")
+    return intervals.containing(p, u, "doc_id").select("doc_id", "point", "chunk_id")
 
 
 GROUPS = """g0 AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role OR lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) < 200 THEN 0 ELSE 1 END AS fresh FROM conversations),

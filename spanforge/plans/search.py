@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import evidence, reading, retrieval
+from spanforge.operators import evidence, intervals, reading, retrieval
 
 Scorer = Callable[[Column, Column], Column]
 #: Candidates of each query: (passages, queries, limit) to query_id, source_id, chunk_id, rank.
@@ -84,7 +84,7 @@ def blocks(pool: DataFrame, passages: DataFrame, units: DataFrame, settings: Set
     """
     wanted = pool.select("source_id", "chunk_id").distinct().join(passages.select("source_id", "chunk_id", F.col("start_at").alias("point")), ["source_id", "chunk_id"])
     bounds = units.select("source_id", F.col("unit_no").alias("focus_no"), F.col("start_at").alias("unit_start"), F.col("end_at").alias("unit_end"))
-    focus = evidence.containing(wanted, bounds, "source_id").select(F.struct("source_id", "focus_no").alias("focus_id"), "source_id", "focus_no", "chunk_id", "point")
+    focus = intervals.containing(wanted, bounds, "source_id").select(F.struct("source_id", "focus_no").alias("focus_id"), "source_id", "focus_no", "chunk_id", "point")
     around = reading.windows(units, focus.select("focus_id", "source_id", "focus_no").distinct(), "source_id", settings.window_characters, settings.surrounding)
     texts = units.select("source_id", "unit_no", F.struct("unit_no", F.col("unit_text").alias("text"), "start_at", "end_at", "kind").alias("unit"))
     held = around.select("focus_id", "source_id", "status", F.explode("units").alias("unit_no")).join(texts, ["source_id", "unit_no"])
