@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import evidence, reading, records, report, workflow
+from spanforge.operators import evidence, reading, reading_index, records, report, settled, structure, workflow
 from spanforge.plans import search as api
-from spanforge.plans.catalogue import CHUNKS, LIMIT, REFS, chunks_of, evidence_rows, passages_of, query, read, units_of
+from spanforge.plans.catalogue import CHUNKS, LIMIT, ORACLES, REFS, bundles_of, chunks_of, evidence_rows, passages_of, query, read, units_of
 from spanforge.sources import ingest
+from spanforge.sources.durable import Durable
+from spanforge.sources.tables import shared
 
 WORD3 = "regexp_extract(text, '([a-z]+)', 1)"
 
@@ -268,3 +270,41 @@ def surrounding_passages(spark, d):
     """Each passage with those around it."""
     p = passages_of(spark, d)
     return api.surrounding_passages(p, p, 1, 10_000).select("source_id", "chunk_id", "passage_id")
+
+
+@query(ORACLES["evidence_union_by_ref"])
+def settled_evidence(spark, d):
+    """Two settlings, and the second one again: durable state in which each reference stands once (ST2)."""
+    e = evidence_rows(spark, d).select("ref", "seq", "text")
+    first, again = e.withColumn("origin", F.lit("a")), e.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("origin", F.lit("b"))
+    state = Durable(spark, shared(spark), "ref", first.schema)
+    for rows in (first, again, again):
+        settled.settle(state, rows)
+    return state.rows()
+
+
+@query(f"""WITH {REFS}, b AS (SELECT doc_id, list(ref) AS refs FROM ev JOIN labels USING (doc_id) GROUP BY doc_id)
+SELECT doc_id AS bundle_id, len(refs)::INT AS n_refs, CASE WHEN doc_id % 2 = 0 THEN 'unassessed' ELSE 'adequate' END AS adequacy FROM b""")
+def settled_bundles(spark, d):
+    """Bundles that the state holds stay as they are; a later run adds the others (ST2)."""
+    known = evidence_rows(spark, d).select("ref")
+    every = bundles_of(spark, d).select("bundle_id", "refs")
+    first = every.where("bundle_id % 2 = 0").withColumn("adequacy", F.lit("unassessed"))
+    state = Durable(spark, shared(spark), "bundle_id", first.schema)
+    settled.settle_bundles(state, first, known)
+    settled.settle_bundles(state, every.withColumn("adequacy", F.lit("adequate")), known)
+    return state.rows().select("bundle_id", F.size("refs").alias("n_refs"), "adequacy")
+
+
+@query(f"""WITH {CHUNKS} SELECT doc_id AS source_id, chunk_no::INT AS focus_no, (SELECT count(*) FROM chunks n WHERE n.doc_id = c.doc_id AND abs(n.chunk_no - c.chunk_no) <= 1)::INT AS n_units,
+ 'complete_window' AS status, doc_id % 10 = 3 OR doc_id % 10 = 7 AS rebuilt FROM chunks c WHERE doc_id % 10 <> 9""")
+def reading_index_refresh(spark, d):
+    """Windows of all chunks from an index that was kept: some sources changed since, some are new, some gone (CP6)."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    units = lambda df: api.units_of(structure.paragraph_chunks(df, limit=LIMIT).withColumnRenamed("doc_id", "source_id"))
+    path = shared(spark)
+    earlier = docs.where("doc_id % 10 <> 7").withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    reading_index.refresh(units(earlier), path)
+    index, changed = reading_index.refresh(units(docs.where("doc_id % 10 <> 9")), path)
+    rebuilt = changed.where("version is not null").select("source_id", F.lit(True).alias("rebuilt"))
+    return index.rows().join(rebuilt, "source_id", "left").select("source_id", "focus_no", F.size("units").alias("n_units"), "status", F.coalesce("rebuilt", F.lit(False)).alias("rebuilt"))

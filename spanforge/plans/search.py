@@ -77,15 +77,20 @@ def units_of(passages: DataFrame) -> DataFrame:
     return passages.select("source_id", F.col("chunk_no").cast("int").alias("unit_no"), F.col("chunk_no").cast("int").alias("group_no"), "start_at", "end_at", F.col("chunk_text").alias("unit_text"), F.lit("paragraph").alias("kind"))
 
 
-def blocks(pool: DataFrame, passages: DataFrame, units: DataFrame, settings: Settings) -> DataFrame:
+def blocks(pool: DataFrame, passages: DataFrame, units: DataFrame, settings: Settings, index: DataFrame | None = None) -> DataFrame:
     """A reading window around each candidate (UD2, CP5): its units' texts and references, and the window's status.
 
-    Windows are built once for each place, however many queries propose it.
+    Windows are built once for each place, however many queries propose it, or taken from an ``index`` of
+    the same window size (source_id, focus_no, units, status).
     """
     wanted = pool.select("source_id", "chunk_id").distinct().join(passages.select("source_id", "chunk_id", F.col("start_at").alias("point")), ["source_id", "chunk_id"])
     bounds = units.select("source_id", F.col("unit_no").alias("focus_no"), F.col("start_at").alias("unit_start"), F.col("end_at").alias("unit_end"))
     focus = intervals.containing(wanted, bounds, "source_id").select(F.struct("source_id", "focus_no").alias("focus_id"), "source_id", "focus_no", "chunk_id", "point")
-    around = reading.windows(units, focus.select("focus_id", "source_id", "focus_no").distinct(), "source_id", settings.window_characters, settings.surrounding)
+    places = focus.select("focus_id", "source_id", "focus_no").distinct()
+    if index is None:
+        around = reading.windows(units, places, "source_id", settings.window_characters, settings.surrounding)
+    else:
+        around = places.join(index.select("source_id", "focus_no", "units", "status"), ["source_id", "focus_no"])
     texts = units.select("source_id", "unit_no", F.struct("unit_no", F.col("unit_text").alias("text"), "start_at", "end_at", "kind").alias("unit"))
     held = around.select("focus_id", "source_id", "status", F.explode("units").alias("unit_no")).join(texts, ["source_id", "unit_no"])
     held = held.groupBy("focus_id", "status").agg(F.array_sort(F.collect_list("unit")).alias("units"))
@@ -94,14 +99,15 @@ def blocks(pool: DataFrame, passages: DataFrame, units: DataFrame, settings: Set
     return out.select("source_id", "chunk_id", "point", "status", "units", "refs", T.digest(F.array_join("refs", ",")).alias("block_id"))
 
 
-def search(passages: DataFrame, queries: DataFrame, settings: Settings = Settings(), units: DataFrame | None = None, provider: Provider = lexical, score: Scorer | None = None, trace: str | None = None) -> DataFrame:
+def search(passages: DataFrame, queries: DataFrame, settings: Settings = Settings(), units: DataFrame | None = None, provider: Provider = lexical, score: Scorer | None = None, trace: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """Selected reading blocks of every query (CP1, CP3) with ``retrieval_status``.
 
     ``passages``: source_id, chunk_no, chunk_id, start_at, end_at, chunk_text, optionally ``context`` (finds, is never
     scored or returned) and ``identity_text``; ``units``: source_id, unit_no, group_no, start_at, end_at, unit_text, kind.
     Without a scorer nothing is selected and the status is ``reranker_unavailable``: lexical order
     stands in only where the mode is ``degraded_lexical``. With ``trace``, a new folder that all
-    executors see, candidates and scores are written there (SK4), and read for what follows.
+    executors see, candidates and scores are written there (SK4), and read for what follows. With ``index``, the
+    rows of a reading index of this window size, windows are looked up there and not built.
     """
 
     def traced(df: DataFrame, name: str) -> DataFrame:
@@ -113,7 +119,7 @@ def search(passages: DataFrame, queries: DataFrame, settings: Settings = Setting
     units = units_of(passages) if units is None else units
     pool = provider(passages, queries, settings.candidate_limit).select("query_id", "source_id", "chunk_id", F.col("rank").alias("place"))
     identity = passages.select("source_id", "chunk_id", F.coalesce("identity_text", F.lit("")).alias("identity")) if "identity_text" in passages.columns else None
-    windows = blocks(pool, passages, units, settings)
+    windows = blocks(pool, passages, units, settings, index)
     c = pool.join(windows, ["source_id", "chunk_id"]).join(queries.select("query_id", "query"), "query_id")
     c = c.join(identity, ["source_id", "chunk_id"]) if identity is not None else c.withColumn("identity", F.lit(""))
     c = traced(c, "candidates")
