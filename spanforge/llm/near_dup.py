@@ -54,6 +54,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 EDGES = np.array([-(-(b << 64) // REGISTERS) for b in range(REGISTERS)], np.uint64)
 SEEDS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64)) for k in range(WORDS)]
 NO_ID = 2**63 - 1
+#: Word hashes that a worker keeps, of some 150 bytes each.
+WORDS_KEPT = 100_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -80,7 +82,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > WORDS_KEPT:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
