@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import evidence, reading, reading_index, records, report, settled, structure, workflow
+from spanforge.operators import evidence, reading, reading_index, records, report, retrieval, settled, structure, views, workflow
 from spanforge.plans import search as api
-from spanforge.plans.catalogue import CHUNKS, LIMIT, ORACLES, REFS, bundles_of, chunks_of, evidence_rows, passages_of, query, read, units_of
+from spanforge.plans.catalogue import CHUNKS, LIMIT, ORACLES, REFS, bundles_of, chunks_of, evidence_rows, items_of, lexical_sql, passages_of, query, read, units_of
 from spanforge.sources import ingest
 from spanforge.sources.durable import Durable
 from spanforge.sources.tables import shared
@@ -308,3 +308,37 @@ def reading_index_refresh(spark, d):
     index, changed = reading_index.refresh(units(docs.where("doc_id % 10 <> 9")), path)
     rebuilt = changed.where("version is not null").select("source_id", F.lit(True).alias("rebuilt"))
     return index.rows().join(rebuilt, "source_id", "left").select("source_id", "focus_no", F.size("units").alias("n_units"), "status", F.coalesce("rebuilt", F.lit(False)).alias("rebuilt"))
+
+
+VIEW = 2600
+#: Greedy fill: a unit after the other by nearness, each taken if it still fits.
+VIEWS = f"""WITH RECURSIVE {CHUNKS}, lex AS ({lexical_sql()}),
+parts AS (SELECT doc_id, chunk_no, start_at, regexp_extract_all(chunk_text, '[^。！？.!?]+[。！？.!?]*|^[。！？.!?]+') AS p FROM chunks),
+sent AS (SELECT doc_id, chunk_no, k, p[k] AS body, start_at + coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x))), 0) AS a FROM parts, unnest(range(1, len(p) + 1)) t(k)),
+unit AS (SELECT f.doc_id, f.chunk_id, row_number() OVER (PARTITION BY f.doc_id, f.chunk_id ORDER BY s.chunk_no, s.k) AS i, s.body, s.a <= f.start_at AND f.start_at < s.a + length(s.body) AS focal
+ FROM chunks f JOIN sent s ON s.doc_id = f.doc_id AND abs(s.chunk_no - f.chunk_no) <= 1 WHERE regexp_matches(s.body, '[^。！？.!?]')),
+focus AS (SELECT doc_id, chunk_id, min(i) AS c FROM unit WHERE focal GROUP BY ALL),
+w AS (SELECT f.doc_id, f.chunk_id, string_agg(n.chunk_text, chr(10) ORDER BY n.chunk_no) AS whole FROM chunks f JOIN chunks n ON n.doc_id = f.doc_id AND abs(n.chunk_no - f.chunk_no) <= 1 GROUP BY ALL),
+cand AS (SELECT query_id, source_id, lex.chunk_id, length(b.text) AS q, whole, c FROM lex JOIN benchmark b ON b.item_id = query_id JOIN w ON w.doc_id = source_id AND w.chunk_id = lex.chunk_id LEFT JOIN focus ON focus.doc_id = source_id AND focus.chunk_id = lex.chunk_id),
+big AS (SELECT * FROM cand WHERE q + length(whole) + 1 > {VIEW}),
+must AS (SELECT query_id, source_id, big.chunk_id, q + sum(length(body) + 1) AS used, list(i) AS ids FROM big JOIN unit ON unit.doc_id = source_id AND unit.chunk_id = big.chunk_id AND abs(i - c) <= 1 GROUP BY query_id, source_id, big.chunk_id, q),
+rest AS (SELECT doc_id, unit.chunk_id, side, i, length(body) + 1 AS cost, row_number() OVER (PARTITION BY doc_id, unit.chunk_id, side ORDER BY abs(i - c), side * i) AS n FROM unit JOIN focus USING (doc_id, chunk_id), unnest([-1, 1]) t(side) WHERE abs(i - c) > 1),
+fill(query_id, source_id, chunk_id, side, n, used, ids) AS (SELECT query_id, source_id, chunk_id, side, 0::BIGINT, used, ids FROM must, unnest([-1, 1]) t(side) WHERE used <= {VIEW}
+ UNION ALL SELECT f.query_id, f.source_id, f.chunk_id, f.side, r.n, CASE WHEN used + cost <= {VIEW} THEN used + cost ELSE used END, CASE WHEN used + cost <= {VIEW} THEN list_append(ids, r.i) ELSE ids END
+ FROM fill f JOIN rest r ON r.doc_id = f.source_id AND r.chunk_id = f.chunk_id AND r.side = f.side AND r.n = f.n + 1),
+last AS (SELECT query_id, source_id, chunk_id, side, arg_max(ids, n) AS ids FROM fill GROUP BY ALL),
+view AS (SELECT query_id, source_id, l.chunk_id, side, chr(10) || string_agg(body, chr(10) ORDER BY i) AS text FROM last l JOIN unit u ON u.doc_id = source_id AND u.chunk_id = l.chunk_id AND list_contains(ids, i) GROUP BY ALL),
+two AS (SELECT query_id, source_id, chunk_id, list(text ORDER BY side) AS t FROM view GROUP BY ALL),
+found AS (SELECT query_id, source_id, chunk_id, [chr(10) || whole] AS t, 'ready' AS status FROM cand WHERE q + length(whole) + 1 <= {VIEW}
+ UNION ALL SELECT big.query_id, big.source_id, big.chunk_id, CASE WHEN t IS NULL THEN [] WHEN t[1] = t[2] THEN t[1:1] ELSE t END, CASE WHEN t IS NULL THEN 'context_too_large' ELSE 'context_incomplete' END FROM big LEFT JOIN two USING (query_id, source_id, chunk_id))
+SELECT query_id, source_id, chunk_id, len(t)::INT AS n_views, sha256(array_to_string(t, chr(31))) AS views_sha256, status FROM found"""
+
+
+@query(VIEWS)
+def search_views(spark, d):
+    """Views of each candidate under a limit that most exceed: whole sentences by nearness, in two directions (UD4)."""
+    p, items = passages_of(spark, d), items_of(spark, d)
+    pool = retrieval.lexical(p, items, 64).select("query_id", "source_id", "chunk_id", F.col("rank").alias("place"))
+    c = pool.join(api.blocks(pool, p, api.units_of(p), api.Settings()), ["source_id", "chunk_id"]).join(items, "query_id").withColumn("identity", F.lit(""))
+    found = views.with_views(api.sentenced(c), VIEW, keep=("query_id", "source_id", "chunk_id"))
+    return found.select("query_id", "source_id", "chunk_id", F.size("views").alias("n_views"), F.sha2(F.array_join("views", "\u001f"), 256).alias("views_sha256"), F.col("view_status").alias("status"))

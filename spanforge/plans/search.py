@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators import evidence, intervals, reading, retrieval
+from spanforge.operators import views as token_views
 
 Scorer = Callable[[Column, Column], Column]
 #: Candidates of each query: (passages, queries, limit) to query_id, source_id, chunk_id, rank.
@@ -99,7 +100,14 @@ def blocks(pool: DataFrame, passages: DataFrame, units: DataFrame, settings: Set
     return out.select("source_id", "chunk_id", "point", "status", "units", "refs", T.digest(F.array_join("refs", ",")).alias("block_id"))
 
 
-def search(passages: DataFrame, queries: DataFrame, settings: Settings = Settings(), units: DataFrame | None = None, provider: Provider = lexical, score: Scorer | None = None, trace: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def sentenced(candidates: DataFrame) -> DataFrame:
+    """Candidates with the ``whole`` text of their block and its ``sentences``, one of which holds the point."""
+    marked = F.transform("units", lambda u: F.struct(u["text"].alias("text"), u["start_at"].alias("start_at"), u["kind"].alias("kind"), F.lit(False).alias("required")))
+    whole = F.array_join(F.transform("units", lambda u: u["text"]), "\n")
+    return candidates.withColumn("sentences", reading.view_units(marked, F.col("point"))).withColumn("whole", whole)
+
+
+def search(passages: DataFrame, queries: DataFrame, settings: Settings = Settings(), units: DataFrame | None = None, provider: Provider = lexical, score: Scorer | None = None, trace: str | None = None, index: DataFrame | None = None, counter: Callable[[], token_views.Counter] | None = None) -> DataFrame:
     """Selected reading blocks of every query (CP1, CP3) with ``retrieval_status``.
 
     ``passages``: source_id, chunk_no, chunk_id, start_at, end_at, chunk_text, optionally ``context`` (finds, is never
@@ -107,7 +115,8 @@ def search(passages: DataFrame, queries: DataFrame, settings: Settings = Setting
     Without a scorer nothing is selected and the status is ``reranker_unavailable``: lexical order
     stands in only where the mode is ``degraded_lexical``. With ``trace``, a new folder that all
     executors see, candidates and scores are written there (SK4), and read for what follows. With ``index``, the
-    rows of a reading index of this window size, windows are looked up there and not built.
+    rows of a reading index of this window size, windows are looked up there and not built. ``counter`` makes the counter
+    that views are bounded by (UD4), once a task; without one ``view_characters`` are code points.
     """
 
     def traced(df: DataFrame, name: str) -> DataFrame:
@@ -130,11 +139,13 @@ def search(passages: DataFrame, queries: DataFrame, settings: Settings = Setting
         ranked = c.limit(0).select("query_id", "place", F.lit(None).cast("double").alias("score"), F.col("place").alias("rank"))
         status = "reranker_unavailable"
     else:
-        marked = F.transform("units", lambda u: F.struct(u["text"].alias("text"), u["start_at"].alias("start_at"), u["kind"].alias("kind"), F.lit(False).alias("required")))
-        whole = F.array_join(F.transform("units", lambda u: u["text"]), "\n")
-        viewed = c.withColumn("sentences", reading.view_units(marked, F.col("point"))).withColumn("whole", whole)
-        views = reading.bounded_views(F.col("query"), F.col("identity"), F.col("whole"), F.col("sentences"), settings.view_characters)
-        ranked = retrieval.rerank(viewed.select("query_id", "place", "query", views.alias("views")), score)
+        viewed = sentenced(c)
+        if counter is None:
+            views = reading.bounded_views(F.col("query"), F.col("identity"), F.col("whole"), F.col("sentences"), settings.view_characters)
+            viewed = viewed.select("query_id", "place", "query", views.alias("views"))
+        else:
+            viewed = token_views.with_views(viewed, settings.view_characters, counter)
+        ranked = retrieval.rerank(viewed, score)
         status = "ready"
     ranked = traced(ranked, "scores")
     kept = retrieval.select_uncovered(ranked.join(c.select("query_id", "place", "refs"), ["query_id", "place"]), settings.retrieval_limit)
