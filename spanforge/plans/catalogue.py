@@ -362,7 +362,29 @@ def coverage_rollup(spark, d):
     return evidence.coverage(questions_of(spark, d), bundles_of(spark, d), selected)
 
 
-@query()
+#: A row for each turn: the question at the head of the queue takes its first offer that fits, and goes to the end; else it leaves.
+PACKING = f"""WITH RECURSIVE {REFS},
+sized AS (SELECT doc_id, ref, length(ref) + strlen(replace(replace(replace(replace(replace(text, chr(92), 'xx'), '"', 'xx'), chr(10), 'xx'), chr(13), 'xx'), chr(9), 'xx'))
+  + 5 * len(regexp_extract_all(text, '[\\x00-\\x07\\x0b\\x0e-\\x1f]')) + 25 AS bytes FROM ev),
+b AS (SELECT doc_id, doc_id % 40 AS stage, (doc_id % 7)::INT AS q, max(quality) = 1 AS adequate, max(toxic) = 1 AS conflict, sum(bytes) AS cost, min(ref) AS ref FROM sized JOIN labels USING (doc_id) GROUP BY doc_id),
+p AS (SELECT stage, q, arg_min(doc_id % 3, ref) AS tier FROM b GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY stage, deal, q ORDER BY NOT conflict, cost, doc_id::VARCHAR) AS r FROM (SELECT b.*, tier * 2 + (NOT adequate)::INT AS deal FROM b JOIN p USING (stage, q))),
+deals AS (SELECT stage, deal, list(DISTINCT q ORDER BY q) AS qs FROM o GROUP BY ALL),
+turn(stage, n, deal, qs, past, used, got) AS (
+  SELECT DISTINCT stage, 0, -1::BIGINT, []::INT[], [0, 0, 0, 0, 0, 0, 0]::BIGINT[], 0::HUGEINT, NULL::BIGINT FROM b
+  UNION ALL
+  SELECT t.stage, t.n + 1, t.deal + (len(t.qs) = 0)::INT,
+    CASE WHEN len(t.qs) = 0 THEN coalesce(d.qs, []) WHEN o.r IS NULL THEN t.qs[2:] ELSE list_append(t.qs[2:], t.qs[1]) END,
+    CASE WHEN len(t.qs) = 0 THEN [0, 0, 0, 0, 0, 0, 0] WHEN o.r IS NULL THEN t.past ELSE list_transform(range(1, 8), lambda i: CASE WHEN i = t.qs[1] + 1 THEN o.r ELSE t.past[i] END) END,
+    t.used + coalesce(o.cost, 0), o.doc_id
+  FROM (SELECT *, (SELECT min(r) FROM o WHERE o.stage = turn.stage AND o.deal = turn.deal AND o.q = turn.qs[1] AND o.r > turn.past[turn.qs[1] + 1] AND o.cost + turn.used <= 24000) AS r FROM turn WHERE NOT (deal >= 5 AND len(qs) = 0)) t
+  LEFT JOIN o ON o.stage = t.stage AND o.deal = t.deal AND o.q = t.qs[1] AND o.r = t.r
+  LEFT JOIN deals d ON d.stage = t.stage AND d.deal = t.deal + 1 AND len(t.qs) = 0),
+small AS (SELECT stage, sum(cost) <= 24000 AS whole FROM b GROUP BY stage)
+SELECT b.stage AS stage_id, ev.ref, whole OR got IS NOT NULL AS selected FROM b JOIN ev USING (doc_id) JOIN small ON small.stage = b.stage LEFT JOIN turn ON turn.got = b.doc_id"""
+
+
+@query(PACKING)
 def evidence_packing(spark, d):
     """One stage per question: its bundles' originals under 24,000 serialized bytes."""
     e = evidence_rows(spark, d).select("ref", F.col("text").alias("body")).dropDuplicates(["ref"])

@@ -276,3 +276,10 @@ def test_records_refuse_what_they_must(spark):
     events = made([(0, *s) for s in steps], "ledger_id int, seq int, kind string, limits string, provider string")
     got = [r.problem for r in records.lifecycle(events).orderBy("seq").collect()]
     assert got == ["not initialized", None, "not started", None, None, "other limits", None, "provider disabled", None, None]
+
+
+def test_sizes_of_packing_are_those_of_the_serialized_objects(spark):
+    texts = ["plain", 'q"uo\\te\n\r\t\b\f', "\x01\x02\x1f é 中 \U0001f600", ""]
+    df = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)], "ref string, body string")
+    got = df.select("ref", "body", packing.serialized("ref", "body").alias("n")).collect()
+    assert [r.n for r in got] == [len(json.dumps({"ref": r.ref, "text": r.body}, ensure_ascii=False).encode()) + 2 for r in got]
