@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import evidence, intervals, ledger, packing, postings, reading, retrieval, review, structure, units, vector_index
+from spanforge.operators import evidence, intervals, ledger, packing, postings, reading, retrieval, review, structure, transport, units, vector_index
 from spanforge.sources.html import html_blocks as parse_pages
 from spanforge.sources.tables import shared
 from spanforge.streaming import replay as streams
@@ -311,12 +311,27 @@ def span_dictionary(spark, d):
     return table.select(F.col("source_id").alias("doc_id"), F.col("span_no").cast("long").alias("span_no"), F.col("span.start").alias("start_at"), F.col("span.end").alias("end_at"))
 
 
-@query(f"WITH {CHUNKS} SELECT count(*) AS n, count(*) AS n_back, 0::BIGINT AS n_lost FROM chunks")
+HEADER = 50
+
+
+@query(f"""WITH {REFS}, e AS (SELECT *, seq % 1000 AS n, '0-{HEADER},' || ((seq % 1000) * {LIMIT}) || '-' || ((seq % 1000) * {LIMIT} + length(text)) AS spans FROM ev)
+SELECT e.source_id, e.seq, sha256(e.text) AS text_sha256, e.spans, e.chunk_id || ':' || e.spans || CASE WHEN e.n % 2 = 1 THEN ';' || p.chunk_id || ':' || p.spans ELSE '' END AS chunk_refs, false AS boxes
+FROM e LEFT JOIN e p ON p.source_id = e.source_id AND p.seq = e.seq - 1""")
 def compact_round_trip(spark, d):
-    """Rows of evidence before and after columnar transport; the counts of both and of their difference."""
-    e = evidence_rows(spark, d).select("source_id", "version", "seq", "chunk_id", "ref")
-    back = evidence.expand(evidence.compact(e)).select(*e.columns)
-    return e.agg(F.count("*").alias("n")).join(back.agg(F.count("*").alias("n_back"))).join(e.exceptAll(back).agg(F.count("*").alias("n_lost")))
+    """Passages with a header span and bindings to one or two chunks, coded, decoded, coded again and decoded (AG3, AG4, AG5)."""
+    e = evidence_rows(spark, d).withColumn("n", F.col("seq") % 1000)
+    span = lambda a, z: F.struct(a.cast("int").alias("start"), z.cast("int").alias("end"), F.lit(None).cast("int").alias("page"), F.lit("box").alias("bbox"))
+    own = F.array(span(F.lit(0), F.lit(HEADER)), span(F.col("spans")[0]["start"], F.col("spans")[0]["end"]))
+    before = (F.col("n") - 1) * LIMIT
+    earlier = F.array(span(F.lit(0), F.lit(HEADER)), span(before, before + LIMIT))
+    bind = lambda chunk, spans: F.struct(chunk.alias("chunk_id"), spans.alias("spans"))
+    refs = F.when(F.col("n") % 2 == 1, F.array(bind(F.col("chunk_id"), own), bind(F.concat(F.lit("c"), (F.col("n") - 1).cast("string")), earlier))).otherwise(F.array(bind(F.col("chunk_id"), own)))
+    back = transport.decode(transport.encode(e.select("source_id", "version", "seq", "chunk_id", "text", own.alias("spans"), refs.alias("chunk_refs"))))
+    back = transport.decode(transport.encode(back))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    listed = F.array_join(F.transform("chunk_refs", lambda r: F.concat(r["chunk_id"], F.lit(":"), shown(r["spans"]))), ";")
+    boxes = F.lit("bbox" in back.schema["spans"].dataType.elementType.fieldNames())
+    return back.select("source_id", "seq", F.sha2("text", 256).alias("text_sha256"), shown(F.col("spans")).alias("spans"), listed.alias("chunk_refs"), boxes.alias("boxes"))
 
 
 @query(f"""WITH RECURSIVE {FUSED.replace('lex AS (WITH', 'lex AS (WITH', 1)}, {CHUNKS}, r AS (SELECT doc_id, list_sort(list(DISTINCT sha256(chunk_text))) AS refs FROM chunks GROUP BY doc_id),
