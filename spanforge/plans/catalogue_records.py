@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators import evidence, reading, reading_index, records, report, retrieval, settled, structure, views, workflow
 from spanforge.plans import search as api
+from spanforge.plans import supervised
 from spanforge.plans.catalogue import CHUNKS, LIMIT, ORACLES, REFS, bundles_of, chunks_of, evidence_rows, items_of, lexical_sql, passages_of, query, read, units_of
 from spanforge.sources import ingest
 from spanforge.sources.durable import Durable
@@ -342,3 +345,26 @@ def search_views(spark, d):
     c = pool.join(api.blocks(pool, p, api.units_of(p), api.Settings()), ["source_id", "chunk_id"]).join(items, "query_id").withColumn("identity", F.lit(""))
     found = views.with_views(api.sentenced(c), VIEW, keep=("query_id", "source_id", "chunk_id"))
     return found.select("query_id", "source_id", "chunk_id", F.size("views").alias("n_views"), F.sha2(F.array_join("views", "\u001f"), 256).alias("views_sha256"), F.col("view_status").alias("status"))
+
+
+@query(f"""WITH lex AS ({lexical_sql()}), hits AS (SELECT DISTINCT query_id FROM lex)
+SELECT item_id AS query_id, mode, status AS retrieval_status, mode = 'ready' AND query_id IS NOT NULL AS found
+FROM benchmark LEFT JOIN hits ON query_id = item_id CROSS JOIN (VALUES ('ready', 'ready'), ('late', 'reranker_deadline'), ('cancelled', 'reranker_cancelled'),
+ ('no scorer', 'reranker_unavailable'), ('changed', 'reranker_snapshot_mismatch'), ('broken', 'dense_retrieval_failed')) t(mode, status)""")
+def supervised_statuses(spark, d):
+    """One search in each of the ways that it can end (CP4): a row for every query and way."""
+    p, items = passages_of(spark, d), items_of(spark, d)
+    stop = threading.Event()
+    stop.set()
+    manifest = items.select(F.col("query_id").cast("string").alias("path"), F.sha2("query", 256).alias("sha256"))
+    files = items.select(F.col("query_id").cast("string").alias("path"), F.concat("query", F.lit("!")).cast("binary").alias("content"))
+    broken = lambda passages, queries, limit: api.lexical(passages, queries, limit).withColumn("rank", F.raise_error(F.lit("index does not match")).cast("int"))
+    score, out = retrieval.overlap_score, None
+    for mode, seconds, options in (
+        ("ready", 3600, {"score": score}), ("late", 0, {"score": score}), ("cancelled", 3600, {"score": score, "cancelled": stop}), ("no scorer", 3600, {}),
+        ("changed", 3600, {"score": score, "snapshot": supervised.changed_files(files, manifest)}), ("broken", 3600, {"score": score, "provider": broken}),
+    ):
+        _, rows = supervised.search(p, items, seconds, **options)
+        rows = rows.select("query_id", F.lit(mode).alias("mode"), "retrieval_status", (F.col("n_blocks") > 0).alias("found"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -139,12 +139,7 @@ def search(passages: DataFrame, queries: DataFrame, settings: Settings = Setting
         ranked = c.limit(0).select("query_id", "place", F.lit(None).cast("double").alias("score"), F.col("place").alias("rank"))
         status = "reranker_unavailable"
     else:
-        viewed = sentenced(c)
-        if counter is None:
-            views = reading.bounded_views(F.col("query"), F.col("identity"), F.col("whole"), F.col("sentences"), settings.view_characters)
-            viewed = viewed.select("query_id", "place", "query", views.alias("views"))
-        else:
-            viewed = token_views.with_views(viewed, settings.view_characters, counter)
+        viewed = token_views.with_views(sentenced(c), settings.view_characters, counter or (lambda: token_views.characters))
         ranked = retrieval.rerank(viewed, score)
         status = "ready"
     ranked = traced(ranked, "scores")

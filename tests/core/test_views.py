@@ -55,16 +55,14 @@ def test_nulls_and_nothing(spark):
     assert views.with_views(df.limit(0), 10).count() == 0
 
 
-def test_a_search_with_a_counter_equals_the_one_by_code_points(spark):
+def test_a_search_bounds_its_views_by_the_counter(spark):
     rng = random.Random(3)
     text = lambda: " ".join(rng.choice(["river", "stone", "light", "over", "hill."]) for _ in range(60))
     rows = [(s, n, f"c{n}", 400 * n, 400 * n + 400, text()[:400]) for s in range(6) for n in range(4)]
     passages = spark.createDataFrame(rows, "source_id long, chunk_no int, chunk_id string, start_at int, end_at int, chunk_text string")
     queries = spark.createDataFrame([(1, "river stone"), (2, "hill light")], "query_id long, query string")
-    settings = api.Settings(window_characters=1500, view_characters=500)
-    one, two = (
-        sorted((r.query_id, r.place, r.source_id, r.chunk_id, round(r.score, 12)) for r in api.search(passages, queries, settings, score=retrieval.overlap_score, counter=c).collect()) for c in (None, lambda: views.characters)
-    )
-    assert one == two and len(one) == 12
-    whole = api.search(passages, queries, api.Settings(window_characters=1500), score=retrieval.overlap_score).agg(F.count("*")).first()[0]
-    assert whole == 12
+    found = lambda limit, **o: sorted((r.query_id, r.place, r.source_id, r.chunk_id, round(r.score, 12)) for r in api.search(passages, queries, api.Settings(window_characters=1500, view_characters=limit), score=retrieval.overlap_score, **o).collect())
+    one, whole = found(500), found(10_000)
+    assert len(one) == len(whole) == 12
+    # a counter that counts nothing lets every view be whole, one that counts too much leaves none
+    assert found(500, counter=lambda: lambda q, t: 0) == whole and found(500, counter=lambda: lambda q, t: 10**6) == []
