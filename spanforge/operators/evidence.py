@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from spanforge.functions import text as T
-from spanforge.operators import retrieval
 
 
 def group_passages(passages: DataFrame, source: str = "source_id", version: str = "version", order: str = "seq") -> DataFrame:
@@ -149,25 +153,73 @@ def tree_digest(lines: DataFrame, key: str, order: str, line: str, fan: int = 10
     return at.select(key, "n", F.col("line").alias("digest"))
 
 
-#: Words of a quote, after its first, that a document must hold next to each other; quotes below the least go pair by pair.
+#: Words of a quote, after its first, that a document must hold next to each other.
 ANCHOR, LEAST_WORDS = 4, 6
+#: Bytes of the quotes that one automaton holds, and automata that a set of quotes is worked through with before words are joined.
+BLOCK_BYTES, BLOCKS = 16 * 2**20, 4
+
+
+def _matcher(quotes: list[tuple[object, str]], schema: pa.Schema):  # noqa: ANN202
+    """(quote, document) for each quote that a text holds: one walk over the text, whatever the number of quotes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        ids: dict[str, list] = {}
+        for quote_id, quote in quotes:
+            ids.setdefault(quote, []).append(quote_id)
+        for quote in ids:
+            if quote:
+                found.add_word(quote, quote)
+        found.make_automaton()
+        everywhere = ids.get("", [])
+        for batch in batches:
+            pairs = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is not None:
+                    held = {q for _, q in found.iter(text)} if len(found) else ()
+                    pairs += [(quote_id, doc_id) for q in held for quote_id in ids[q]] + [(quote_id, doc_id) for quote_id in everywhere]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], schema.field(i).type) for i in range(2)], schema=schema)
+
+    return run
+
+
+def _walked(quotes: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
+    """Places of quotes (id, text) in documents (id, text), a pass over the documents for each block of quotes."""
+    schema = StructType([quotes.schema[0], docs.schema[0]])
+    out = None
+    for b in range(blocks):
+        part = quotes if blocks == 1 else quotes.where(F.pmod(F.xxhash64(quotes.columns[1]), F.lit(blocks)) == b)
+        rows = part.toArrow()  # of a checked size
+        found = docs.mapInArrow(_matcher(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())), to_arrow_schema(schema)), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def places(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, quote: str = "quote", text: str = "text") -> DataFrame:
-    """(``quote_id``, ``doc_id``) where the text contains the quote, an equality join on words and then the whole quote.
+    """(``quote_id``, ``doc_id``) where the text contains the quote.
 
-    The second to fifth word of a quote, by single blanks, are whole words wherever it stands. Quotes
-    of fewer than six words are compared with every text, in a broadcast block after a check of number.
+    A set of quotes of a bounded size goes to every task as an automaton, and each text is walked once. Of
+    a larger one, long quotes are found by an equality join: their second to fifth word, by single
+    blanks, are whole words wherever they stand. Digests of words are joined, and texts are fetched for
+    the documents that share one; quotes below ``LEAST_WORDS`` words are walked in blocks.
     """
+    asked = quotes.select(quote_id, quote).where(F.col(quote).isNotNull())
+    texts = docs.select(doc_id, text)
+    blocks = lambda q: max(1, -(-(q.agg(F.sum(F.octet_length(quote) + 16)).first()[0] or 0) // BLOCK_BYTES))
+    n = blocks(asked)
+    if n <= BLOCKS:
+        return _walked(asked, texts, n)
     words = F.split(F.col(quote), " ")
-    q = quotes.select(quote_id, F.col(quote).alias("quote__"), F.size(words).alias("n__"), F.array_join(F.slice(words, 2, ANCHOR), " ").alias("key__"))
+    key = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, ANCHOR), " "))
+    long = asked.where(F.size(words) >= LEAST_WORDS).select(quote_id, F.col(quote).alias("quote__"), key(words, F.lit(2)).alias("key__"))
     w = F.split(F.col(text), " ")
-    grams = F.transform(F.sequence(F.lit(0), F.size("w__") - ANCHOR), lambda i: F.array_join(F.slice("w__", i + 1, ANCHOR), " "))
-    held = docs.select(doc_id, F.col(text).alias("text__"), w.alias("w__")).where(F.size("w__") >= ANCHOR)
-    long = q.where(F.col("n__") >= LEAST_WORDS)
-    keyed = held.select(doc_id, "text__", F.explode_outer(F.array_distinct(grams)).alias("key__"))
-    found = keyed.join(retrieval.small(long, 20_000), "key__").where(F.col("text__").contains(F.col("quote__"))).select(quote_id, doc_id)
-    short = q.where(F.col("n__") < LEAST_WORDS)
-    if short.isEmpty():
-        return found
-    return found.unionByName(docs.join(retrieval.small(short, 20_000), F.col(text).contains(F.col("quote__"))).select(quote_id, doc_id))
+    grams = F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR + 1), lambda i: key(w, i))
+    keyed = texts.where(F.size(w) >= ANCHOR).select(F.col(doc_id).alias("doc__"), F.explode(F.array_distinct(grams)).alias("key__"))
+    # a digest that many quotes or many documents share is a hot key of a join, which AQE splits
+    met = keyed.join(long.select("key__", quote_id), "key__").select("doc__", quote_id).distinct()
+    both = texts.join(met, F.col(doc_id).eqNullSafe(F.col("doc__"))).join(long.select(quote_id, "quote__"), quote_id)
+    found = both.where(F.col(text).contains(F.col("quote__"))).select(quote_id, doc_id)
+    short = asked.where(F.size(words) < LEAST_WORDS)
+    return found.unionByName(_walked(short, texts, blocks(short)).select(quote_id, doc_id))

@@ -77,11 +77,19 @@ def bounded_tasks(tasks: DataFrame, key: str, most: int = 12) -> DataFrame:
 
 def column_widths(cells: DataFrame, key: str, column: str, text: str) -> DataFrame:
     """Upper median of the cell lengths of each column, at least 1, and its share of the row (AG17)."""
-    sizes = F.array_sort(F.collect_list(F.length(F.coalesce(text, F.lit("")))))
-    per = cells.groupBy(key, column).agg(sizes.alias("sizes")).select(key, column, F.greatest(F.lit(1), F.get("sizes", F.floor(F.size("sizes") / 2).cast("int"))).alias("width"))
+    lengths = cells.groupBy(key, column, F.length(F.coalesce(text, F.lit(""))).alias("size")).agg(F.count("*").alias("n"))
+    line = Window.partitionBy(key, column)
+    # cells up to each length, of as many rows as there are lengths
+    ranked = lengths.withColumn("upto", F.sum("n").over(line.orderBy("size"))).withColumn("half", F.floor(F.sum("n").over(line) / 2))
+    per = ranked.where(F.col("upto") > F.col("half")).groupBy(key, column).agg(F.greatest(F.lit(1), F.min("size")).alias("width"))
     return per.withColumn("share", F.col("width") / F.sum("width").over(Window.partitionBy(key)))
 
 
+def plans_within(tasks: DataFrame, key: str, limit: int = 12) -> DataFrame:
+    """Plans with the number of their tasks, and whether that is within the limit (TK7): a row for each plan."""
+    return tasks.groupBy(key).agg(F.count("*").alias("n_tasks")).withColumn("accepted", F.col("n_tasks") <= limit)
+
+
 #: Fields of earlier stages that a stage does not read again.
 UNREAD = {"review": ("trace", "usage", "searches"), "revision": ("trace", "usage", "searches", "evidence", "omitted")}
 

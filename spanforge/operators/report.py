@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from decimal import Decimal, getcontext, localcontext
 
 import pandas as pd
@@ -131,6 +132,14 @@ def table_notes(cell: Column, limit: int = 80) -> Column:
 
 
 def omitted_text(fragments: Column, exported: Column) -> Column:
-    """Fragments that an export lost, blanks aside (SK6)."""
-    packed = F.regexp_replace(exported, rf"{T.BLANK}+", "")
-    return F.filter(fragments, lambda f: ~F.contains(packed, F.regexp_replace(f, rf"{T.BLANK}+", "")))
+    """Fragments that an export lost (SK6): blanks aside, and signs of one compatibility form alike (a ligature is its letters)."""
+
+    def bare(text: str) -> str:
+        text = "".join(text.split())
+        return text if text.isascii() else unicodedata.normalize("NFKC", text)
+
+    def lost(parts: pd.Series, whole: pd.Series) -> pd.Series:
+        held = [bare(w or "") for w in whole]
+        return pd.Series([None if p is None else [f for f in p if f is not None and bare(f) not in h] for p, h in zip(parts, held, strict=True)], dtype=object)
+
+    return F.pandas_udf(lost, "array<string>")(fragments, exported)

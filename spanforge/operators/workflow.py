@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
+from spanforge.sources.tables import shared, written
 
 #: Schema of a stage's output (CP11); a field that is not in it is an error in strict reading.
 OUTPUT = "content string, tool string, arguments map<string,string>, issues array<struct<severity:string,kind:string,location:string,quote:string>>, figures array<struct<kind:string,title:string,values:array<double>>>"
@@ -82,19 +83,33 @@ def diagnostics(attempts: DataFrame, key: str = "campaign", order: str = "seq")
 def judge_batches(pairs: DataFrame, key: str, order: str, body: str, capacity: int, first: int = 4) -> DataFrame:
     """Blind batches (CP20): the first ``first`` pairs and the rest, each halved until its bytes fit or it is one pair; A and B by a hash.
 
-    Halving takes as many rounds as the largest campaign has binary digits, all in one plan.
+    Sizes are summed up once. Halving then works on ranges of pairs, a few rows a campaign, in rounds that
+    end when every range fits; a round is a table, so that no plan grows with their number. (``key``, ``order``) is unique.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    p = pairs.withColumn("part", F.when(F.row_number().over(w) <= first, 0).otherwise(1)).withColumn("cut", F.lit(""))
-    largest = pairs.groupBy(key).count().agg(F.max("count")).first()[0] or 1
-    for _ in range(largest.bit_length()):
-        group = Window.partitionBy(key, "part", "cut")
-        n, place = F.count("*").over(group), F.row_number().over(group.orderBy(order))
-        split = (n > 1) & (F.sum(F.octet_length(body)).over(group) > capacity)
-        half = F.when(place <= F.floor(n / 2), "0").otherwise("1")
-        p = p.withColumn("cut", F.when(split, F.concat("cut", half)).otherwise(F.col("cut")))
-    p = p.withColumn("batch", (F.dense_rank().over(Window.partitionBy(key, "part").orderBy("cut")) - 1).cast("long")).drop("cut")
-    return p.withColumn("swapped", F.pmod(F.crc32(F.concat_ws(":", F.col(key).cast("string"), F.col(order).cast("string")).cast("binary")), F.lit(2)) == 1)
+    put = lambda df: written(df, shared(pairs.sparkSession))
+    part = F.when(F.row_number().over(Window.partitionBy(key).orderBy(order)) <= first, 0).otherwise(1)
+    line = Window.partitionBy("k", "part").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a struct equals a struct with the same null
+    sized = pairs.select(F.struct(key).alias("k"), F.col(order).alias("o"), part.alias("part"), F.coalesce(F.octet_length(body), F.lit(0)).alias("n"))
+    sized = put(sized.select("*", F.count("*").over(line).alias("pos"), F.sum("n").over(line).alias("upto")))
+    at = sized.select("k", "part", "pos", "upto", "n")
+    ranges, done = put(at.groupBy("k", "part").agg(F.min("pos").alias("a"), F.max("pos").alias("z"))), None
+    while True:
+        ends = ranges.join(at.select("k", "part", F.col("pos").alias("z"), F.col("upto").alias("last")), ["k", "part", "z"])
+        ends = ends.join(at.select("k", "part", F.col("pos").alias("a"), (F.col("upto") - F.col("n")).alias("before")), ["k", "part", "a"])
+        ends = put(ends.select("k", "part", "a", "z", ((F.col("z") > F.col("a")) & (F.col("last") - F.col("before") > capacity)).alias("split")))
+        fits = ends.where("not split").select("k", "part", "a")
+        done = fits if done is None else done.unionByName(fits)
+        if ends.where("split").isEmpty():
+            break
+        middle = F.col("a") + F.floor((F.col("z") - F.col("a") + 1) / 2)
+        halves = F.explode(F.array(F.struct(F.col("a").alias("a"), (middle - 1).alias("z")), F.struct(middle.alias("a"), F.col("z").alias("z"))))
+        ranges = put(ends.where("split").select("k", "part", halves.alias("h")).select("k", "part", "h.*"))
+    starts = done.select("k", "part", F.col("a").alias("pos"), F.lit(1).alias("start"))
+    batch = (F.sum(F.coalesce("start", F.lit(0))).over(line) - 1).alias("batch")
+    numbered = sized.join(starts, ["k", "part", "pos"], "left").select("k", "o", "part", batch)
+    found = pairs.withColumns({"k": F.struct(key), "o": F.col(order)}).join(numbered, ["k", "o"]).drop("k", "o")
+    return found.withColumn("swapped", F.pmod(F.crc32(F.concat_ws(":", F.col(key).cast("string"), F.col(order).cast("string")).cast("binary")), F.lit(2)) == 1)
 
 
 def contained(root: str, name: str) -> str:

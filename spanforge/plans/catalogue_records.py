@@ -87,12 +87,10 @@ def index_coverage(spark, d):
     return records.same_sets(e, e.where("event_id % 3 = 0"), "user_id", "event_type")
 
 
-@query("SELECT conv_id, turn FROM conversations")
+@query("SELECT conv_id, count(*) AS n_tasks, count(*) <= 4 AS accepted FROM conversations GROUP BY conv_id")
 def plan_tasks(spark, d):
-    """Turns as the tasks of a plan, within the largest plan there is."""
-    c = read(spark, d, "conversations").select("conv_id", "turn")
-    most = c.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 12
-    return records.bounded_tasks(c, "conv_id", most)
+    """Turns as the tasks of a plan of at most four: longer ones are not accepted."""
+    return records.plans_within(read(spark, d, "conversations"), "conv_id", 4)
 
 
 @query("""WITH s AS (SELECT conv_id, role, list(length(coalesce(text, '')) ORDER BY length(coalesce(text, ''))) AS l FROM conversations GROUP BY ALL), w AS (SELECT conv_id, role, greatest(1, l[len(l) // 2 + 1]) AS width FROM s)
@@ -237,10 +235,10 @@ def table_note_cells(spark, d):
     return c.select("event_id", "t.text", F.array_join("t.notes", ",").alias("note"))
 
 
-@query(f"WITH {CHUNKS} SELECT doc_id, count(*) FILTER (chunk_no > 0 AND NOT contains(regexp_replace(first, '\\s+', '', 'g'), regexp_replace(chunk_text, '\\s+', '', 'g'))) AS n_lost FROM (SELECT *, first(chunk_text) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS first FROM chunks) GROUP BY doc_id HAVING count(*) < 3")
+@query(f"WITH {CHUNKS} SELECT doc_id, count(*) FILTER (chunk_no > 0 AND NOT contains(regexp_replace(first, '\\s+', '', 'g'), regexp_replace(chunk_text, '\\s+', '', 'g'))) AS n_lost FROM (SELECT *, first(chunk_text) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS first FROM chunks) GROUP BY doc_id")
 def export_omissions(spark, d):
-    """Short documents exported without their second chunk; blanks do not count."""
-    c = chunks_of(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_text"))).alias("c")).where(F.size("c") < 3)
+    """Documents of which the first chunk alone is exported; blanks do not count."""
+    c = chunks_of(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_text"))).alias("c"))
     texts = F.transform("c", lambda x: x["chunk_text"])
     return c.select("doc_id", F.size(report.omitted_text(texts, F.element_at(texts, 1))).cast("long").alias("n_lost"))
 

@@ -44,13 +44,15 @@ def _put(df: DataFrame, i: int, folder: str) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
 
 
-def deduplicated_totals(spark: SparkSession, path: str, horizon: str = "30 days") -> DataFrame:
+def deduplicated_totals(spark: SparkSession, path: str, horizon: str | None = "30 days") -> DataFrame:
     """Totals per event type of events that count once, however often they come within the horizon.
 
     The state holds the ids of one horizon; an event later than that behind the newest of the batches
-    before is late, as streams have it, and does not count.
+    before is late, as streams have it, and does not count. Without a horizon the state holds all ids, and
+    every event counts once whenever it comes.
     """
-    once = events(spark, path).withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["event_id"])
+    log = events(spark, path)
+    once = log.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["event_id"]) if horizon else log.dropDuplicates(["event_id"])
     folder = run_available(once.select("event_type", "value"), _put)
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
