@@ -13,14 +13,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from spanforge.functions import text as T
 from spanforge.operators import postings
 
-#: Rows of a query-side table that may be sent to every executor.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``bound`` rows; larger ones are left to a shuffle."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
 
 def lexical(passages: DataFrame, queries: DataFrame, k: int = 64, scope: str | None = None) -> DataFrame:
     """Top ``k`` passages of each query by |q ∩ p| / sqrt(|p|) (JN1, AG1, WN1, TK1, FI1, FI2).
