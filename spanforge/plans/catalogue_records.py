@@ -183,11 +183,14 @@ def report_sources(spark, d):
     return r.select("report_id", "lines", F.array_join(numbers, ",").alias("missing"), "metadata")
 
 
-@query("SELECT doc_id AS source_id, length(text) AS n_chars FROM documents")
+@query("SELECT doc_id AS source_id, length(text) + (doc_id % 7 = 0)::INT AS n_chars, doc_id % 7 <> 0 AS valid FROM documents")
 def validated_sources(spark, d):
-    """Stored texts that still have their hash."""
-    s = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text", F.sha2("text", 256).alias("text_hash"))
-    return ingest.validated(s).select(F.col("source_id").cast("long").alias("source_id"), F.length("text").cast("long").alias("n_chars"))
+    """Stored texts against the hashes of the day they were stored: some were changed since, and those that were not open."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "doc_id", "text", F.sha2("text", 256).alias("text_hash"))
+    stored = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    told = ingest.with_validity(stored)
+    opened = ingest.validated(told.where("valid")).unionByName(told.where("not valid"))
+    return opened.select(F.col("doc_id").alias("source_id"), F.length("text").cast("long").alias("n_chars"), "valid")
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id AS source_id, chunk_id FROM chunks WHERE doc_id % 10 = 3 OR (doc_id % 10 = 4 AND chunk_no = 0)")

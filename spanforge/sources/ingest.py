@@ -98,6 +98,11 @@ def validated(sources: DataFrame) -> DataFrame:
     return sources.withColumn("text", F.when(ok, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("source changed: "), F.col("source_id")))))
 
 
+def with_validity(sources: DataFrame) -> DataFrame:
+    """Sources with ``valid``: whether the stored text still has its hash (SC6); a null text or hash has not."""
+    return sources.withColumn("valid", F.coalesce(F.sha2("text", 256) == F.col("text_hash"), F.lit(False)))
+
+
 def open_chunk(chunks: DataFrame, source: str, chunk: str) -> DataFrame:
     """One chunk; an unknown one is an error (SC8). The predicates reach the Parquet scan."""
     found = chunks.where((F.col("source_id") == source) & (F.col("chunk_id") == chunk))
