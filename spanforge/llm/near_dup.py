@@ -13,8 +13,9 @@ hashed to keys; documents that share a key are a bucket. A bucket is not paired
 node is compared with one other, the smallest that shares a bucket with it: a Jaccard estimate of
 the registers, corrected for chance collisions and with a margin of ``SIGMAS`` deviations, then the
 full sets. Confirmed links are contracted. Buckets that still hold several components are then
-settled in blocks, by products of incidence matrices of shingles: of the pairs that pass, a block
-hands on a spanning forest, and the full sets confirm it.
+settled in blocks, by products of incidence matrices of shingles: of the pairs that pass, those that
+would join two trees of the block are confirmed on the full sets, which lie in the block, so that it
+hands on a spanning forest of links and no more rows than it has members.
 
 A pair of likeness 0.75 shares none of 48 bands of 4 with a chance of about 1e-8.
 """
@@ -41,6 +42,8 @@ COPIES = np.maximum(1, -(-4 * REGISTERS // CLASSES))
 FULL = 3
 #: Members that a task compares with each other at most: a block against a block, in strips of rows.
 BLOCK, STRIP = 2048, 256
+#: Hashes of full sets in a block at most, of 8 bytes each; a larger set is a block of its own.
+BLOCK_HASHES = 1 << 22
 #: Smallest hashes of a set that a block compares; larger sets are estimated there.
 SHORT = 512
 #: Columns of an incidence matrix at a time.
@@ -187,18 +190,17 @@ def _members(batches):
 
 
 def _sets(batches):
-    """Full sets, and their ``SHORT`` smallest hashes in 32 bits, of nodes from rows ``node``, ``set``, ``text``."""
+    """Full sets of nodes from rows ``node``, ``set``, ``text``."""
     shingler = Shingler()
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            nodes, full, short = [], [], []
+            nodes, full = [], []
             for node, name, text in zip(*(batch.column(c)[i : i + 256] for c in range(3)), strict=True):
                 s = shingler.hashes(text.as_py())
                 if _name(s) == name.as_py():
                     nodes.append(node.as_py())
                     full.append(s.tobytes())
-                    short.append((s[:SHORT] >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(full, pa.binary()), pa.array(short, pa.binary())], ["node", "full", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(full, pa.binary())], ["node", "full"])
 
 
 @F.arrow_udf(BooleanType())
@@ -210,14 +212,16 @@ def _likely(ra: pa.Array, rb: pa.Array, na: pa.Array, nb: pa.Array, size: pa.Arr
     return pa.array(likely(a, b, na.to_numpy() * copies, nb.to_numpy() * copies), pa.bool_())
 
 
+def linked(a: bytes, b: bytes) -> bool:
+    """Whether two full sets are as like as the threshold."""
+    p, q = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= THRESHOLD * (len(p) + len(q) - both)
+
+
 @F.arrow_udf(BooleanType())
 def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        out.append(100 * both >= THRESHOLD * (len(p) + len(q) - both))
-    return pa.array(out, pa.bool_())
+    return pa.array([linked(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -237,12 +241,13 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 
 class Block:
-    """Rows of a bucket that a task compares: ``node``, ``component``, ``n`` and short lists of sorted 32-bit hashes."""
+    """Rows of a bucket that a task compares: ``node``, ``component``, ``n`` and full sets of sorted hashes, whose ``SHORT`` smallest it takes in 32 bits."""
 
-    def __init__(self, node: np.ndarray, component: np.ndarray, n: np.ndarray, short: list[bytes]) -> None:
-        self.node, self.component, self.n = node, component, n
-        self.sizes = np.array([len(s) // 4 for s in short])
-        self.values = np.frombuffer(b"".join(short), np.uint32)
+    def __init__(self, node: np.ndarray, component: np.ndarray, n: np.ndarray, full: list[bytes]) -> None:
+        self.node, self.component, self.n, self.full = node, component, n, full
+        short = [(np.frombuffer(s, np.uint64, min(len(s) // 8, SHORT)) >> np.uint64(32)).astype(np.uint32) for s in full]
+        self.sizes = np.array([len(s) for s in short])
+        self.values = np.concatenate(short)
         self.owner = np.repeat(np.arange(len(short)), self.sizes)
         again = (self.values[1:] == self.values[:-1]) & (self.owner[1:] == self.owner[:-1])
         #: hashes of a set that 32 bits do not tell apart
@@ -303,90 +308,81 @@ class Block:
             found.append((p, q, whole[i, j] & ((self.blurred[p] + self.blurred[q]) == 0)))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def links(self, left: slice, right: slice, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Passing pairs as node keys. Of those that whole sets settle, a spanning forest unless ``every`` is set."""
+    def links(self, left: slice, right: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Node keys of a spanning forest of the links, each confirmed on the full sets."""
         x, y, sure = self.passing(left, right)
-        if len(x) and not every:
-            up = {c: c for c in self.component.tolist()}
-
-            def root(c: int) -> int:
-                while up[c] != c:
-                    up[c] = c = up[up[c]]
-                return c
-
-            # one pair for each pair of components, and of those one for each that joins two trees
-            at = np.flatnonzero(sure)
-            ca, cb = self.component[x[at]], self.component[y[at]]
-            _, first = np.unique(np.stack((np.minimum(ca, cb), np.maximum(ca, cb)), 1), axis=0, return_index=True)
-            keep = []
-            for k in at[first].tolist():
-                p, q = root(int(self.component[x[k]])), root(int(self.component[y[k]]))
-                if p != q:
-                    up[max(p, q)] = min(p, q)
-                    keep.append(k)
-            rest = np.flatnonzero(~sure)
-            apart = [k for k in rest.tolist() if root(int(self.component[x[k]])) != root(int(self.component[y[k]]))]
-            take = np.array(sorted(keep + apart), np.int64)
-            x, y, sure = x[take], y[take], sure[take]
+        up = {c: c for c in self.component.tolist()}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        keep = []
+        order = np.argsort(~sure, kind="stable")
+        for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            a, b = root(int(self.component[p])), root(int(self.component[q]))
+            if a != b and linked(self.full[p], self.full[q]):
+                up[max(a, b)] = min(a, b)
+                keep.append((p, q))
+        x, y = np.array(keep, np.int64).reshape(-1, 2).T
         a, b = self.node[x], self.node[y]
-        return np.maximum(a, b), np.minimum(a, b), sure
+        return np.maximum(a, b), np.minimum(a, b)
 
 
-def _across(every: bool):
+def _across(batches):
     """Links between a block and a block of one bucket.
 
     Rows come sorted by (key, i, j, side); a group that a batch cuts off waits for the next.
     """
-    names = ["key", "i", "j", "side", "node", "n", "component", "short"]
-
-    def run(batches):
-        waiting = None
-        for batch in (b for part in (batches, [None]) for b in part):
-            parts = [x for x in (waiting, batch) if x is not None]
-            table = pa.Table.from_batches(parts).combine_chunks() if parts else None
-            if table is None or not table.num_rows:
-                continue
-            key, i, j, side, node, n, component = (table.column(c).to_numpy() for c in names[:-1])
-            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-            ends = np.append(cuts[1:], len(key))
-            if batch is not None:  # the last group may go on
-                waiting = table.slice(cuts[-1]).to_batches()[0]
-                cuts, ends = cuts[:-1], ends[:-1]
-            short = table.column("short")
-            found = []
-            for s, e in zip(cuts.tolist(), ends.tolist(), strict=True):
-                cut = e - s if i[s] == j[s] else int(np.count_nonzero(side[s:e] == 0))
-                left, right = slice(0, cut), slice(0, cut) if i[s] == j[s] else slice(cut, e - s)
-                if left.stop and right.stop > right.start:
-                    found.append(Block(node[s:e], component[s:e], n[s:e].astype(np.int64), short.slice(s, e - s).to_pylist()).links(left, right, every))
-            if found:
-                a, b, sure = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], ["a", "b", "sure"])
-
-    return run
+    names = ["key", "i", "j", "side", "node", "n", "component", "full"]
+    waiting = None
+    for batch in (b for part in (batches, [None]) for b in part):
+        parts = [x for x in (waiting, batch) if x is not None]
+        table = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        if table is None or not table.num_rows:
+            continue
+        key, i, j, side, node, n, component = (table.column(c).to_numpy() for c in names[:-1])
+        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        ends = np.append(cuts[1:], len(key))
+        if batch is not None:  # the last group may go on
+            waiting = table.slice(cuts[-1]).to_batches()[0]
+            cuts, ends = cuts[:-1], ends[:-1]
+        full = table.column("full")
+        found = []
+        for s, e in zip(cuts.tolist(), ends.tolist(), strict=True):
+            cut = e - s if i[s] == j[s] else int(np.count_nonzero(side[s:e] == 0))
+            left, right = slice(0, cut), slice(0, cut) if i[s] == j[s] else slice(cut, e - s)
+            if left.stop and right.stop > right.start:
+                found.append(Block(node[s:e], component[s:e], n[s:e].astype(np.int64), full.slice(s, e - s).to_pylist()).links(left, right))
+        if found:
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _dealt(inside: DataFrame, found: DataFrame, full: DataFrame, nodes: DataFrame) -> DataFrame:
     """Buckets of several components in pairs of blocks.
 
-    A bucket of up to ``BLOCK`` members is one block. In a larger one the members of its largest
-    component need no comparison with each other: only blocks of the others meet every block.
+    A bucket of up to ``BLOCK`` members and ``BLOCK_HASHES`` hashes is one block. In a larger one the
+    members of its largest component need no comparison with each other: only blocks of the others
+    meet every block.
     """
-    labelled = inside.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    rest = labelled.join(mixed.select("key", F.col("most.component").alias("main"), F.col("most.m").alias("m"), "all"), "key")
-    one = F.col("all") <= BLOCK
+    labelled = inside.join(found, "node", "left").join(nodes.select("node", "n"), "node").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("m", "component", "w")).alias("most"), F.sum("m").alias("all"), F.sum("w").alias("hashes"), F.count("*").alias("parts")).where("parts > 1")
+    rest = labelled.join(mixed.select("key", F.col("most.component").alias("main"), F.col("most.m").alias("m"), F.col("most.w").alias("w"), "all", "hashes"), "key")
+    blocks = lambda m, w: F.ceil(F.greatest(m / BLOCK, w / BLOCK_HASHES))
+    one = blocks(F.col("all"), F.col("hashes")) <= 1
     main = F.col("component") == F.col("main")
-    others = F.when(one, 1).otherwise(F.ceil((F.col("all") - F.col("m")) / BLOCK)).cast("int")
-    mains = F.when(one, 0).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
-    rest = rest.select("key", "node", "component", others.alias("others"), mains.alias("mains"), (main & ~one).alias("main"))
+    others = F.when(one, 1).otherwise(blocks(F.col("all") - F.col("m"), F.col("hashes") - F.col("w"))).cast("int")
+    mains = F.when(one, 0).otherwise(blocks(F.col("m"), F.col("w"))).cast("int")
+    rest = rest.select("key", "node", "n", "component", others.alias("others"), mains.alias("mains"), (main & ~one).alias("main"))
     own = F.when(F.col("main"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
     meets = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
-    rest = rest.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rest = rest.join(full.select("node", "short"), "node").join(nodes.select("node", "n"), "node")
-    return rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").select("key", "i", "j", "side", "node", "n", "component", "short")
+    rest = rest.select("key", "node", "n", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rest = rest.join(full, "node")
+    return rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").select("key", "i", "j", "side", "node", "n", "component", "full")
 
 
 def _decided(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -410,7 +406,7 @@ def _decided(docs: DataFrame, key: str, text: str) -> DataFrame:
     discard(buckets)
 
     asked = nodes.join(inside.select("node").distinct(), "node", "left_semi").select("row", "node", "set")
-    full = texts.join(fitting(asked, BROADCAST_ROWS), "row").select("node", "set", "text").mapInArrow(_sets, "node bigint, full binary, short binary")
+    full = texts.join(fitting(asked, BROADCAST_ROWS), "row").select("node", "set", "text").mapInArrow(_sets, "node bigint, full binary")
     full = materialize(full.dropDuplicates(["node"]), "sets")
 
     # each node with the smallest that shares a bucket with it
@@ -418,17 +414,11 @@ def _decided(docs: DataFrame, key: str, text: str) -> DataFrame:
     links = materialize(_confirmed(_estimated(star, nodes), full), "links")
     found = components(links).withColumnRenamed("id", "node")
 
-    dealt = _dealt(inside, found, full, nodes)
-    schema = "a bigint, b bigint, sure boolean"
-    forest = materialize(dealt.mapInArrow(_across(False), schema).groupBy("a", "b").agg(F.max("sure").alias("sure")), "forest")
-    more = materialize(_confirmed(forest, full), "more")
-    if not forest.where("sure").join(more, ["a", "b"], "left_anti").isEmpty():
-        # 32 bits took two hashes for one, so that a forest may lack a link: all passing pairs instead
-        more = materialize(_confirmed(dealt.mapInArrow(_across(True), schema).select("a", "b").distinct(), full), "more")
+    more = materialize(_dealt(inside, found, full, nodes).mapInArrow(_across, "a bigint, b bigint").distinct(), "more")
     if not more.isEmpty():
-        links = links.unionByName(more.select("a", "b"))
+        links = links.unionByName(more)
         found = components(links).withColumnRenamed("id", "node")
-    for t in (inside, full, forest):
+    for t in (inside, full):
         discard(t)
 
     # a component goes by the smallest id of its nodes

@@ -151,3 +151,16 @@ def test_rows_without_an_id_and_rows_that_share_one_go_by_their_own_texts(spark)
     assert sorted(map(tuple, nd.keep(df).collect()), key=order) == sorted(kept, key=order)
     want = [(7, 7, True), (9, 9, True), (-1, 7, False), (-1, -1, True), (-1, 9, False), (-1, 30, False), (20, 7, False), (20, 20, True), (20, 9, False), (-1, -1, True), (30, 30, True)]
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in nd.near_duplicates(df).collect()) == sorted(want)
+
+
+def test_a_block_of_large_like_sets_hands_on_a_forest():
+    """Sets of more than SHORT hashes were handed on in all pairs, with the square of a block's members."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    m, base = 40, rng.integers(0, 2**63, 900, dtype=np.int64)
+    own = [np.unique(np.append(base, rng.integers(0, 2**63, 30, dtype=np.int64)).astype(np.uint64)) for _ in range(m - 1)]
+    own.append(np.unique(rng.integers(0, 2**63, 900, dtype=np.int64).astype(np.uint64)))
+    block = nd.Block(np.arange(m), np.arange(m), np.array([len(s) for s in own]), [s.tobytes() for s in own])
+    a, b = block.links(slice(0, m), slice(0, m))
+    assert len(a) == m - 2 and {*a.tolist(), *b.tolist()} == set(range(m - 1))
