@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,23 +63,51 @@ class Coverage:
         return []
 
 
+OUT = ("stage_id", "question_id", "state", "n_bundles", "n_refused")
+QUESTION, BUNDLE, UPDATE = range(3)
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Final states from the facts and updates of stages, in order; held are one stage and one batch of its updates."""
+    schema = pa.schema([("stage_id", pa.int64()), ("question_id", pa.string()), ("state", pa.string()), ("n_bundles", pa.int32()), ("n_refused", pa.int32())])
+    stage, of, waiting, state, refused, done = None, None, [], None, 0, []
+
+    def end() -> None:
+        if state is not None:
+            late = refused + bool(state.apply(waiting))
+            done.extend((stage, q, s.state, len(s.bundles), late) for q, s in sorted(state.questions.items()))
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if state is None or r["stage_id"] != stage:
+                end()
+                stage, of, waiting, state, refused = r["stage_id"], None, [], Coverage({}), 0
+            if r["fact"] == QUESTION:
+                state.questions[r["question_id"]] = Question()
+            elif r["fact"] == BUNDLE:
+                state.bundles[r["bundle_id"]] = (r["question_id"], r["adequacy"])
+            else:
+                if r["batch_no"] != of:
+                    refused += bool(state.apply(waiting))
+                    of, waiting = r["batch_no"], []
+                waiting.append(r)
+        if done:
+            yield pa.RecordBatch.from_pylist([dict(zip(OUT, d)) for d in done], schema=schema)
+            done.clear()
+    end()
+    if done:
+        yield pa.RecordBatch.from_pylist([dict(zip(OUT, d)) for d in done], schema=schema)
+
+
 def coverage_states(updates: DataFrame, bundles: DataFrame, questions: DataFrame) -> DataFrame:
     """Final state of each question of each stage.
 
     ``updates``: stage_id, batch_no, seq, question_id, state, bundle_ids; ``bundles``: stage_id, bundle_id,
-    question_id, adequacy; ``questions``: stage_id, question_id. The three meet by stage; a stage is one
-    model run and so bounded by nature.
+    question_id, adequacy; ``questions``: stage_id, question_id. The three meet by stage, as rows in order
+    that a task walks through; a stage is one model run and so bounded by nature.
     """
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = right[right["kind"] == "bundle"]
-        state = Coverage({q: Question() for q in right.loc[right["kind"] == "question", "question_id"]}, {b: (q, a) for b, q, a in zip(known["bundle_id"], known["question_id"], known["adequacy"], strict=True)})
-        refused = 0
-        for _, batch in left.sort_values(["batch_no", "seq"]).groupby("batch_no"):
-            refused += bool(state.apply(batch.to_dict("records")))
-        stage = (left if len(left) else right)["stage_id"].iloc[0]
-        return pd.DataFrame([(stage, q, s.state, len(s.bundles), refused) for q, s in sorted(state.questions.items())], columns=["stage_id", "question_id", "state", "n_bundles", "n_refused"])
-
-    facts = bundles.select("stage_id", F.lit("bundle").alias("kind"), "bundle_id", "question_id", "adequacy").unionByName(questions.select("stage_id", F.lit("question").alias("kind"), F.lit(None).cast("string").alias("bundle_id"), "question_id", F.lit(None).cast("string").alias("adequacy")))
-    return updates.groupBy("stage_id").cogroup(facts.groupBy("stage_id")).applyInPandas(run, "stage_id bigint, question_id string, state string, n_bundles int, n_refused int")
-
+    facts = questions.select("stage_id", "question_id", F.lit(QUESTION).alias("fact"))
+    facts = facts.unionByName(bundles.select("stage_id", "bundle_id", "question_id", "adequacy", F.lit(BUNDLE).alias("fact")), allowMissingColumns=True)
+    every = facts.unionByName(updates.where("batch_no is not null").withColumn("fact", F.lit(UPDATE)), allowMissingColumns=True)
+    rows = every.repartition("stage_id").sortWithinPartitions("stage_id", "fact", "batch_no", "seq")
+    return rows.mapInArrow(_walked, "stage_id bigint, question_id string, state string, n_bundles int, n_refused int")

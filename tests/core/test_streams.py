@@ -116,3 +116,30 @@ def test_coverage_restarts_and_refuses_whole_lists(spark):
     assert not walk.apply([{"question_id": "q", "state": "partial", "bundle_ids": ["b"]}])
     got = {(r.stage_id, r.question_id): (r.state, r.n_bundles, r.n_refused) for r in found.collect()}
     assert got == {(1, "q"): ("unresolved", 2, 1), (2, "x"): ("unresolved", 0, 0)}
+
+
+def test_stages_are_walked_as_rows_across_batches(spark):
+    """Groups of pandas frames took the time of a frame for each batch of updates; rows in order take that of their rows."""
+    from spanforge.operators import coverage_state
+
+    rng = random.Random(4)
+    updates = [(s, b, b * 10 + k, f"q{rng.randint(0, 3)}", "partial", [f"b{rng.randint(0, 3)}"]) for s in (1, 2, 7) for b in range(9) for k in range(2)]
+    facts = [(s, f"b{k}", f"q{k}", "adequate") for s in (1, 2, 7, 9) for k in range(3)]
+    tables = (
+        spark.createDataFrame(updates, "stage_id long, batch_no long, seq long, question_id string, state string, bundle_ids array<string>"),
+        spark.createDataFrame(facts, "stage_id long, bundle_id string, question_id string, adequacy string"),
+        spark.createDataFrame([(s, q) for s, _, q, _ in facts], "stage_id long, question_id string"),
+    )
+    want = []
+    for s in (1, 2, 7, 9):
+        state, refused = Coverage({f"q{k}": Question() for k in range(3)}, {b: (q, a) for t, b, q, a in facts if t == s}), 0
+        for b in range(9) if s != 9 else ():
+            refused += bool(state.apply([{"question_id": q, "state": x, "bundle_ids": i} for t, n, _, q, x, i in updates if (t, n) == (s, b)]))
+        want += [(s, q, x.state, len(x.bundles), refused) for q, x in state.questions.items()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = coverage_state.coverage_states(*tables)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "CoGroups" not in found._jdf.queryExecution().toString()
