@@ -32,7 +32,8 @@ def union_by_ref(*parts: DataFrame, ref: str = "ref", text: str = "text", order:
     for p in parts[1:]:
         every = every.unionByName(p, allowMissingColumns=True)
     fields = [c for c in every.columns if c not in (ref, order)]
-    out = every.groupBy(ref).agg(F.max_by(F.struct(*fields), order).alias("row"), F.min(order).alias(order), F.min(text).alias("__low"), F.max(text).alias("__high"))
+    # texts are told apart by their digests: a row carries its text once
+    out = every.groupBy(ref).agg(F.max_by(F.struct(*fields), order).alias("row"), F.min(order).alias(order), F.min(F.sha2(text, 256)).alias("__low"), F.max(F.sha2(text, 256)).alias("__high"))
     ok = F.when(F.col("__low").eqNullSafe(F.col("__high")), F.col("row")).otherwise(F.raise_error(F.lit("one reference with two texts")))
     return out.withColumn("row", ok).select(ref, order, "row.*")
 

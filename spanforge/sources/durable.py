@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKET = "__bucket"
-#: Tasks that a bucket is dealt to when it is written, by the columns of its rows.
-PARTS = 8
 
 
 class Durable:
@@ -60,8 +58,8 @@ class Durable:
         version, before = self.version + 1, self._manifest()
         new = merge(self.rows(hit)).select(*(F.col(f"`{c}`") for c in self.schema.names)).withColumn(BUCKET, self.bucket())
         folder = f"{self.path}/data/version={version}"
-        spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in self.schema.names)), F.lit(PARTS))
-        new.repartition(BUCKET, spread).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+        # merged rows are written where they lie: dealing them by bucket would shuffle the table once more
+        new.write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
         full = {r[0] for r in self.spark.read.parquet(folder).select(BUCKET).distinct().collect()} if not _empty(self.spark, folder) else set()
         after = before | {b: f"{folder}/{BUCKET}={b}" if b in full else "" for b in hit}
         manifest = self.spark.createDataFrame(sorted(after.items()), "bucket int, folder string")
