@@ -6,6 +6,7 @@ import unicodedata
 from decimal import Decimal, getcontext, localcontext
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,8 +139,10 @@ def omitted_text(fragments: Column, exported: Column) -> Column:
         text = "".join(text.split())
         return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
-    def lost(parts: pd.Series, whole: pd.Series) -> pd.Series:
-        held = [bare(w or "") for w in whole]
-        return pd.Series([None if p is None else [f for f in p if f is not None and bare(f) not in h] for p, h in zip(parts, held, strict=True)], dtype=object)
+    def lost(parts: pa.Array, whole: pa.Array) -> pa.Array:
+        # a row at a time is Python's, not a batch
+        rows = ((p.as_py(), w.as_py()) for p, w in zip(parts, whole, strict=True))
+        found = ((p, bare(w or "")) for p, w in rows)
+        return pa.array((None if p is None else [f for f in p if f is not None and bare(f) not in h] for p, h in found), pa.list_(pa.string()))
 
-    return F.pandas_udf(lost, "array<string>")(fragments, exported)
+    return F.arrow_udf(lost, "array<string>")(fragments, exported)

@@ -14,7 +14,7 @@ from spanforge.plans import supervised
 from spanforge.plans.catalogue import CHUNKS, LIMIT, ORACLES, REFS, bundles_of, chunks_of, evidence_rows, items_of, lexical_sql, passages_of, query, read, units_of
 from spanforge.sources import ingest
 from spanforge.sources.durable import Durable
-from spanforge.sources.tables import shared
+from spanforge.sources.tables import shared, written
 
 WORD3 = "regexp_extract(text, '([a-z]+)', 1)"
 
@@ -241,9 +241,11 @@ def table_note_cells(spark, d):
 @query(f"WITH {CHUNKS} SELECT doc_id, count(*) FILTER (chunk_no > 0 AND NOT contains(regexp_replace(first, '\\s+', '', 'g'), regexp_replace(chunk_text, '\\s+', '', 'g'))) AS n_lost FROM (SELECT *, first(chunk_text) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS first FROM chunks) GROUP BY doc_id")
 def export_omissions(spark, d):
     """Documents of which the first chunk alone is exported; blanks do not count."""
-    c = chunks_of(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_text"))).alias("c"))
-    texts = F.transform("c", lambda x: x["chunk_text"])
-    return c.select("doc_id", F.size(report.omitted_text(texts, F.element_at(texts, 1))).cast("long").alias("n_lost"))
+    # a row holds one chunk and what is exported, never a document
+    docs = read(spark, d, "documents").select(F.struct("doc_id", F.substr("text", F.lit(1), F.lit(LIMIT)).alias("exported")).alias("k"), "text")
+    c = structure.paragraph_chunks(docs, "k", limit=LIMIT).select("k.*", "chunk_text")
+    lost = c.select("doc_id", F.size(report.omitted_text(F.array("chunk_text"), F.col("exported"))).alias("n"))
+    return lost.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_lost"))
 
 
 @query("SELECT event_id AS figure_id, CASE WHEN event_id % 6 = 0 THEN 'unknown source' ELSE '' END || CASE WHEN event_id % 6 = 0 AND event_id % 4 = 0 THEN ',' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN 'missing field' ELSE '' END AS problems FROM events WHERE event_id % 6 = 0 OR event_id % 4 = 0")
@@ -342,7 +344,7 @@ SELECT query_id, source_id, chunk_id, len(t)::INT AS n_views, sha256(array_to_st
 def search_views(spark, d):
     """Views of each candidate under a limit that most exceed: whole sentences by nearness, in two directions (UD4)."""
     p, items = passages_of(spark, d), items_of(spark, d)
-    pool = retrieval.lexical(p, items, 64).select("query_id", "source_id", "chunk_id", F.col("rank").alias("place"))
+    pool = written(retrieval.lexical(p, items, 64).select("query_id", "source_id", "chunk_id", F.col("rank").alias("place")), shared(spark))
     c = pool.join(api.blocks(pool, p, api.units_of(p), api.Settings()), ["source_id", "chunk_id"]).join(items, "query_id").withColumn("identity", F.lit(""))
     found = views.with_views(api.sentenced(c), VIEW, keep=("query_id", "source_id", "chunk_id"))
     return found.select("query_id", "source_id", "chunk_id", F.size("views").alias("n_views"), F.sha2(F.array_join("views", "\u001f"), 256).alias("views_sha256"), F.col("view_status").alias("status"))

@@ -42,3 +42,13 @@ def test_upper_medians(spark):
     for key in got:
         sizes = sorted(len(t or "") for k, c, t in rows if (k, c) == key)
         assert got[key] == max(1, sizes[len(sizes) // 2])
+
+
+def test_the_export_check_reads_chunks_and_no_documents(spark, tmp_path):
+    """Whole documents gathered in a row filled a worker's Arrow batches with texts."""
+    from spanforge.plans import catalogue_records as records
+
+    spark.createDataFrame([(1, "a" * 1600 + "b" * 1600 + "a" * 9), (2, "c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = records.export_omissions(spark, str(tmp_path))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 0)]
