@@ -31,6 +31,8 @@ from spanforge.sources.tables import shared, written
 BLOCK_QUERIES, BLOCK_TOKENS = 20_000, 2_000_000
 #: Products that are worked out at a time.
 CELLS = 8_000_000
+#: Passages that are worked on at a time: token codes of whole texts are some 100 bytes a token.
+PART = 1024
 #: Passages of a segment of the store, and segments that a query scores before any is left out.
 ROWS, FIRST = 4096, 2
 #: Bounds are widened by this part, far above the rounding of their sums.
@@ -154,7 +156,7 @@ def _in_scope(block: QueryBlock, sources: pa.Array) -> Callable | None:
 def _ranked(block: QueryBlock, k: int, schema: pa.Schema):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((len(block.ids), k))  # the best scores of this task so far
-        for batch in batches:
+        for batch in (b.slice(i, PART) for b in batches for i in range(0, b.num_rows, PART)):
             tokens = batch.column("tokens")
             n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
             v, p = block.codes(tokens.flatten()), np.repeat(np.arange(batch.num_rows), n)
@@ -209,6 +211,43 @@ def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+POSTING = "token string, segment bigint, least int, rows array<int>"
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of ``segment``, ``row``, ``size``, ``tokens`` in order of segments; one that two splits share has two rows of a token, whose bounds add up."""
+    schema = pa.schema([("token", pa.string()), ("segment", pa.int64()), ("least", pa.int32()), ("rows", pa.list_(pa.int32()))])
+    waiting: list[pa.RecordBatch] = []
+    for batch in (b for part in (batches, [None]) for b in part):
+        held = pa.Table.from_batches(waiting + ([batch] if batch is not None else [])).combine_chunks() if waiting or batch is not None else None
+        if held is None or not held.num_rows:
+            continue
+        held = held.to_batches()[0]
+        segment = held.column("segment").to_numpy()
+        runs = _runs(segment)
+        if batch is not None:  # the last segment may go on
+            waiting = [held.slice(runs.pop()[0])]
+        for a, z in runs:
+            part = held.slice(a, z - a)
+            row, size = (part.column(c).to_numpy() for c in ("row", "size"))
+            words = part.column("tokens").flatten().dictionary_encode()
+            at = np.repeat(np.arange(z - a), pc.fill_null(pc.list_value_length(part.column("tokens")), 0).to_numpy(zero_copy_only=False))
+            code = words.indices.to_numpy()
+            order = np.lexsort((row[at], code))
+            code, at = code[order], at[order]
+            first = np.flatnonzero(np.r_[True, np.diff(code) != 0]) if len(code) else np.zeros(0, int)
+            if not len(first):
+                continue
+            rows = pa.ListArray.from_arrays(pa.array(np.r_[first, len(code)], pa.int32()), pa.array(row[at], pa.int32()))
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), segment[a])), pa.array(np.minimum.reduceat(size[at], first), pa.int32()), rows], schema=schema)
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal values."""
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    return list(zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(values)].tolist(), strict=True)) if len(values) else []
+
+
 def write_store(passages: DataFrame, path: str, rows: int = ROWS) -> None:
     """Writes the posting store of ``passages`` to the new folder ``path``.
 
@@ -223,10 +262,10 @@ def write_store(passages: DataFrame, path: str, rows: int = ROWS) -> None:
     written(numbered.drop("tokens"), f"{path}/passages")
     sizes = numbered.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "size"))), lambda x: x["size"]).alias("sizes"))
     written(sizes, f"{path}/segments")
-    # a group holds the rows of one token in one segment
-    terms = numbered.select("segment", "row", "size", F.explode("tokens").alias("token"))
-    postings = terms.groupBy("token", "segment").agg(F.min("size").alias("least"), F.array_sort(F.collect_list("row")).alias("rows"))
-    written(postings.repartitionByRange("token", "segment").sortWithinPartitions("token", "segment"), f"{path}/postings")
+    # rows of a segment lie in one task, which writes its postings without a shuffle of tokens
+    posted = written(numbered.select("segment", "row", "size", "tokens").mapInArrow(_posted, POSTING), f"{path}/posted")
+    written(posted.repartitionByRange("token", "segment").sortWithinPartitions("token", "segment"), f"{path}/postings")
+    posted.limit(0).write.mode("overwrite").parquet(f"{path}/posted")
     numbered.limit(0).write.mode("overwrite").parquet(f"{path}/numbered")  # frees the tokens
 
 

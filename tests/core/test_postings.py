@@ -98,3 +98,13 @@ def test_fusion_takes_the_first_rank_of_a_key(spark):
     b = spark.createDataFrame([(1, "B", 1), (1, "B", 2), (1, "C", 3)], "query_id int, key string, rank int")
     rows = retrieval.fuse({"a": a, "b": b, "none": a.limit(0)}, ["key"]).orderBy("rank").collect()
     assert [(r.key, round(r.rrf, 12)) for r in rows] == [("B", round(1 / 62 + 1 / 61, 12)), ("A", round(1 / 61, 12)), ("C", round(1 / 63, 12))]
+
+
+def test_postings_of_a_segment_are_gathered_in_its_task(spark, tmp_path):
+    """A row for each token of each passage went through a shuffle; now a segment that batches cut is put together in place."""
+    import pyarrow as pa
+
+    rows = [(s, r, 2 + r, [f"w{r % 2}", "all"]) for s in (5, 9) for r in range(4)]
+    table = pa.table({"segment": [r[0] for r in rows], "row": pa.array([r[1] for r in rows], pa.int32()), "size": pa.array([r[2] for r in rows], pa.int32()), "tokens": [r[3] for r in rows]})
+    found = [tuple(r.values()) for b in P._posted(iter(table.to_batches(max_chunksize=3))) for r in b.to_pylist()]
+    assert sorted(found) == sorted((t, s, least, held) for s in (5, 9) for t, least, held in (("w0", 2, [0, 2]), ("w1", 3, [1, 3]), ("all", 2, [0, 1, 2, 3])))
