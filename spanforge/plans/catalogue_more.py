@@ -156,7 +156,7 @@ def bucketed(text):
     """A stated embedding without a model: distinct tokens counted in 64 buckets of their MD5."""
     bucket = F.transform(T.tokens(text), lambda t: F.pmod(F.conv(F.substr(F.md5(t.cast("binary")), F.lit(1), F.lit(4)), 16, 10).cast("int"), F.lit(64)))
     # bound to a variable, or the text would be tokenised for each of the buckets
-    counts = lambda seen: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.size(F.filter(seen, lambda x: x == b)).cast("double"))
+    counts = lambda seen: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: (F.size(seen) - F.size(F.array_remove(seen, b))).cast("double"))
     return F.get(F.transform(F.array(bucket), counts), 0)
 
 

@@ -82,8 +82,11 @@ def blocks(pool: DataFrame, passages: DataFrame, units: DataFrame, settings: Set
     """A reading window around each candidate (UD2, CP5): its units' texts and references, and the window's status.
 
     Windows are built once for each place, however many queries propose it, or taken from an ``index`` of
-    the same window size (source_id, focus_no, units, status).
+    the same window size (source_id, focus_no, units, status). Only passages and units of the sources of the pool are
+    joined: of a pool that is a written table, they are told in place, and no text of another source is shuffled.
     """
+    sources = pool.select("source_id").distinct()
+    passages, units = (df.join(sources, "source_id", "left_semi") for df in (passages, units))
     wanted = pool.select("source_id", "chunk_id").distinct().join(passages.select("source_id", "chunk_id", F.col("start_at").alias("point")), ["source_id", "chunk_id"])
     bounds = units.select("source_id", F.col("unit_no").alias("focus_no"), F.col("start_at").alias("unit_start"), F.col("end_at").alias("unit_end"))
     focus = intervals.containing(wanted, bounds, "source_id").select(F.struct("source_id", "focus_no").alias("focus_id"), "source_id", "focus_no", "chunk_id", "point")
@@ -126,7 +129,7 @@ def search(passages: DataFrame, queries: DataFrame, settings: Settings = Setting
         return df.sparkSession.read.schema(df.schema).parquet(f"{trace}/{name}")
 
     units = units_of(passages) if units is None else units
-    pool = provider(passages, queries, settings.candidate_limit).select("query_id", "source_id", "chunk_id", F.col("rank").alias("place"))
+    pool = traced(provider(passages, queries, settings.candidate_limit).select("query_id", "source_id", "chunk_id", F.col("rank").alias("place")), "pool")
     identity = passages.select("source_id", "chunk_id", F.coalesce("identity_text", F.lit("")).alias("identity")) if "identity_text" in passages.columns else None
     windows = blocks(pool, passages, units, settings, index)
     c = pool.join(windows, ["source_id", "chunk_id"]).join(queries.select("query_id", "query"), "query_id")
