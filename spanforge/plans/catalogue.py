@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as T
 from spanforge.operators import evidence, intervals, ledger, packing, postings, reading, retrieval, review, structure, transport, units, vector_index
 from spanforge.sources.html import html_blocks as parse_pages
-from spanforge.sources.tables import shared
+from spanforge.sources.tables import shared, written
 from spanforge.streaming import replay as streams
 
 QUERIES: dict = {}
@@ -245,6 +245,7 @@ def reading_window_greedy(spark, d):
     """Around the middle sentence of every document, within 800 characters."""
     s = read(spark, d, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("unit_no", "s"))
     u = s.select("doc_id", "unit_no", F.col("unit_no").alias("group_no"), F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
+    u = written(u, shared(spark))  # four joins read the places of the sentences; the texts are cut up once
     f = u.groupBy("doc_id").agg(F.floor(F.max("unit_no") / 2).cast("int").alias("focus_no")).select(F.col("doc_id").alias("focus_id"), "doc_id", "focus_no")
     listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return reading.windows(u, f, "doc_id", 800, reach=2).select("doc_id", F.col("focus_no").cast("long").alias("focus_no"), listed("units"), listed("omitted"), F.col("used").cast("long").alias("used"), "status")

@@ -66,3 +66,13 @@ def test_a_search_bounds_its_views_by_the_counter(spark):
     assert len(one) == len(whole) == 12
     # a counter that counts nothing lets every view be whole, one that counts too much leaves none
     assert found(500, counter=lambda: lambda q, t: 0) == whole and found(500, counter=lambda: lambda q, t: 10**6) == []
+
+
+def test_sentences_are_cut_once_for_their_windows(spark, tmp_path):
+    """Four branches of the joins each cut all texts into sentences."""
+    from spanforge.plans import catalogue
+
+    spark.createDataFrame([(1, "A b. C d! E f? G."), (2, "Alone")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.reading_window_greedy(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "0,1,2,3", "", 17, "complete_window"), (2, 0, "0", "", 5, "complete_window")]
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
