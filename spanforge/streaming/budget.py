@@ -6,7 +6,9 @@ never settled stays charged: the watchdog ends the call at its deadline and free
 seconds. Deadlines are timers on event time, so that the call of a campaign that falls silent ends too; an
 event that comes after a deadline ends the call first, whether or not the timer was due.
 
-State is kept in RocksDB by key: totals, running calls (a few), and one entry for each attempt and call.
+State is kept in RocksDB, one value for each campaign: totals, running calls, and its attempts and calls, which
+the limits bound. A micro-batch reads and writes it once; an entry for each name was a round trip to the
+state's server for each of them.
 Events of a campaign are taken in the order of time and number within a micro-batch, and micro-batches in the
 order of the log; ``files`` bounds a micro-batch. A restart goes on from the checkpoint.
 """
@@ -23,6 +25,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 #: What a campaign's events may be, and their decisions.
 ACTIONS = ("start", "admit", "reserve", "settle", "finish")
 DECISIONS = "campaign long, seq long, at double, action string, name string, decision string, reason string, granted double, resource string, charged double"
+ACCOUNT = "started double, charged double, n_calls int, n_attempts int, attempts array<struct<name:string,deadline:double,status:string>>, calls array<struct<name:string,reserved:double,status:string>>, running array<struct<name:string,deadline:double,reserved:double>>"
 FIELDS = ("campaign", "seq", "at", "action", "name", "decision", "reason", "granted", "resource", "charged")
 
 
@@ -42,33 +45,25 @@ class Limits:
 
 
 class Store:
-    """A map of the state, read and written through memory within a micro-batch."""
+    """A map of the state, held in memory within a micro-batch."""
 
-    def __init__(self, state=None) -> None:  # noqa: ANN001
-        self.state, self.known, self.changed = state, {}, set()
+    def __init__(self, entries: Iterable[tuple] = ()) -> None:
+        self.known: dict[str, tuple] = {e[0]: tuple(e[1:]) for e in entries}
 
     def get(self, key: str) -> tuple | None:
-        if key not in self.known:
-            self.known[key] = tuple(self.state.getValue((key,))) if self.state is not None and self.state.containsKey((key,)) else None
-        return self.known[key]
+        return self.known.get(key)
 
     def put(self, key: str, value: tuple | None) -> None:
-        self.known[key] = value
-        self.changed.add(key)
-
-    def load(self) -> None:
-        if self.state is not None:
-            self.known = {k[0]: tuple(v) for k, v in self.state.iterator()}
+        if value is None:
+            self.known.pop(key, None)
+        else:
+            self.known[key] = value
 
     def items(self) -> list[tuple[str, tuple]]:
-        return sorted((k, v) for k, v in self.known.items() if v is not None)
+        return sorted(self.known.items())
 
-    def flush(self) -> None:
-        for k in sorted(self.changed):
-            if self.known[k] is None:
-                self.state.removeKey((k,))
-            else:
-                self.state.updateValue((k,), self.known[k])
+    def entries(self) -> list[tuple]:
+        return [(k, *v) for k, v in self.items()]
 
 
 class Account:
@@ -183,21 +178,18 @@ class Ledger(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "started double, charged double, calls int, attempts int")
-        self.attempts = handle.getMapState("attempts", "name string", "deadline double, status string")
-        self.calls = handle.getMapState("calls", "name string", "reserved double, status string")
-        self.running = handle.getMapState("running", "name string", "deadline double, reserved double")
+        self.state = handle.getValueState("account", ACCOUNT)
 
     def _account(self) -> Account:
-        account = Account(self.limits, *(tuple(self.totals.get()) if self.totals.exists() else ()))
-        account.attempts, account.calls, account.running = Store(self.attempts), Store(self.calls), Store(self.running)
-        account.running.load()
+        if not self.state.exists():
+            return Account(self.limits)
+        started, charged, calls, attempts, *stores = self.state.get()
+        account = Account(self.limits, started, charged, calls, attempts)
+        account.attempts, account.calls, account.running = (Store(x) for x in stores)
         return account
 
     def _keep(self, account: Account) -> None:
-        for store in (account.attempts, account.calls, account.running):
-            store.flush()
-        self.totals.update((account.started, account.charged, account.n_calls, account.n_attempts))
+        self.state.update((account.started, account.charged, account.n_calls, account.n_attempts, *(x.entries() for x in (account.attempts, account.calls, account.running))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         account = self._account()

@@ -143,3 +143,39 @@ def test_stages_are_walked_as_rows_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "CoGroups" not in found._jdf.queryExecution().toString()
+
+
+class OneValue:
+    """A handle whose state counts the calls that go to its server."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_a_micro_batch_of_a_campaign_takes_three_calls_to_the_state():
+    """Each name of an attempt or a call took two or three."""
+    handle, ledger = OneValue(), budget.Ledger(Limits(attempts=50, calls=50))
+    ledger.init(handle)
+    acts = [x for k in range(20) for x in (("admit", f"a{k}"), ("reserve", f"c{k}"), ("settle", f"c{k}"))]
+    rows = [{"seq": i, "at": float(i), "action": a, "name": n, "attempt": f"a{i // 3}", "seconds": 2.0} for i, (a, n) in enumerate(acts)]
+    got = [r for part in (rows[:31], rows[31:]) for r in ledger.handleInputRows((1,), part, None)]
+    assert handle.calls <= 6
+    assert [(r.seq, r.decision) for r in got] == [(i, {"admit": "admitted", "reserve": "admitted", "settle": "settled"}[a]) for i, (a, _) in enumerate(acts)]
