@@ -179,3 +179,15 @@ def test_a_micro_batch_of_a_campaign_takes_three_calls_to_the_state():
     got = [r for part in (rows[:31], rows[31:]) for r in ledger.handleInputRows((1,), part, None)]
     assert handle.calls <= 6
     assert [(r.seq, r.decision) for r in got] == [(i, {"admit": "admitted", "reserve": "admitted", "settle": "settled"}[a]) for i, (a, _) in enumerate(acts)]
+
+
+def test_a_micro_batch_of_a_stage_takes_three_calls_to_the_state():
+    """Each question and bundle took one, and both were listed."""
+    handle, stage = OneValue(), coverage.Stage()
+    stage.init(handle)
+    first = [{"seq": -2, "kind": "question", "name": f"q{k}"} for k in range(9)] + [{"seq": -1, "kind": "bundle", "name": f"b{k}", "question_id": f"q{k}", "adequacy": "adequate"} for k in range(9)]
+    update = lambda k: {"seq": k, "kind": "updates", "updates": [{"seq": k, "question_id": f"q{k}", "state": "partial", "bundle_ids": [f"b{k}"]}]}
+    list(stage.handleInputRows((1,), first + [update(0)], None))
+    got = list(stage.handleInputRows((1,), [update(1), update(9)], None))
+    assert handle.calls <= 6
+    assert [(r.question_id, r.state, r.n_refused) for r in got][:3] == [("q0", "partial", 1), ("q1", "partial", 1), ("q2", "unresolved", 1)]
