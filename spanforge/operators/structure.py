@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,16 @@ from spanforge.functions import text as T
 
 #: Line ends of Python's splitlines; only a line feed is taken off a row's end.
 ROW = r"[^\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])|[^\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]+"
+#: Rows of a text without the other line ends: a sign is compared with one, not with a union of classes.
+LINE = r"[^\n]*\n|[^\n]+"
+OTHER_ENDS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+def _parts(text: Column) -> Column:
+    """Rows of a text with their line ends."""
+    other = reduce(or_, (F.contains(text, F.lit(c)) for c in OTHER_ENDS))
+    cut = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(other, cut(ROW)).otherwise(cut(LINE))
 
 
 def paragraph_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 1600) -> DataFrame:
@@ -27,23 +40,19 @@ def table_chunks(tables: DataFrame, key: str, text: str, limit: int) -> DataFram
 
     A header of ``limit`` characters or more is an error; a table of one row gives its header alone.
     """
-    lines = T.spans_of_parts(F.regexp_extract_all(F.col(text), F.lit(ROW), F.lit(0)))
-    rows = F.transform(lines, lambda r: F.struct(r["start"].alias("s"), (r["start"] + F.length(F.regexp_replace(r["part"], r"\n+\z", ""))).alias("e")))
-    df = tables.where(F.length(text) > 0).select(key, text, rows.alias("rows"))
-    head = F.element_at("rows", 1)
-    df = df.withColumn("header", F.when(head["e"] < limit, head).otherwise(F.raise_error(F.lit("table header reaches the chunk limit"))))
-    room = F.greatest(F.lit(1), limit - F.col("header")["e"] - 1)
-    pieces = F.flatten(
-        F.transform(
-            F.filter(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), lambda r: r["e"] > r["s"]),
-            lambda r: F.transform(F.sequence(r["s"], r["e"] - 1, room), lambda p: F.struct(p.alias("s"), F.least(p + room, r["e"]).alias("e"))),
-        )
-    )
+    lines = T.spans_of_parts(_parts(F.col(text)))
+    rows = F.transform(lines, lambda r: F.struct(r["start"].alias("s"), F.rtrim(r["part"], F.lit("\n")).alias("row")))
+    df = tables.where(F.length(text) > 0).select(key, rows.alias("rows"))
+    head = F.element_at("rows", 1)["row"]
+    df = df.withColumn("header", F.when(F.length(head) < limit, head).otherwise(F.raise_error(F.lit("table header reaches the chunk limit"))))
+    room = F.greatest(F.lit(1), limit - F.length("header") - 1)
+    body = F.filter(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), lambda r: r["row"] != "")
+    piece = lambda r, n, p, room: F.struct((r["s"] + p).alias("s"), (r["s"] + F.least(p + room, n)).alias("e"), F.substr(r["row"], p + 1, room).alias("row"))
+    cut = lambda r, room: T.bound(F.length(r["row"]), lambda n: F.transform(F.sequence(F.lit(0), n - 1, room), lambda p: piece(r, n, p, room)))
+    pieces = T.bound(room, lambda room: F.flatten(F.transform(body, lambda r: cut(r, room))))
     df = df.withColumn("pieces", F.when(F.size("rows") > 1, pieces))
-    df = df.select(key, text, "header", F.posexplode(F.when(F.coalesce(F.size("pieces"), F.lit(0)) > 0, F.col("pieces")).otherwise(F.array(F.lit(None).cast("struct<s:int,e:int>")))).alias("chunk_no", "piece"))
-    header_text = F.substr(F.col(text), F.col("header")["s"] + 1, F.col("header")["e"] - F.col("header")["s"])
-    row_text = F.substr(F.col(text), F.col("piece")["s"] + 1, F.col("piece")["e"] - F.col("piece")["s"])
-    return df.select(key, "chunk_no", F.concat(F.lit("c"), F.col("chunk_no").cast("string")).alias("chunk_id"), F.col("piece")["s"].alias("start_at"), F.col("piece")["e"].alias("end_at"), F.concat_ws("\n", header_text, row_text).alias("chunk_text"))
+    df = df.select(key, "header", F.posexplode(F.when(F.coalesce(F.size("pieces"), F.lit(0)) > 0, F.col("pieces")).otherwise(F.array(F.lit(None).cast("struct<s:int,e:int,row:string>")))).alias("chunk_no", "piece"))
+    return df.select(key, "chunk_no", F.concat(F.lit("c"), F.col("chunk_no").cast("string")).alias("chunk_id"), F.col("piece")["s"].alias("start_at"), F.col("piece")["e"].alias("end_at"), F.concat_ws("\n", "header", F.col("piece")["row"]).alias("chunk_text"))
 
 
 def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -57,7 +57,7 @@ pieces AS (SELECT l_orderkey, l_linenumber, line, k, substr(line, CAST(k * ({TAB
 SELECT l_orderkey, 'c' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line, k) - 1) AS chunk_id, h || chr(10) || piece AS chunk_text FROM pieces""")
 def chunk_table_header_repeat(spark, d):
     li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" | ", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd"), F.concat("l_returnflag", "l_linestatus"), "l_partkey", "l_suppkey", F.concat(F.col("l_orderkey").cast("string"), F.lit(" of the order table"))).alias("line"))
-    rows = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]).alias("rows"))
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "line")))["line"].alias("rows"))
     tables = rows.select("l_orderkey", F.concat(F.lit("Line | Date | Flags | Part | Supplier | Order\n"), F.array_join("rows", "\n")).alias("text"))
     return structure.table_chunks(tables, "l_orderkey", "text", TABLE_LIMIT).select("l_orderkey", "chunk_id", "chunk_text")
 

@@ -65,6 +65,27 @@ def test_table_chunks_repeat_the_header(spark):
         structure.table_chunks(df, "k", "text", 5).collect()
 
 
+def test_a_table_piece_takes_its_own_row_only(spark):
+    """Each piece was cut from the whole text, which went along with it: the square of a table's length."""
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    mixed = "Head" + "".join(f"{e}row {i} é😀" + "y" * 25 for i, e in enumerate(ends)) + "\n\n\r\nlast"
+    plain = "Head\n\nrow é😀" + "y" * 25 + "\nlast\n"
+    df = spark.createDataFrame([(1, mixed), (2, plain), (3, "\nfirst is empty"), (4, None), (5, "")], "k int, text string")
+    out = structure.table_chunks(df, "k", "text", 20)
+    want = []
+    for k, text in ((1, mixed), (2, plain), (3, "\nfirst is empty")):
+        rows, at, n = text.splitlines(keepends=True), 0, 0
+        room = 20 - len(rows[0].rstrip("\n")) - 1
+        for i, row in enumerate(rows):
+            bare = row.rstrip("\n")
+            for p in range(0, len(bare) if i else 0, room):
+                want.append((k, n, f"c{n}", at + p, at + min(p + room, len(bare)), rows[0].rstrip("\n") + "\n" + bare[p : p + room]))
+                n += 1
+            at += len(row)
+    assert [tuple(r) for r in out.orderBy("k", "chunk_no").collect()] == want
+    assert "substr(text" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_visual_paragraphs(spark):
     box = [[10, 0, 110, 10], [10, 12, 112, 22], [10, 24, 60, 34], [10, 80, 110, 90], [200, 92, 300, 102]]
     rows = [(1, i, "paragraph", 1, [float(x) for x in b], "ends." if i == 2 else "goes on") for i, b in enumerate(box)]
