@@ -360,6 +360,26 @@ def _across(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _gathered(labelled: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``n``, ``component`` of buckets of several components, those that hang together as one where a block holds them.
+
+    Like sets meet in many buckets, and each would take their full sets anew. Buckets with members in
+    common are a group; one that fits a block has the group's smallest node for its key, and each
+    member once. A larger group stays in its buckets.
+    """
+    several = labelled.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several")
+    mixed = materialize(labelled.join(several.select("key"), "key"), "mixed")
+    chained = components(mixed.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    groups = chained.select(F.col("id").alias("node"), F.col("component").alias("group"))
+    sized = mixed.select("node", "n").distinct().join(groups, "node").groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    fits = sized.where((F.col("m") <= BLOCK) & (F.col("w") <= BLOCK_HASHES)).select("group")
+    fits = groups.join(fits, "group")
+    whole = materialize(mixed.join(fits, "node", "left").select(F.coalesce("group", "key").alias("key"), "node", "n", "component").distinct(), "gathered")
+    for t in (mixed, chained):
+        discard(t)
+    return whole
+
+
 def _dealt(inside: DataFrame, found: DataFrame, full: DataFrame, nodes: DataFrame) -> DataFrame:
     """Buckets of several components in pairs of blocks.
 
@@ -367,7 +387,7 @@ def _dealt(inside: DataFrame, found: DataFrame, full: DataFrame, nodes: DataFram
     members of its largest component need no comparison with each other: only blocks of the others
     meet every block.
     """
-    labelled = inside.join(found, "node", "left").join(nodes.select("node", "n"), "node").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    labelled = _gathered(inside.join(found, "node", "left").join(nodes.select("node", "n"), "node").select("key", "node", "first", "n", F.coalesce("component", "node").alias("component")))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("m", "component", "w")).alias("most"), F.sum("m").alias("all"), F.sum("w").alias("hashes"), F.count("*").alias("parts")).where("parts > 1")
     rest = labelled.join(mixed.select("key", F.col("most.component").alias("main"), F.col("most.m").alias("m"), F.col("most.w").alias("w"), "all", "hashes"), "key")

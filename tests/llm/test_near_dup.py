@@ -164,3 +164,18 @@ def test_a_block_of_large_like_sets_hands_on_a_forest():
     block = nd.Block(np.arange(m), np.arange(m), np.array([len(s) for s in own]), [s.tobytes() for s in own])
     a, b = block.links(slice(0, m), slice(0, m))
     assert len(a) == m - 2 and {*a.tolist(), *b.tolist()} == set(range(m - 1))
+
+
+def test_full_sets_go_once_to_buckets_that_hang_together(spark, monkeypatch):
+    """A node's full set was dealt once for each of its buckets."""
+    rows = [(key, node, 1) for key in range(100, 130) for node in (1, 2, 3)] + [(200, 3, 3), (200, 4, 3), (300, 8, 8), (300, 9, 8)]
+    inside = spark.createDataFrame(rows, "key long, node long, first long")
+    found = spark.createDataFrame([(8, 8), (9, 8)], "node long, component long")
+    nodes = spark.createDataFrame([(i, 10) for i in range(1, 10)], "node long, n int")
+    full = spark.createDataFrame([(i, bytes(80)) for i in range(1, 10)], "node long, full binary")
+    dealt = nd._dealt(inside, found, full, nodes).collect()
+    assert sorted((r.key, r.node, r.i, r.j) for r in dealt) == [(1, n, 0, 0) for n in (1, 2, 3, 4)]
+    # a group that no block holds stays in its buckets
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    dealt = nd._dealt(inside, found, full, nodes).collect()
+    assert sorted((r.key, r.node) for r in dealt) == sorted((k, n) for k, n, _ in rows if k < 300)
